@@ -172,13 +172,15 @@ class AdaBoostModel(_Fitted):
             *[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, row)]) for row in rows]
         )
         x = F.col("_x")
-        scores = []
-        for c in range(k):
-            def add(acc, s, c=c):
+
+        def votes(c: int):
+            def add(acc, s):
                 value = F.when(F.element_at(x, s["f"].cast("int") + 1) <= s["t"], s["left"]).otherwise(s["right"])
                 return acc + s["a"] * F.when(value == c, 1.0).otherwise(-1.0 / (k - 1))
 
-            scores.append(F.aggregate(table, F.lit(0.0), add) / F.lit(float(rows[:, 4].sum())))
+            return F.aggregate(table, F.lit(0.0), add) / F.lit(float(rows[:, 4].sum()))
+
+        scores = [votes(c) for c in range(k)]
         if k == 2:
             one = 1 / (1 + F.exp(-scores[1]))
             prob = F.array(1 - one, one)

@@ -16,17 +16,18 @@ from statistics import fmean, pstdev
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.ml.stages import feature_stages, kept_names, select_stage
 from cohortspark.ml.zoo import Entry, Setting
 from cohortspark.operators import curves, evaluate, splits
-from cohortspark.operators.prep import DEFAULT_RATIOS, Ratio, add_class_weight
+from cohortspark.operators.prep import DEFAULT_RATIOS, Ratio, class_weights
 
 # Fixed value: features kept when the count is not searched.
 SELECT_K = 10
 PARALLEL_FITS = 4
+ROWS_PER_TASK = 10_000
 
 
 @dataclass
@@ -71,20 +72,34 @@ class Prepared:
 
 @contextmanager
 def prepared(recipe: Recipe, train: DataFrame, test: DataFrame | None = None):
-    """Fit the feature stages on ``train`` and keep the prepared rows for the fits inside the block."""
-    steps = Pipeline(stages=recipe.stages()).fit(train)
-    carry = [c for c in (recipe.id_col, recipe.label_col, "study") if c in train.columns]
-    weighted = add_class_weight(steps.transform(train), recipe.label_col)
-    ready = weighted.select(*dict.fromkeys(carry), "scaled", "weight").persist()
-    n = ready.count()
-    first = ready.select("scaled").first()
+    """Fit the feature stages on ``train`` and keep the prepared rows for the fits inside the block.
+
+    Rows are kept once they are imputed and assembled: what follows is a cheap projection of them.
+    """
+    *front, scaler = recipe.stages()
+    assemble = Pipeline(stages=front).fit(train)
+    rows = assemble.transform(train).select(*_keep(recipe, train), "assembled").persist()
     held = None
     if test is not None:
-        held = steps.transform(test).select(*dict.fromkeys(carry), "scaled").persist()
+        held = assemble.transform(test).select(*_keep(recipe, test), "assembled").persist()
     try:
-        yield Prepared(steps, ready, held, n, first["scaled"].size if first else 0)
+        scale = scaler.fit(rows)
+        counts = {r[recipe.label_col]: r["n"] for r in class_weights(rows, recipe.label_col).collect()}
+        n = sum(counts.values())
+        # Iterative fits pay per task and iteration: a small fold takes few tasks, without a shuffle.
+        tasks = max(1, min(rows.rdd.getNumPartitions(), -(-n // ROWS_PER_TASK)))
+        weight = F.lit(None).cast("double")
+        for value, count in counts.items():
+            weight = F.when(F.col(recipe.label_col) == value, F.lit(n / (len(counts) * count))).otherwise(weight)
+        yield Prepared(
+            PipelineModel([*assemble.stages, scale]),
+            scale.transform(rows.coalesce(tasks)).withColumn("weight", weight),
+            None if held is None else scale.transform(held),
+            n,
+            scale.stages[0].mean.size,
+        )
     finally:
-        ready.unpersist()
+        rows.unpersist()
         if held is not None:
             held.unpersist()
 
@@ -131,17 +146,20 @@ def _each(items: Iterable, work: Callable, parallel: int = PARALLEL_FITS) -> lis
         return list(pool.map(work, items))
 
 
+@contextmanager
 def _fold_tables(recipe: Recipe, train: DataFrame, folds: int, repeats: int):
-    """(repeat, fold, training rows, held-out rows); the fold numbers join back by row key."""
+    """List of (training rows, held-out rows); the fold numbers join back by row key."""
     numbered = splits.repeated_folds(
         train, recipe.label_col, [recipe.id_col], folds, repeats, recipe.seed
     ).select(recipe.id_col, "repeat", "fold")
     joined = train.join(numbered, recipe.id_col).persist()
+    parts = []
+    for r in range(repeats):
+        part = joined.where(F.col("repeat") == r).drop("repeat")
+        for f in range(folds):
+            parts.append((part.where(F.col("fold") != f).drop("fold"), part.where(F.col("fold") == f).drop("fold")))
     try:
-        for r in range(repeats):
-            for f in range(folds):
-                part = joined.where(F.col("repeat") == r).drop("repeat")
-                yield r, f, part.where(F.col("fold") != f).drop("fold"), part.where(F.col("fold") == f).drop("fold")
+        yield parts
     finally:
         joined.unpersist()
 
@@ -152,10 +170,11 @@ def _cv_scores(
     """Fold scores of every named (entry, params) point, and the first error of a point that fails."""
     scores: dict = {name: [] for name in points}
     errors: dict = {}
-    for _, _, inside, outside in _fold_tables(recipe, train, folds, repeats):
-        with prepared(recipe, inside, outside) as fold:
 
-            def one(name, fold=fold):
+    def one_fold(part):
+        with prepared(recipe, *part) as fold:
+
+            def one(name):
                 if name in errors:
                     return
                 entry, params = points[name]
@@ -166,6 +185,9 @@ def _cv_scores(
                     errors[name] = f"{type(exc).__name__}: {exc}"[:500]
 
             _each(points, one)
+
+    with _fold_tables(recipe, train, folds, repeats) as parts:
+        _each(parts, one_fold)
     return scores, errors
 
 
@@ -252,12 +274,14 @@ def out_of_fold(
     folds: int = splits.FOLDS,
 ) -> DataFrame:
     """Score of every row by a model that has not seen it."""
-    parts = []
-    for _, _, inside, outside in _fold_tables(recipe, train, folds, 1):
+    def one(part):
+        inside, outside = part
         with prepared(recipe, inside) as fold:
             model = whole_model(fold, fit_on(recipe, entry, fold, params))
-        parts.append(score(model, outside, _keep(recipe, outside)))
-    return reduce(DataFrame.unionByName, parts)
+        return score(model, outside, _keep(recipe, outside))
+
+    with _fold_tables(recipe, train, folds, 1) as parts:
+        return reduce(DataFrame.unionByName, _each(parts, one))
 
 
 def leave_one_study_out(
@@ -270,7 +294,6 @@ def leave_one_study_out(
     """
     usable = splits.study_folds(df, "study", recipe.label_col).where("usable")
     studies = [r["study"] for r in usable.select("study").orderBy("study").collect()]
-    parts = []
 
     def one(study):
         with prepared(recipe, df.where(F.col("study") != study)) as fold:
@@ -318,24 +341,22 @@ def learning_curve(
     folds: int = splits.FOLDS,
 ) -> DataFrame:
     """Training and held-out score by training size, averaged over folds."""
-    folded = splits.stratified_folds(train, recipe.label_col, [recipe.id_col], folds, recipe.seed)
+    folded = splits.stratified_folds(train, recipe.label_col, [recipe.id_col], folds, recipe.seed).persist()
     sets = splits.learning_curve_sets(folded, fractions, [recipe.id_col], folds, recipe.seed).persist()
-    rows = []
-    for f in range(folds):
+
+    def point(at):
+        f, fraction = at
         held = folded.where(F.col("fold") == f)
-        for fraction in fractions:
-            inside = sets.where((F.col("holdout_fold") == f) & (F.col("share") <= fraction + 1e-9))
-            with prepared(recipe, inside, held) as fold:
-                model = fit_on(recipe, entry, fold, params)
-                rows.append(
-                    (
-                        float(fraction),
-                        fold.n_rows,
-                        _measure(recipe, score(model, fold.train, _keep(recipe, fold.train))),
-                        _measure(recipe, score(model, fold.test, _keep(recipe, fold.test))),
-                    )
-                )
+        inside = sets.where((F.col("holdout_fold") == f) & (F.col("share") <= fraction + 1e-9))
+        with prepared(recipe, inside, held) as fold:
+            model = fit_on(recipe, entry, fold, params)
+            on_train = _measure(recipe, score(model, fold.train, _keep(recipe, fold.train)))
+            on_test = _measure(recipe, score(model, fold.test, _keep(recipe, fold.test)))
+            return float(fraction), fold.n_rows, on_train, on_test
+
+    rows = _each([(f, x) for f in range(folds) for x in fractions], point)
     sets.unpersist()
+    folded.unpersist()
     points = train.sparkSession.createDataFrame(
         rows, "fraction double, n_train bigint, train_score double, cv_score double"
     )
@@ -353,8 +374,6 @@ def feature_importance(model: PipelineModel) -> DataFrame | None:
         values = abs(clf.coefficientMatrix.toArray()).mean(axis=0)
     else:
         return None
-    from pyspark.sql import SparkSession
-
     names = kept_names(model)
     rows = [(n, float(v)) for n, v in zip(names, values, strict=True)]
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").orderBy(

@@ -24,11 +24,14 @@ from pyspark.sql import types as T
 from cohortspark.functions.keys import hash_key
 
 DIGITS = 9
-MAX_PIVOTS = 128
+MAX_PIVOTS = 1024
+ROWS_PER_PIVOT = 2048
 MAX_PATTERNS = 64
 BLOCK_ROWS = 8192
 QUERY_ROWS = 8192
 CHUNK_CELLS = 4_000_000
+# With this few blocks a first round to bound the distances costs more than it saves.
+FEW_BLOCKS = 4
 
 
 def _matrix(col: pd.Series, width: int) -> np.ndarray:
@@ -99,84 +102,89 @@ class NeighbourIndex:
         self,
         donors: DataFrame,
         width: int,
-        pivots: int = MAX_PIVOTS,
+        pivots: int | None = None,
         block_rows: int = BLOCK_ROWS,
         query_rows: int = QUERY_ROWS,
     ):
         self.width = width
         self.block_rows = block_rows
         self.query_rows = query_rows
-        self._build(donors, min(pivots, MAX_PIVOTS))
+        if pivots is None:
+            pivots = -(-donors.count() // ROWS_PER_PIVOT)
+        self._build(donors, max(1, min(pivots, MAX_PIVOTS)))
 
     def _build(self, donors: DataFrame, pivots: int) -> None:
         width = self.width
-        # A fixed small number of rows, picked by hash order, only shapes the cells.
-        picked = donors.select("vec", hash_key(0, F.col("donor_id")).alias("_k")).orderBy("_k").limit(pivots)
-        centres = [r["vec"] for r in picked.collect()]
-        if not centres:
-            raise ValueError("no donor rows")
-        centre = np.array(centres, dtype=float)
-
-        @F.pandas_udf("struct<pivot:int,pattern:string>")
-        def locate(vecs: pd.Series) -> pd.DataFrame:
-            x = _matrix(vecs, width)
-            out = np.zeros(len(x), dtype="int32")
-            step = max(1, CHUNK_CELLS // max(1, len(centre)))
-            for i in range(0, len(x), step):
-                out[i : i + step] = distances(x[i : i + step], centre).argmin(axis=1)
-            pattern = ["".join(row) for row in np.where(np.isnan(x), "0", "1")]
-            return pd.DataFrame({"pivot": out, "pattern": pattern})
-
-        placed = donors.withColumn("_at", locate("vec")).select("*", "_at.pivot", "_at.pattern").drop("_at")
+        flags = F.transform("vec", lambda v: F.when(F.isnan(v) | v.isNull(), "0").otherwise("1"))
+        placed = donors.withColumn("pattern", F.concat_ws("", flags)).withColumn("pivot", self._pivot(donors, pivots))
         common = placed.groupBy("pattern").count().orderBy(F.desc("count"), "pattern").limit(MAX_PATTERNS)
         kept = [r["pattern"] for r in common.collect()]
         # Rows with a rare pattern share the cell "mixed" of their pivot.
-        placed = placed.withColumn(
-            "cell", F.concat_ws(":", "pivot", F.when(F.col("pattern").isin(*kept), F.col("pattern")).otherwise("mixed"))
-        )
-        box = (
-            placed.select("cell", F.posexplode("vec").alias("pos", "v"))
-            .where(~F.isnan("v") & F.col("v").isNotNull())
-            .groupBy("cell", "pos")
-            .agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        )
-        rows = placed.groupBy("cell").count()
+        shape = F.when(F.col("pattern").isin(*kept), F.col("pattern")).otherwise("mixed")
+        placed = placed.withColumn("cell", F.concat_ws(":", "pivot", shape))
+        known = [F.nanvl(F.col("vec")[j], F.lit(None).cast("double")) for j in range(width)]
         # At most pivots x (patterns + 1) cells, each with one bound per coordinate.
-        counts = {r["cell"]: r["count"] for r in rows.collect()}
-        names = sorted(counts)
-        number = {c: i for i, c in enumerate(names)}
-        low = np.full((len(names), width), np.nan)
-        high = np.full((len(names), width), np.nan)
-        for r in box.collect():
-            low[number[r["cell"]], r["pos"]] = r["lo"]
-            high[number[r["cell"]], r["pos"]] = r["hi"]
-        n_rows = np.array([counts[c] for c in names])
+        boxes = (
+            placed.groupBy("cell")
+            .agg(
+                F.count(F.lit(1)).alias("n"),
+                F.array(*[F.min(v) for v in known]).alias("low"),
+                F.array(*[F.max(v) for v in known]).alias("high"),
+            )
+            .orderBy("cell")
+            .collect()
+        )
+        if not boxes:
+            raise ValueError("no donor rows")
+        n_rows = np.array([r["n"] for r in boxes])
         n_blocks = np.maximum(1, -(-n_rows // self.block_rows))
-        uniform = np.array([not c.endswith("mixed") for c in names])
-        self.cells = Cells(low, high, uniform, n_blocks, n_rows)
-
-        known = donors.sparkSession.createDataFrame(
-            [(c, i, int(n_blocks[i])) for c, i in number.items()], "cell string, cell_no int, n_blocks int"
+        self.cells = Cells(
+            low=np.array([r["low"] for r in boxes], dtype=float),
+            high=np.array([r["high"] for r in boxes], dtype=float),
+            uniform=np.array([not r["cell"].endswith("mixed") for r in boxes]),
+            blocks=n_blocks,
+            rows=n_rows,
+        )
+        self._first_block = np.concatenate([[0], np.cumsum(n_blocks)[:-1]]).astype(int)
+        places = donors.sparkSession.createDataFrame(
+            [(r["cell"], int(f), int(n)) for r, f, n in zip(boxes, self._first_block, n_blocks)],
+            "cell string, first_block int, n_blocks int",
         )
-        first = np.concatenate([[0], np.cumsum(n_blocks)[:-1]]).astype(int)
-        self._first_block = first
-        offsets = F.array(*[F.lit(int(x)) for x in first])
+        block = F.col("first_block") + F.pmod(F.xxhash64("donor_id"), F.col("n_blocks")).cast("int")
         self.donors = (
-            placed.join(F.broadcast(known), "cell")
-            .withColumn(
-                "block",
-                F.element_at(offsets, F.col("cell_no") + 1)
-                + F.pmod(F.xxhash64("donor_id"), F.col("n_blocks")).cast("int"),
-            )
-            .drop("pivot", "pattern", "cell", "cell_no", "n_blocks")
+            placed.join(F.broadcast(places), "cell")
+            .withColumn("block", block)
+            .drop("pivot", "pattern", "cell", "first_block", "n_blocks")
         )
 
+    def _pivot(self, donors: DataFrame, pivots: int):
+        """Number of the nearest of a few donor rows picked by hash order; they only shape the cells."""
+        if pivots == 1:
+            return F.lit(0)
+        picked = donors.select("vec", hash_key(0, F.col("donor_id")).alias("_k")).orderBy("_k").limit(pivots)
+        centre = np.array([r["vec"] for r in picked.collect()], dtype=float)
+        width = self.width
+        step = max(1, CHUNK_CELLS // max(1, len(centre)))
+
+        @F.pandas_udf("int")
+        def locate(vecs: pd.Series) -> pd.Series:
+            x = _matrix(vecs, width)
+            parts = [distances(x[i : i + step], centre).argmin(axis=1) for i in range(0, len(x), step)]
+            return pd.Series(np.concatenate(parts) if parts else np.zeros(0), dtype="int32")
+
+        return locate("vec")
+
     # -- routing ---------------------------------------------------------------------------------
 
     def _route(self, queries: DataFrame, k: int, first_only: bool) -> DataFrame:
         """(block, query columns): one near block per query, or every block within its bound."""
         cells, first, width = self.cells, self._first_block, self.width
-        schema = T.StructType([T.StructField("block", T.IntegerType()), *queries.schema.fields])
+        total = int(cells.blocks.sum())
+        if total <= FEW_BLOCKS:
+            return queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
+        # Missing coordinates come back from Arrow as NULL elements, so the arrays must admit them.
+        fields = [T.StructField(f.name, T.ArrayType(T.DoubleType(), True) if f.name == "vec" else f.dataType) for f in queries.schema]
+        schema = T.StructType([T.StructField("block", T.IntegerType()), *fields])
         step = max(1, CHUNK_CELLS // (len(cells.low) * 4))
 
         def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,7 +294,7 @@ class NeighbourIndex:
             return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({c: [] for c in names})
 
         bounded = queries
-        if len(self._first_block) > 1 or self.cells.blocks.sum() > 1:
+        if self.cells.blocks.sum() > FEW_BLOCKS:
             seen = self._compare(self._route(queries, k, True), k, compare, schema, carry)
             per_target = seen.groupBy("query_id", "target").agg(
                 F.count(F.lit(1)).alias("n"), F.max("dist").alias("d")

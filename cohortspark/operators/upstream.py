@@ -123,7 +123,7 @@ def rarefy(
     a deep sample are cut at the leading hash digits, so that it is spread over tasks.
     """
     totals = counts.groupBy(sample).agg(F.sum(reads).alias("_total")).where(F.col("_total") >= depth)
-    spread = F.ceil(F.log(F.lit(16.0), F.col("_total") / F.lit(float(READS_PER_SLOT))))
+    spread = F.ceil(F.log(16.0, F.col("_total") / F.lit(float(READS_PER_SLOT))))
     digits = F.greatest(F.lit(0), spread.cast("int"))
     single = (
         counts.where(F.col(reads) > 0)

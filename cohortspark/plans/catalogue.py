@@ -392,8 +392,8 @@ markers AS (
 
 
 _LINE_RANKS_SQL = f"""{LINES_SQL},
-long AS (SELECT sample_id, study, diagnosis, feature, value FROM (
-  UNPIVOT lines ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME feature VALUE value)),
+long AS (SELECT sample_id, study, diagnosis, feature, value
+  FROM lines UNPIVOT (value FOR feature IN (l_quantity, l_extendedprice, l_discount, l_tax))),
 ranked AS (
   SELECT *, rank() OVER (PARTITION BY feature ORDER BY value)
             + (count(*) OVER (PARTITION BY feature, value) - 1) / 2e0 AS r FROM long)"""
@@ -774,7 +774,7 @@ def evaluate_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    split = splits.stratified_holdout(samples(spark, sf_dir))
+    split = splits.stratified_holdout(samples(spark, sf_dir)).persist()
     return split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
 
 

@@ -58,8 +58,8 @@ SAMPLES_SQL = f"""samples AS (
 
 LONG_SQL = f"""{SAMPLES_SQL},
 long AS (
-  SELECT sample_id, study, diagnosis, label, feature, value FROM (
-    UNPIVOT INCLUDE NULLS samples ON e, n, t, a, z INTO NAME feature VALUE value)),
+  SELECT sample_id, study, diagnosis, label, feature, value
+  FROM samples UNPIVOT INCLUDE NULLS (value FOR feature IN (e, n, t, a, z))),
 ranked AS (
   SELECT *, rank() OVER (PARTITION BY feature ORDER BY value)
             + (count(*) OVER (PARTITION BY feature, value) - 1) / 2e0 AS r
