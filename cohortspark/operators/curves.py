@@ -29,19 +29,16 @@ def cut_table(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
     running = running_totals(
-        groups, keys, score, ["pos", "neg"], cuts_from=known.select(*keys, score), descending=True
-    )
-    totals = groups.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    if keys:
-        with_totals = running.join(totals, keys)
-    else:
-        t = totals.first()
-        with_totals = running.withColumns(
-            {"n_pos": F.lit(t["n_pos"] or 0).cast("bigint"), "n_neg": F.lit(t["n_neg"] or 0).cast("bigint")}
-        )
-    return with_totals.withColumns(
-        {"tp": F.col("before_pos") + F.col("pos"), "fp": F.col("before_neg") + F.col("neg")}
+        groups, keys, score, ["pos", "neg"], descending=True, totals=True
     )
+    return running.withColumns(
+        {
+            "tp": F.col("before_pos") + F.col("pos"),
+            "fp": F.col("before_neg") + F.col("neg"),
+            "n_pos": F.col("total_pos"),
+            "n_neg": F.col("total_neg"),
+        }
+    ).drop("total_pos", "total_neg")
 
 
 def _share(top, bottom):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.functions.keys import hash_key
+from cohortspark.session import sized
 
 DIGITS = 9
 MAX_PIVOTS = 1024
@@ -152,7 +153,7 @@ class NeighbourIndex:
         )
         block = F.col("first_block") + F.pmod(F.xxhash64("donor_id"), F.col("n_blocks")).cast("int")
         self.donors = (
-            placed.join(F.broadcast(places), "cell")
+            placed.join(sized(places, len(boxes)), "cell")
             .withColumn("block", block)
             .drop("pivot", "pattern", "cell", "first_block", "n_blocks")
         )
@@ -217,6 +218,8 @@ class NeighbourIndex:
         """Cogroup slices of queries with their block; a block with many queries is replicated."""
         load = routed.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
         slices = load.select("block", F.ceil(F.col("_n") / F.lit(self.query_rows)).cast("int").alias("_slices"))
+        # One row per block that is asked for.
+        slices = sized(slices, int(self.cells.blocks.sum()))
         q = routed.join(slices, "block").withColumn(
             "_slice", F.pmod(F.xxhash64("query_id"), F.col("_slices")).cast("int")
         )

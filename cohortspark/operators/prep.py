@@ -19,6 +19,7 @@ from cohortspark.functions import (
     ratio,
     strip_whitespace,
 )
+from cohortspark.session import sized
 
 # Metadata that never counts as a feature, body sites accepted as gut, ratio guard.
 NON_FEATURE_COLS = ("sample_id", "study", "sample_type", "country", "subject_id", "diagnosis")
@@ -165,7 +166,7 @@ def zscore_within(df: DataFrame, cols: Sequence[str], study_col: str = "study")
         return F.when(F.col(c).isNull(), F.lit(None)).when(usable, z).otherwise(F.lit(0.0))
 
     return (
-        df.join(stats, study_col)
+        df.join(sized(stats), study_col)
         .withColumns({c: scaled(c) for c in cols})
         .select(*df.columns)
     )

@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.keys import HEX_DIGITS, hash_key, hash_slot
-from cohortspark.session import shuffle_partitions
+from cohortspark.session import shuffle_partitions, sized
 
 MAX_BUCKET_BITS = 10
-BROADCAST_ROWS = 500_000
 
 
 def bucket_bits(df: DataFrame, bits: int | None = None) -> int:
@@ -27,11 +26,6 @@ def bucket_bits(df: DataFrame, bits: int | None = None) -> int:
     return min(MAX_BUCKET_BITS, max(1, shuffle_partitions(df.sparkSession) - 1).bit_length())
 
 
-def _small(df: DataFrame, rows: int | None) -> DataFrame:
-    """Broadcast only when the row count is known in advance; otherwise leave the choice to AQE."""
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
-
-
 def _bucket(value: Column, cuts: Column, bits: int) -> Column:
     """Number of cuts below ``value``, by binary search over the sorted array of 2^bits - 1 cuts."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(bits))])
@@ -48,51 +42,60 @@ def running_totals(
     order: str,
     sums: Sequence[str],
     *,
-    cuts_from: DataFrame | None = None,
+    source: DataFrame | None = None,
     descending: bool = False,
     bits: int | None = None,
     n_groups: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
     """Add ``before_<s>``: the total of ``s`` over the rows of the group that come earlier.
 
-    ``df`` has one row per (keys, order) and no missing ``order``. ``cuts_from`` is a table with the
-    columns keys + order that the bucket boundaries are estimated from (default: ``df``); estimates
-    only balance the work, the totals are exact for any boundaries. ``n_groups`` is the number of
-    distinct ``keys`` when the caller knows it.
+    ``df`` has one row per (keys, order) and no missing ``order``. Bucket boundaries are estimated;
+    they only balance the work, the totals are exact for any boundaries. ``source`` is the table that
+    ``df`` was combined from, with the columns keys, order and sums at row level: boundaries and bucket
+    totals are then two scans of it that shuffle next to nothing, and ``df`` itself is computed once.
+    ``n_groups`` is the number of distinct ``keys`` when the caller knows it. With ``totals`` the
+    column ``total_<s>`` holds the sum of the whole group.
     """
     keys = list(keys)
     bits = bucket_bits(df, bits)
     n = 1 << bits
     probs = [i / n for i in range(1, n)]
     estimate = F.percentile_approx(F.col(order).cast("double"), probs, 10 * n).alias("_cuts")
-    source = df if cuts_from is None else cuts_from
-    rows = None if n_groups is None else n_groups * n
+    source = df if source is None else source
     if keys:
         cuts = source.groupBy(*keys).agg(estimate)
-        placed = df.join(_small(cuts, rows), keys)
+        if n_groups is None:
+            cuts = cuts.persist()
+            n_groups = cuts.count()
+        cuts = sized(cuts, n_groups * n)
         cuts_col = F.col("_cuts")
     else:
+        n_groups = 1
         found = source.agg(estimate).first()["_cuts"] or [0.0] * (n - 1)
-        placed = df
         cuts_col = F.array(*[F.lit(float(x)) for x in found])
-    placed = placed.withColumn("_bucket", _bucket(F.col(order).cast("double"), cuts_col, bits)).drop("_cuts")
+
+    def place(table: DataFrame) -> DataFrame:
+        known = table.join(cuts, keys) if keys else table
+        return known.withColumn("_bucket", _bucket(F.col(order).cast("double"), cuts_col, bits)).drop("_cuts")
 
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    earlier = (
-        Window.partitionBy(*keys).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
+    per_bucket = place(source).groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum(f"_t_{s}").over(group).alias(f"total_{s}") for s in sums] if totals else []
+    offsets = per_bucket.select(
         *keys,
         "_bucket",
         *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
+        *whole,
     )
     inside = (
         Window.partitionBy(*keys, "_bucket")
         .orderBy(direction(order))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = placed.join(_small(offsets, rows if keys else n), [*keys, "_bucket"]).withColumns(
+    out = place(df).join(sized(offsets, n_groups * n), [*keys, "_bucket"]).withColumns(
         {f"before_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_o_{s}") for s in sums}
     )
     return out.drop("_bucket", *[f"_o_{s}" for s in sums])
@@ -120,22 +123,30 @@ def rank_groups(
     keys: Sequence[str],
     value: str,
     *,
-    cuts_from: DataFrame | None = None,
+    long: DataFrame | None = None,
     n_groups: int | None = None,
     bits: int | None = None,
 ) -> DataFrame:
-    """Add ``avg_rank``, the mean rank that the ``n`` rows of a tie group share."""
-    out = running_totals(ties, keys, value, ["n"], cuts_from=cuts_from, n_groups=n_groups, bits=bits)
+    """Add ``avg_rank``, the mean rank that the ``n`` rows of a tie group share.
+
+    ``long`` is the table of single rows that ``ties`` was combined from.
+    """
+    source = None if long is None else _single_rows(long, keys, value)
+    out = running_totals(ties, keys, value, ["n"], source=source, n_groups=n_groups, bits=bits)
     return out.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).drop("before_n")
 
 
+def _single_rows(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return long.where(F.col(value).isNotNull()).select(*keys, value, F.lit(1).cast("bigint").alias("n"))
+
+
 def average_rank(
     long: DataFrame, keys: Sequence[str], value: str, *, n_groups: int | None = None
 ) -> DataFrame:
     """Rank of every row within its group, ties sharing the mean rank; missing values get no rank."""
     keys = list(keys)
     ranks = rank_groups(
-        tie_groups(long, keys, value), keys, value, cuts_from=long.select(*keys, value), n_groups=n_groups
+        tie_groups(long, keys, value), keys, value, long=long, n_groups=n_groups
     ).select(*keys, value, "avg_rank")
     return long.join(ranks, [*keys, value], "left")
 
@@ -188,10 +199,8 @@ def percentiles(
     """
     keys = list(keys)
     ties = tie_groups(long, keys, value)
-    known = long.where(F.col(value).isNotNull()).select(*keys, value)
-    running = running_totals(ties, keys, value, ["n"], cuts_from=known, n_groups=n_groups)
-    totals = ties.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    placed = running.join(totals, keys)
+    source = _single_rows(long, keys, value)
+    placed = running_totals(ties, keys, value, ["n"], source=source, n_groups=n_groups, totals=True)
     v = F.col(value)
 
     def at(place: Column) -> Column:
@@ -200,7 +209,7 @@ def percentiles(
 
     aggs = []
     for name, p in probs.items():
-        place = F.lit(float(p)) * (F.col("_total") - 1)
+        place = F.lit(float(p)) * (F.col("total_n") - 1)
         low, high = at(F.floor(place)), at(F.ceil(place))
         rest = F.max(place - F.floor(place))
         aggs.append((low + (high - low) * rest).alias(name))

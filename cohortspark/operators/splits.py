@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators.ranks import hash_position
+from cohortspark.session import sized
 
 # Seed, hold-out share, folds and repeats of the published runs.
 SEED = 42
@@ -42,7 +43,7 @@ def stratified_holdout(
     """Add ``is_test``; every class keeps its share in the hold-out part."""
     placed = hash_position(df, [label_col], ids, seed)
     return (
-        placed.join(holdout_sizes(df, label_col, test_size), label_col)
+        placed.join(sized(holdout_sizes(df, label_col, test_size)), label_col)
         .withColumn("is_test", F.col("position") <= F.col("n_test"))
         .drop("position", "n_class", "n_test")
     )

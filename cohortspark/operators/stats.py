@@ -234,9 +234,7 @@ def mann_whitney(
     first, second = classes
     long = to_long(df.where(F.col(label_col).isin(first, second)), [label_col], features)
     ties = tie_groups(long, ["feature"], "value", {"n1": F.col(label_col) == first})
-    ranked = rank_groups(
-        ties, ["feature"], "value", cuts_from=long.select("feature", "value"), n_groups=len(features)
-    )
+    ranked = rank_groups(ties, ["feature"], "value", long=long, n_groups=len(features))
     return _p_values(_u_statistics(ranked))
 
 
@@ -378,9 +376,7 @@ def feature_auc(df: DataFrame, features: Sequence[str], positive: Column) -> Dat
     """Symmetric rank AUC of every feature for one binary grouping of the rows."""
     long = to_long(df.withColumn("_g", F.coalesce(positive, F.lit(False))), ["_g"], features)
     ties = tie_groups(long, ["feature"], "value", {"n1": F.col("_g")})
-    ranked = rank_groups(
-        ties, ["feature"], "value", cuts_from=long.select("feature", "value"), n_groups=len(features)
-    )
+    ranked = rank_groups(ties, ["feature"], "value", long=long, n_groups=len(features))
     sums = ranked.groupBy("feature").agg(
         F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum(F.col("n1") * F.col("avg_rank")).alias("r1")
     )
@@ -403,43 +399,41 @@ def batch_markers(
     with fewer than two studies yields no rows; a feature seen in one study only has no study AUC.
     """
     long = to_long(df, [study_col, label_col], features)
-    ties = tie_groups(
-        long, ["feature", study_col], "value", {"pos": F.col(label_col) == positive}
-    )
-    # A value carries one (study, rows) entry per study it occurs in: the list is as long as the
-    # study table at most, whatever number of rows share the value.
-    merged = ties.groupBy("feature", "value").agg(
-        F.sum("n").alias("n"),
-        F.sum("pos").alias("pos"),
-        F.collect_list(F.struct(F.col(study_col).alias("study"), F.col("n").alias("rows"))).alias("studies"),
-    )
-    ranked = rank_groups(
-        merged, ["feature"], "value", cuts_from=long.select("feature", "value"), n_groups=len(features)
-    )
-    by_class = ranked.groupBy("feature").agg(
-        F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("pos") * F.col("avg_rank")).alias("r1")
-    )
+    ties = tie_groups(long, ["feature", study_col], "value", {"pos": F.col(label_col) == positive})
+    # A value carries one entry per study it occurs in: the list is as long as the study table at
+    # most, whatever number of rows share the value.
+    entry = F.struct(F.col(study_col).alias("study"), F.col("n").alias("rows"), "pos")
+    merged = ties.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.collect_list(entry).alias("studies"))
+    ranked = rank_groups(merged, ["feature"], "value", long=long, n_groups=len(features))
     by_study = (
         ranked.select("feature", "avg_rank", F.explode("studies").alias("s"))
         .groupBy("feature", F.col("s.study").alias("study"))
-        .agg(F.sum("s.rows").alias("n_s"), F.sum(F.col("s.rows") * F.col("avg_rank")).alias("r_s"))
+        .agg(
+            F.sum("s.rows").alias("n_s"),
+            F.sum("s.pos").alias("pos_s"),
+            F.sum(F.col("s.rows") * F.col("avg_rank")).alias("r_s"),
+            F.sum(F.col("s.pos") * F.col("avg_rank")).alias("rpos_s"),
+        )
     )
-    best = (
-        by_study.join(by_class.select("feature", "n"), "feature")
+    # What is left has one row per feature and study.
+    n = F.sum("n_s").over(Window.partitionBy("feature"))
+    per_feature = (
+        by_study.withColumn("a", symmetric(rank_auc(F.col("r_s"), F.col("n_s"), n)))
         .groupBy("feature")
         .agg(
-            F.max(symmetric(rank_auc(F.col("r_s"), F.col("n_s"), F.col("n")))).alias("auc_predicts_study"),
+            F.max("a").alias("auc_predicts_study"),
+            F.sum("n_s").alias("n"),
+            F.sum("pos_s").alias("pos"),
+            F.sum("rpos_s").alias("r1"),
             F.min("study").alias("_first"),
             F.max("study").alias("_last"),
         )
     )
-    # One row per feature: the window runs over the feature table, never over samples.
     everyone = Window.partitionBy(F.lit(1))
     study, diagnosis = F.col("auc_predicts_study"), F.col("auc_predicts_diagnosis")
     risk = F.when(study > SEVERE_AUC, "SEVERE").when(study > HIGH_AUC, "high").otherwise("")
     return (
-        by_class.join(best, "feature")
-        .withColumn("_several", F.min("_first").over(everyone) < F.max("_last").over(everyone))
+        per_feature.withColumn("_several", F.min("_first").over(everyone) < F.max("_last").over(everyone))
         .where("_several")
         .select(
             "feature",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators.ranks import hash_position, percentiles
+from cohortspark.session import sized
 
 
 def assert_unique(df: DataFrame, key: str) -> None:
@@ -74,7 +75,7 @@ def group_taxa(
 ) -> DataFrame:
     """Sum several taxon names into the column the mapping (taxon, column) gives; others are left out."""
     return (
-        counts.join(mapping, taxon)
+        counts.join(sized(mapping), taxon)
         .groupBy(sample, F.col("column").alias(taxon))
         .agg(F.sum(reads).alias(reads))
     )
@@ -160,7 +161,7 @@ def label_from_identifier(
     """Class from the first group of ``pattern`` in an identifier, through a (prefix, label) mapping."""
     prefixed = df.withColumn("prefix", F.regexp_extract(id_col, pattern, 1))
     return (
-        prefixed.join(mapping.withColumnRenamed("label", "_label"), "prefix", "left")
+        prefixed.join(sized(mapping.withColumnRenamed("label", "_label")), "prefix", "left")
         .withColumn(out, F.coalesce("_label", F.lit(unknown)))
         .drop("prefix", "_label")
     )

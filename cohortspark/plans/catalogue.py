@@ -288,6 +288,13 @@ def correlation_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- group comparison and batch markers -------------------------------------------------------
 
 
+_LINE_RANKS_SQL = f"""{LINES_SQL},
+long AS (SELECT sample_id, study, diagnosis, feature, value
+  FROM lines UNPIVOT (value FOR feature IN (l_quantity, l_extendedprice, l_discount, l_tax))),
+ranked AS (
+  SELECT *, rank() OVER (PARTITION BY feature ORDER BY value)
+            + (count(*) OVER (PARTITION BY feature, value) - 1) / 2e0 AS r FROM long)"""
+
 _MW_SQL = """sums AS (
   SELECT feature, count(*) * 1e0 AS n, count(*) FILTER (diagnosis = 'Control') * 1e0 AS n1,
          sum(r) FILTER (diagnosis = 'Control') AS r1
@@ -326,6 +333,20 @@ def group_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.drop("mannwhitney_p"))
 
 
+@register(
+    "group_comparison_lines",
+    f"""WITH {_LINE_RANKS_SQL}, {_MW_SQL},
+means AS (SELECT feature, avg(value) FILTER (diagnosis = 'Control') AS c0, avg(value) FILTER (diagnosis = 'Case') AS c1
+          FROM long GROUP BY feature)
+SELECT feature, {rnd('c0', '"Control"')}, {rnd('c1', '"Case"')},
+       CASE WHEN c0 >= c1 THEN 'Control' ELSE 'Case' END AS highest_in, coalesce(z > {_Z_05}, false) AS significant
+FROM means JOIN mw USING (feature)""",
+)
+def group_comparison_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stats.group_comparison(lines(spark, sf_dir), LINE_FEATURES, CLASSES)
+    return rounded(out.drop("mannwhitney_p"))
+
+
 @register(
     "group_means_long",
     f"""WITH {LONG_SQL} SELECT feature, diagnosis, {rnd('avg(value)', 'mean')} FROM long GROUP BY 1, 2""",
@@ -391,13 +412,6 @@ markers AS (
   FROM by_study JOIN by_class USING (feature))"""
 
 
-_LINE_RANKS_SQL = f"""{LINES_SQL},
-long AS (SELECT sample_id, study, diagnosis, feature, value
-  FROM lines UNPIVOT (value FOR feature IN (l_quantity, l_extendedprice, l_discount, l_tax))),
-ranked AS (
-  SELECT *, rank() OVER (PARTITION BY feature ORDER BY value)
-            + (count(*) OVER (PARTITION BY feature, value) - 1) / 2e0 AS r FROM long)"""
-
 _MARKERS_OUT = f"""SELECT feature, {rnd('auc_predicts_study', 'auc_predicts_study')},
 {rnd('auc_predicts_diagnosis', 'auc_predicts_diagnosis')}, batch_dominated, risk FROM markers"""
 
@@ -493,6 +507,16 @@ def zscore_within_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("sample_id", "study", *TEXT_FEATURES))
 
 
+@register(
+    "zscore_lines",
+    f"""WITH {LINES_SQL} SELECT sample_id, study, {', '.join(rnd(_z_sql(c), c) for c in LINE_FEATURES)}
+FROM lines WINDOW w AS (PARTITION BY study)""",
+)
+def zscore_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prep.zscore_within(lines(spark, sf_dir), LINE_FEATURES)
+    return rounded(out.select("sample_id", "study", *LINE_FEATURES))
+
+
 _RATIOS = [prep.Ratio("en_ratio", "e", "n"), prep.Ratio("az_ratio", "a", "z"), prep.Ratio("eq_ratio", "e", "q")]
 
 
@@ -1035,6 +1059,16 @@ for _query, _name, _params in [
     _register_model(_query, _name, _params)
 
 
+@register("logistic_scores_lines")
+def logistic_scores_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = splits.stratified_holdout(lines(spark, sf_dir)).persist()
+    recipe = Recipe(features=LINE_FEATURES, classes=CLASSES, ratios=None, impute=False, select_k="all")
+    with selection.prepared(recipe, split.where(~F.col("is_test"))) as fold:
+        fitted = selection.fit_on(recipe, zoo.binary_models()["LogisticRegression"], fold)
+        model = selection.whole_model(fold, fitted)
+    return selection.score(model, split.where("is_test"), ["sample_id", "label"]).drop("probability")
+
+
 @register(
     "generalisation_gap",
     f"""WITH {SPLIT_SQL}, nb_train AS (SELECT 'random_split' AS h, * EXCLUDE (is_test) FROM split WHERE NOT is_test

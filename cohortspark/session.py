@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+# A side of a join with at most this many (narrow) rows is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def sized(side: DataFrame, rows: int | None = None) -> DataFrame:
+    """Broadcast ``side`` when it is known to be small, else leave the join to the engine.
+
+    ``rows`` is an upper bound the caller can prove. Without one the side, an aggregate or a lookup
+    table, is kept and counted first: a join that shuffles a sample table by class, study or feature
+    would put a large part of it on one task.
+    """
+    if rows is None:
+        side = side.persist()
+        rows = side.count()
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
