@@ -26,14 +26,17 @@ def bucket_bits(df: DataFrame, bits: int | None = None) -> int:
     return min(MAX_BUCKET_BITS, max(1, shuffle_partitions(df.sparkSession) - 1).bit_length())
 
 
-def _bucket(value: Column, cuts: Column, bits: int) -> Column:
-    """Number of cuts below ``value``, by binary search over the sorted array of 2^bits - 1 cuts."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(bits))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda pos, step: F.when(F.element_at(cuts, pos + step) < value, pos + step).otherwise(pos),
-    )
+def _add_bucket(df: DataFrame, value: str, cuts: Column, bits: int) -> DataFrame:
+    """Add ``_bucket``, the number of cuts below the value, by binary search over 2^bits - 1 sorted cuts.
+
+    One projection per step keeps the search in generated code.
+    """
+    v = F.col(value).cast("double")
+    out = df.withColumn("_bucket", F.lit(0))
+    for step in (1 << i for i in reversed(range(bits))):
+        above = F.element_at(cuts, F.col("_bucket") + step) < v
+        out = out.withColumn("_bucket", F.col("_bucket") + F.when(above, step).otherwise(0))
+    return out
 
 
 def running_totals(
@@ -47,10 +50,12 @@ def running_totals(
     bits: int | None = None,
     n_groups: int | None = None,
     totals: bool = False,
+    peers: bool = False,
 ) -> DataFrame:
     """Add ``before_<s>``: the total of ``s`` over the rows of the group that come earlier.
 
-    ``df`` has one row per (keys, order) and no missing ``order``. Bucket boundaries are estimated;
+    ``df`` has one row per (keys, order), or with ``peers`` a few of them, and no missing ``order``;
+    ``peers`` adds ``tie_<s>``, the total over the rows with the same ``order``. Bucket boundaries are estimated;
     they only balance the work, the totals are exact for any boundaries. ``source`` is the table that
     ``df`` was combined from, with the columns keys, order and sums at row level: boundaries and bucket
     totals are then two scans of it that shuffle next to nothing, and ``df`` itself is computed once.
@@ -77,7 +82,7 @@ def running_totals(
 
     def place(table: DataFrame) -> DataFrame:
         known = table.join(cuts, keys) if keys else table
-        return known.withColumn("_bucket", _bucket(F.col(order).cast("double"), cuts_col, bits)).drop("_cuts")
+        return _add_bucket(known, order, cuts_col, bits).drop("_cuts")
 
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     per_bucket = place(source).groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
@@ -90,14 +95,19 @@ def running_totals(
         *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *whole,
     )
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(direction(order))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    out = place(df).join(sized(offsets, n_groups * n), [*keys, "_bucket"]).withColumns(
-        {f"before_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_o_{s}") for s in sums}
-    )
+    ordered = Window.partitionBy(*keys, "_bucket").orderBy(direction(order))
+    out = place(df).join(sized(offsets, n_groups * n), [*keys, "_bucket"])
+    if peers:
+        upto = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        same = Window.partitionBy(*keys, "_bucket", order)
+        out = out.withColumns(
+            {f"tie_{s}": F.sum(s).over(same) for s in sums} | {f"before_{s}": F.sum(s).over(upto) for s in sums}
+        ).withColumns({f"before_{s}": F.col(f"before_{s}") - F.col(f"tie_{s}") + F.col(f"_o_{s}") for s in sums})
+    else:
+        inside = ordered.rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumns(
+            {f"before_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_o_{s}") for s in sums}
+        )
     return out.drop("_bucket", *[f"_o_{s}" for s in sums])
 
 
@@ -126,14 +136,19 @@ def rank_groups(
     long: DataFrame | None = None,
     n_groups: int | None = None,
     bits: int | None = None,
+    peers: bool = False,
 ) -> DataFrame:
     """Add ``avg_rank``, the mean rank that the ``n`` rows of a tie group share.
 
-    ``long`` is the table of single rows that ``ties`` was combined from.
+    ``long`` is the table of single rows that ``ties`` was combined from. With ``peers`` a tie group
+    may be spread over several rows of ``ties``.
     """
     source = None if long is None else _single_rows(long, keys, value)
-    out = running_totals(ties, keys, value, ["n"], source=source, n_groups=n_groups, bits=bits)
-    return out.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).drop("before_n")
+    out = running_totals(
+        ties, keys, value, ["n"], source=source, n_groups=n_groups, bits=bits, peers=peers
+    )
+    tie = F.col("tie_n") if peers else F.col("n")
+    return out.withColumn("avg_rank", F.col("before_n") + (tie + 1) / F.lit(2.0)).drop("before_n", "tie_n")
 
 
 def _single_rows(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

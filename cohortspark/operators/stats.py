@@ -400,19 +400,14 @@ def batch_markers(
     """
     long = to_long(df, [study_col, label_col], features)
     ties = tie_groups(long, ["feature", study_col], "value", {"pos": F.col(label_col) == positive})
-    # A value carries one entry per study it occurs in: the list is as long as the study table at
-    # most, whatever number of rows share the value.
-    entry = F.struct(F.col(study_col).alias("study"), F.col("n").alias("rows"), "pos")
-    merged = ties.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.collect_list(entry).alias("studies"))
-    ranked = rank_groups(merged, ["feature"], "value", long=long, n_groups=len(features))
+    ranked = rank_groups(ties, ["feature"], "value", long=long, n_groups=len(features), peers=True)
     by_study = (
-        ranked.select("feature", "avg_rank", F.explode("studies").alias("s"))
-        .groupBy("feature", F.col("s.study").alias("study"))
+        ranked.groupBy("feature", F.col(study_col).alias("study"))
         .agg(
-            F.sum("s.rows").alias("n_s"),
-            F.sum("s.pos").alias("pos_s"),
-            F.sum(F.col("s.rows") * F.col("avg_rank")).alias("r_s"),
-            F.sum(F.col("s.pos") * F.col("avg_rank")).alias("rpos_s"),
+            F.sum("n").alias("n_s"),
+            F.sum("pos").alias("pos_s"),
+            F.sum(F.col("n") * F.col("avg_rank")).alias("r_s"),
+            F.sum(F.col("pos") * F.col("avg_rank")).alias("rpos_s"),
         )
     )
     # What is left has one row per feature and study.
