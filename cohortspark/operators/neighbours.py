@@ -256,12 +256,14 @@ class NeighbourIndex:
 
         def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if len(left) == 0 or len(right) == 0:
-                return pd.DataFrame({c: [] for c in names})
+                return pd.DataFrame(columns=names, dtype=object)
             right = right.sort_values("donor_id", ignore_index=True)
             x = _matrix(right["donor_vec"], width)
             q = _matrix(left["vec"], width)
             ids = left["query_id"].to_numpy()
-            frames = []
+            donor_ids = right["donor_id"].to_numpy()
+            carried = {c: right[c].to_numpy() for c in carry}
+            parts: dict[str, list] = {c: [] for c in names}
             step = max(1, CHUNK_CELLS // len(x))
             for i in range(0, len(q), step):
                 part = q[i : i + step]
@@ -278,23 +280,20 @@ class NeighbourIndex:
                     sub = d[np.ix_(asking, usable)]
                     # A stable sort keeps the smaller donor id first among equal distances.
                     order = np.argsort(sub, axis=1, kind="stable")[:, :k]
-                    dist = np.take_along_axis(sub, order, axis=1)
-                    rows = np.repeat(asking, order.shape[1])
-                    cols = usable[order.ravel()]
-                    ok = np.isfinite(dist.ravel())
-                    frame = pd.DataFrame(
-                        {
-                            "query_id": ids[i + rows[ok]],
-                            "target": np.full(ok.sum(), t, dtype="int32"),
-                            "donor_id": right["donor_id"].to_numpy()[cols[ok]],
-                            "dist": dist.ravel()[ok],
-                            "value": x[cols[ok], t] if target_missing else np.full(ok.sum(), np.nan),
-                        }
-                    )
+                    dist = np.take_along_axis(sub, order, axis=1).ravel()
+                    ok = np.isfinite(dist)
+                    rows = np.repeat(asking, order.shape[1])[ok]
+                    cols = usable[order.ravel()][ok]
+                    parts["query_id"].append(ids[i + rows])
+                    parts["target"].append(np.full(len(rows), t, dtype="int32"))
+                    parts["donor_id"].append(donor_ids[cols])
+                    parts["dist"].append(dist[ok])
+                    parts["value"].append(x[cols, t] if target_missing else np.full(len(rows), np.nan))
                     for c in carry:
-                        frame[c] = right[c].to_numpy()[cols[ok]]
-                    frames.append(frame)
-            return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({c: [] for c in names})
+                        parts[c].append(carried[c][cols])
+            if not parts["dist"]:
+                return pd.DataFrame(columns=names, dtype=object)
+            return pd.DataFrame({c: np.concatenate(v) for c, v in parts.items()})
 
         bounded = queries
         if self.cells.blocks.sum() > FEW_BLOCKS:
