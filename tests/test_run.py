@@ -21,7 +21,7 @@ def test_whole_run_writes_reports_model_and_summary(spark, tmp_path):
         y = int(rng.random() < 0.4)
         site = "Stool" if i % 10 else "vaginal"
         data.append(
-            (f"s{i}", f"st{i % 2}", ["Control ", "Case"][y], site, float(rng.normal() + 2 * y + 6), None if i % 9 == 0 else float(rng.random() + 1), None)
+            (f"s{i}", f"st{i % 2}", ["Control ", "Case"][y], site, float(rng.normal() + 2 * y + 6), float(rng.random() + 1), None)
         )
     df = spark.createDataFrame(data, "sample_id string, study string, diagnosis string, sample_type string, x double, y double, blank double")
     out = str(tmp_path / "out")
@@ -30,7 +30,7 @@ def test_whole_run_writes_reports_model_and_summary(spark, tmp_path):
         ["Control", "Case"],
         out,
         expectations=expectations(spark, [("x", "Case", "strong", ["r1"])]),
-        recipe_options={"ratios": [Ratio("xy", "x", "y")], "select_k": "all"},
+        recipe_options={"ratios": [Ratio("xy", "x", "y")], "select_k": "all", "impute": False},
         options=RunOptions(
             sites=["stool"], zscore=["y"], models=small_models(["GaussianNB", "DecisionTree"]), select_grid=None,
             folds=2, repeats=1, policy="youden", lime_samples=100,
