@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.ml.saving import CompositeModel
-from cohortspark.operators.neighbours import NeighbourIndex, knn_vote
+from cohortspark.operators.neighbours import NeighbourIndex, knn_vote, limit_copies
 from cohortspark.session import cut_lineage, fresh_path
 
 
@@ -67,11 +67,12 @@ class KNNClassifier(_Base):
         self._copy_shared(model)
         model._set(k=self.getOrDefault("k"))
         path = fresh_path(dataset.sparkSession, "donors")
-        dataset.select(
+        donors = dataset.select(
             F.col(self.getOrDefault("idCol")).alias("donor_id"),
             vector_to_array(self.getOrDefault("featuresCol")).alias("vec"),
             F.col(self.getOrDefault("labelCol")).cast("int").alias("label"),
-        ).write.parquet(path)
+        )
+        limit_copies(donors, self.getOrDefault("k")).write.parquet(path)
         model.table = dataset.sparkSession.read.parquet(path)
         return model
 

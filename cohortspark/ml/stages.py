@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.ml.saving import CompositeModel
-from cohortspark.operators.neighbours import NeighbourIndex, with_nan
+from cohortspark.operators.neighbours import NeighbourIndex, limit_copies, with_nan
 from cohortspark.operators.prep import DEFAULT_RATIOS, EPS, Ratio, engineer
 from cohortspark.session import fresh_path
 
@@ -51,7 +51,8 @@ class KNNImputer(Estimator, _ImputerParams, DefaultParamsReadable, DefaultParams
         )
         # Donors are kept as a table: every later use reads the same rows, also after a lost executor.
         path = fresh_path(dataset.sparkSession, "donors")
-        dataset.select(F.col(key).alias("donor_id"), with_nan(cols).alias("vec")).write.parquet(path)
+        donors = dataset.select(F.col(key).alias("donor_id"), with_nan(cols).alias("vec"))
+        limit_copies(donors, self.getOrDefault("k")).write.parquet(path)
         model.table = dataset.sparkSession.read.parquet(path)
         return model
 

@@ -317,6 +317,16 @@ class NeighbourIndex:
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def limit_copies(donors: DataFrame, k: int) -> DataFrame:
+    """Keep the k smallest donor ids of rows with equal coordinates.
+
+    Equal rows are equally far from any query and ties go to the smaller id, so no others can be among
+    the k nearest. A point with very many copies is reduced before the shuffle.
+    """
+    copies = Window.partitionBy("vec").orderBy("donor_id")
+    return donors.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
+
+
 def with_nan(columns: Sequence[str]):
     """Array of the columns as doubles, NaN standing for a missing value."""
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns])

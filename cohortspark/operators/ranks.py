@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.keys import HEX_DIGITS, hash_key, hash_slot
-from cohortspark.session import shuffle_partitions, sized
+from cohortspark.session import join_counted, shuffle_partitions, sized
 
 MAX_BUCKET_BITS = 10
 
@@ -162,8 +162,10 @@ def average_rank(
     keys = list(keys)
     ranks = rank_groups(
         tie_groups(long, keys, value), keys, value, long=long, n_groups=n_groups
-    ).select(*keys, value, "avg_rank")
-    return long.join(ranks, [*keys, value], "left")
+    ).select(*keys, value, "n", "avg_rank")
+    present, missing = long.where(F.col(value).isNotNull()), long.where(F.col(value).isNull())
+    ranked = join_counted(present, ranks, [*keys, value], "n").drop("n")
+    return ranked.unionByName(missing.withColumn("avg_rank", F.lit(None).cast("double")))
 
 
 def hash_position(

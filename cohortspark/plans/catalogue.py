@@ -817,7 +817,7 @@ def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     donors = train.select(
         F.col("sample_id").alias("donor_id"), neighbours.with_nan(FULL_FEATURES).alias("vec"), "label"
     )
-    index = neighbours.NeighbourIndex(donors, len(FULL_FEATURES))
+    index = neighbours.NeighbourIndex(neighbours.limit_copies(donors, 5), len(FULL_FEATURES))
     asked = test.select(F.col("sample_id").alias("query_id"), neighbours.with_nan(FULL_FEATURES).alias("vec"))
     votes = neighbours.knn_vote(index, asked, 5, 2)
     return rounded(

@@ -55,3 +55,24 @@ def sized(side: DataFrame, rows: int | None = None) -> DataFrame:
         side = side.persist()
         rows = side.count()
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+
+
+# A key with more rows than this is joined by broadcast, apart from the others.
+HOT_ROWS = 1_000_000
+
+
+def join_counted(big: DataFrame, side: DataFrame, keys: list[str], n_col: str, hot_rows: int | None = None) -> DataFrame:
+    """Inner join with a one-row-per-key ``side`` whose ``n_col`` counts the rows of the key in ``big``.
+
+    Keys with very many rows would each fill one task of a shuffled join. There are few of them (at
+    most rows / hot_rows), so they are broadcast and only the other keys are shuffled.
+    """
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    hot = side.where(F.col(n_col) > limit).persist()
+    n_hot = hot.count()
+    if n_hot == 0:
+        return big.join(side, keys)
+    hot = sized(hot, n_hot)
+    cold = side.where(F.col(n_col) <= limit)
+    rest = big.join(sized(hot.select(*keys), n_hot), keys, "left_anti")
+    return big.join(hot, keys).unionByName(rest.join(cold, keys))

@@ -89,3 +89,12 @@ def test_vote_tie_goes_to_the_smaller_class(spark):
     donors, queries = frames(spark, np.array([[0.0], [1.0]]), np.array([[0.5]]))
     row = neighbours.knn_vote(NeighbourIndex(donors, 1), queries, 2, 2).first()
     assert row["votes"] == [0.5, 0.5] and row["prediction"] == 0.0
+
+
+def test_copies_beyond_k_do_not_matter(spark):
+    x = np.vstack([np.tile([[0.0, np.nan]], (40, 1)), np.array([[1.0, 2.0], [3.0, 4.0]])])
+    donors, queries = frames(spark, x, np.array([[0.0, 0.0], [3.0, 4.0]]))
+    fewer = neighbours.limit_copies(donors, 3)
+    assert fewer.count() == 5
+    got = collected(NeighbourIndex(fewer, 2).join(queries, 3, target_missing=False))
+    assert {k: v for (k, _), v in got.items()} == brute(x, np.array([[0.0, 0.0], [3.0, 4.0]]), 3)

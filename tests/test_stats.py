@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortspark.operators import curves, prep, ranks, splits, stats
+from cohortspark.session import join_counted
 from tests.conftest import rows
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -194,3 +195,10 @@ def test_missing_values_have_no_rank(spark):
 def test_long_form_keeps_missing_rows(spark):
     df = spark.createDataFrame([(1, 1.0, None)], "id int, x double, y double")
     assert rows(prep.to_long(df, ["id"], ["x", "y"])) == [(1, "x", 1.0), (1, "y", None)]
+
+
+def test_hot_keys_join_apart_with_the_same_result(spark):
+    big = spark.createDataFrame([("h", i) for i in range(30)] + [("a", 1), ("b", 2)], "key string, x int")
+    side = big.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    apart = join_counted(big, side, ["key"], "n", hot_rows=10)
+    assert rows(apart) == rows(big.join(side, "key")) and apart.count() == 32
