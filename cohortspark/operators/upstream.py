@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators.ranks import hash_position, percentiles
-from cohortspark.session import join_counted, sized
+from cohortspark.session import join_salted, sized
 
 
 def assert_unique(df: DataFrame, key: str) -> None:
@@ -49,16 +49,18 @@ def attach_labels(
     return samples.join(found, key, "left").withColumn(out, F.coalesce(out, F.lit(unknown)))
 
 
-def relative_abundance(counts: DataFrame, sample: str = "sample_id", reads: str = "reads") -> DataFrame:
+def relative_abundance(
+    counts: DataFrame, sample: str = "sample_id", reads: str = "reads", taxon: str = "taxon"
+) -> DataFrame:
     """Add ``share``: percent of the reads of the sample.
 
     Totals are one row per sample and join back; a sample with very many rows stays spread over tasks.
     """
-    totals = counts.groupBy(sample).agg(F.sum(reads).alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    totals = counts.groupBy(sample).agg(F.sum(reads).alias("_total"))
     return (
-        join_counted(counts, totals, [sample], "_rows")
+        join_salted(counts, totals, [sample], taxon)
         .withColumn("share", F.lit(100.0) * F.col(reads) / F.nullif("_total", F.lit(0)))
-        .drop("_total", "_rows")
+        .drop("_total")
     )
 
 
@@ -123,14 +125,10 @@ def rarefy(
     Every read gets a seeded hash key and the first ``depth`` reads in key order are kept. The reads of
     a deep sample are cut at the leading hash digits, so that it is spread over tasks.
     """
-    totals = (
-        counts.groupBy(sample)
-        .agg(F.sum(reads).alias("_total"), F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_total") >= depth)
-    )
+    totals = counts.groupBy(sample).agg(F.sum(reads).alias("_total")).where(F.col("_total") >= depth)
     spread = F.ceil(F.log(16.0, F.col("_total") / F.lit(float(READS_PER_SLOT))))
     digits = F.greatest(F.lit(0), spread.cast("int"))
-    deep = join_counted(counts, totals.select(sample, "_rows", digits.alias("_digits")), [sample], "_rows")
+    deep = join_salted(counts, totals.select(sample, digits.alias("_digits")), [sample], taxon)
     single = (
         deep.where(F.col(reads) > 0)
         .select(

@@ -76,3 +76,17 @@ def join_counted(big: DataFrame, side: DataFrame, keys: list[str], n_col: str, h
     cold = side.where(F.col(n_col) <= limit)
     rest = big.join(sized(hot.select(*keys), n_hot), keys, "left_anti")
     return big.join(hot, keys).unionByName(rest.join(cold, keys))
+
+
+SALTS = 16
+
+
+def join_salted(big: DataFrame, side: DataFrame, keys: list[str], spread_by: str, salts: int = SALTS) -> DataFrame:
+    """Inner join with a ``side`` that is far smaller than ``big``, each key spread over several tasks.
+
+    The rows of a key are salted by a hash of ``spread_by`` and the side is repeated once per salt; the
+    adaptive skew join splits what is still too large. Needs no count of either side.
+    """
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    repeated = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")

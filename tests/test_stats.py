@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortspark.operators import curves, prep, ranks, splits, stats
-from cohortspark.session import join_counted
+from cohortspark.session import join_counted, join_salted
 from tests.conftest import rows
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -202,3 +202,4 @@ def test_hot_keys_join_apart_with_the_same_result(spark):
     side = big.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     apart = join_counted(big, side, ["key"], "n", hot_rows=10)
     assert rows(apart) == rows(big.join(side, "key")) and apart.count() == 32
+    assert rows(join_salted(big, side, ["key"], "x", salts=4)) == rows(apart)
