@@ -53,7 +53,7 @@ def test_three_class_run(spark, tmp_path):
     df = spark.createDataFrame(data, "sample_id int, diagnosis string, x double, y double")
     models = {"GaussianNB": zoo.multiclass_models()["GaussianNB"]}
     tables = run(
-        df, names, str(tmp_path / "out"), recipe_options={"ratios": None, "select_k": "all"},
+        df, names, str(tmp_path / "out"), recipe_options={"ratios": None, "select_k": "all", "impute": False},
         options=RunOptions(models=models, folds=2, repeats=1),
     )
     assert tables["test_auc"].count() == 3 and tables["shap_importance"].first()["feature"] == "x"
