@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import op05_decontaminate  # noqa: F401
+from cohortspark.llm import (  # noqa: F401
+    op05_decontaminate,
+    op09_near_dup,
+)
 from cohortspark.llm.registry import QUERIES, SQL, Query
 
 
