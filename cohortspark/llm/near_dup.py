@@ -7,7 +7,8 @@
    grouped; that joins what belongs together without all pairs of a bucket.
 4. Buckets whose members still lie in different groups are compared in full, tile against tile of signatures, except
    within a group. Buckets beyond a bounded number of tiles are divided by a second band first, for all other bands.
-   Pairs whose signatures agree at least as an estimate of 0.75 less five deviations are confirmed on the full sets.
+   Members with a partner whose signature agrees at least as an estimate of 0.75 less five deviations get their full
+   sets, and a task confirms such pairs of its block itself. It returns links that join groups, never all pairs.
 5. Union-find in every task shortens the links, then labels spread along what is left until nothing changes.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing. Repeated rows are
@@ -18,6 +19,7 @@ while its component holds another id. Columns besides the two named ones are nev
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from cohortspark.session import cut_lineage, fresh_path
 
 SHINGLE = 5
 SHARE = (75, 100)  # intersection over union
-TILE = 512  # members of a bucket compared at once
-MAX_TILES = 16  # larger buckets are divided by a second band
+TILE = 2048  # members of a bucket compared at once
+MAX_TILES = 4  # larger buckets are divided by a second band
 DEVIATIONS = 5
 
 
@@ -165,62 +167,127 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
-def compare_tiles(members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs of different groups, in the same bucket, whose signatures come near the wanted similarity.
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a block next to each other, in a partition that holds many blocks."""
+    slots = max(8, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(slots, "block").sortWithinPartitions("block", "tile", "key")
+
+
+def blocks(data: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """One table per block; only the block in hand is held."""
+    held: pa.Table | None = None
+    for batch in data:
+        got = pa.Table.from_batches([batch])
+        held = got if held is None else pa.concat_tables([held, got])
+        cuts = np.flatnonzero(np.diff(held["block"].to_numpy())) + 1
+        edges = [0, *cuts.tolist()]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield held.slice(a, b - a)
+        held = held.slice(edges[-1])
+    if held is not None and len(held):
+        yield held
+
+
+@dataclass
+class Block:
+    """Members of two tiles of one bucket (or of one tile), and which of them are candidates."""
+
+    prints: np.ndarray
+    label: np.ndarray
+    band: int
+    left: np.ndarray
+    right: np.ndarray
+    least: float
+
+    @staticmethod
+    def of(t: pa.Table, share: tuple[int, int]) -> Block:
+        tile, i, j = (t[c].to_numpy() for c in ("tile", "i", "j"))
+        _, label = np.unique(np.array(t["label"].to_pylist(), dtype=object), return_inverse=True)
+        prints = np.frombuffer(b"".join(t["prints"].to_pylist()), dtype=np.uint16).reshape(len(t), -1)
+        want = share[0] / share[1]
+        least = S.SLOTS * (want - DEVIATIONS * (want * (1 - want) / S.SLOTS) ** 0.5)
+        left = np.flatnonzero(tile == i[0])
+        return Block(prints, label, t["band"][0].as_py(), left, np.flatnonzero(tile == j[0]), least)
+
+    def partners(self, p: int) -> np.ndarray:
+        """Members after p that may be similar to it, are in another group and share no earlier band with it."""
+        mine = self.right[self.right > p]
+        mine = mine[self.label[mine] != self.label[p]]
+        mine = mine[(self.prints[mine] == self.prints[p]).sum(axis=1) >= self.least]
+        if self.band >= 0 and len(mine):
+            used = S.BANDS * S.ROWS
+            equal = (self.prints[mine, :used] == self.prints[p, :used]).reshape(len(mine), S.BANDS, S.ROWS).all(axis=2)
+            mine = mine[equal.argmax(axis=1) == self.band]
+        return mine
+
+
+def candidates(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The members that have a candidate in their block, by block.
 
-    ``members``: bucket, n (members of the bucket), key, label, prints. A task holds a few tiles at a time; a pair of
-    tiles is compared as a matrix, and only pairs that pass leave the task.
+    ``members``: band, bucket, n (members of the bucket), key, label, prints. Signatures are compared as matrices of two
+    tiles. A pair belongs to the first band that both share, so it is looked at once.
     """
-    want = share[0] / share[1]
-    least = S.SLOTS * (want - DEVIATIONS * (want * (1 - want) / S.SLOTS) ** 0.5)
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     rows = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    spark = members.sparkSession
-    slots = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.select(F.xxhash64("bucket", "i", "j").alias("block"), "tile", "i", "j", "key", "label", "prints")
-    rows = rows.repartition(slots, "block").sortWithinPartitions("block", "tile")
-
-    def block_pairs(t: pa.Table) -> Iterator[tuple[bytes, bytes]]:
-        tile, i, j = (t[c].to_numpy() for c in ("tile", "i", "j"))
-        keys, labels = t["key"].to_pylist(), t["label"].to_pylist()
-        _, label = np.unique(np.array(labels, dtype=object), return_inverse=True)
-        prints = np.frombuffer(b"".join(t["prints"].to_pylist()), dtype=np.uint16).reshape(len(keys), -1)
-        same = i[0] == j[0]
-        left = np.flatnonzero(tile == i[0])
-        right = left if same else np.flatnonzero(tile == j[0])
-        for p in left:
-            mine = right[right > p] if same else right
-            mine = mine[label[mine] != label[p]]
-            good = mine[(prints[mine] == prints[p]).sum(axis=1) >= least]
-            for q in good:
-                yield (keys[p], keys[q]) if keys[p] < keys[q] else (keys[q], keys[p])
+    names = ["block", "band", "tile", "i", "j", "key", "label", "prints"]
+    rows = dealt(rows.withColumn("block", F.xxhash64("bucket", "i", "j")).select(*names))
 
     def run(data: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in data:
-            got = pa.Table.from_batches([batch])
-            held = got if held is None else pa.concat_tables([held, got])
-            block = held["block"].to_numpy()
-            cuts = np.flatnonzero(np.diff(block)) + 1
-            if len(cuts) == 0:
+        for t in blocks(data):
+            block = Block.of(t, share)
+            keep = np.zeros(len(t), dtype=bool)
+            for p in block.left.tolist():
+                found = block.partners(p)
+                keep[found] = True
+                keep[p] |= len(found) > 0
+            if keep.any():
+                yield from t.filter(pa.array(keep)).to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def confirm_blocks(rows: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Confirmed links of each block, as many as its groups need to be joined: fewer than it has members."""
+    rows = dealt(rows.join(sets, "key").select("block", "band", "tile", "i", "j", "key", "label", "prints", "elements"))
+
+    def links(t: pa.Table) -> list[tuple[bytes, bytes]]:
+        block = Block.of(t, share)
+        keys = t["key"].to_pylist()
+        parts = [np.frombuffer(x, dtype=np.uint64) for x in t["elements"].to_pylist()]
+        sizes = np.array([len(x) for x in parts])
+        names, flat = np.unique(np.concatenate(parts), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        mark = np.zeros(len(names), dtype=np.int64)
+        group = block.label.copy()
+        out = []
+        for p in block.left.tolist():
+            near = block.partners(p)
+            near = near[group[near] != group[p]]
+            if len(near) == 0:
                 continue
-            yield from emit(held, np.concatenate([[0], cuts]))
-            held = held.slice(int(cuts[-1]))
-        if held is not None and len(held):
-            yield from emit(held, np.array([0, len(held)]))
+            mine = flat[starts[p] : starts[p] + sizes[p]]
+            mark[mine] = 1
+            many = sizes[near]
+            ends = np.cumsum(many)
+            at = np.arange(int(ends[-1])) - np.repeat(ends - many, many) + np.repeat(starts[near], many)
+            common = np.add.reduceat(mark[flat[at]], ends - many)
+            mark[mine] = 0
+            for q in near[share[1] * common >= share[0] * (sizes[p] + many - common)].tolist():
+                if group[q] != group[p]:
+                    group[group == group[q]] = group[p]
+                    out.append((keys[p], keys[q]))
+        return out
 
-    def emit(held: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[bytes, bytes]] = set()
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a > 1:
-                found.update(block_pairs(held.slice(a, b - a)))
-        if found:
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], names=["a", "b"])
+    def run(data: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in blocks(data):
+            found = links(t)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def divided(members: DataFrame, prints: DataFrame) -> DataFrame:
@@ -234,7 +301,7 @@ def divided(members: DataFrame, prints: DataFrame) -> DataFrame:
     parts = F.posexplode(F.array(*band_keys(F.col("bucket")))).alias("second", "bucket")
     finer = large.select("band", "key", "label", "prints", parts).where("second != band").drop("second")
     sizes = finer.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    finer = finer.join(sizes.where("n > 1 AND lo != hi").select("bucket", "n"), "bucket")
+    finer = finer.join(sizes.where("n > 1 AND lo != hi").select("bucket", "n"), "bucket").withColumn("band", F.lit(-1))
     return members.where(F.col("n") <= limit).unionByName(finer.select(*members.columns))
 
 
@@ -266,8 +333,8 @@ def near_duplicates(
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
     rest = cut_lineage(named.join(mixed.select("bucket"), "bucket", "left_semi"))
     if not rest.isEmpty():
-        more = compare_tiles(divided(rest, classes.select("key", "prints")), share)
-        links = cut_lineage(links.unionByName(confirm(more, sets, share)))
+        near = candidates(divided(rest, classes.select("key", "prints")), share)
+        links = cut_lineage(links.unionByName(confirm_blocks(near, sets, share)))
         labels = components(links)
     lead = classes.select("key", "rep").join(labels.withColumnRenamed("node", "key"), "key", "left")
     lead = cut_lineage(lead.select("key", "rep", F.coalesce("label", "key").alias("label")))
