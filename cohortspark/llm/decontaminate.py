@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Every task sorts the suffixes of its own documents (one shard: the words of about six megabytes of text) and looks up
+Every task sorts the suffixes of its own documents (one shard: the words of about four megabytes of text) and looks up
 every suffix of every benchmark item by binary search: one bisection for each further word, until no training suffix
 agrees any more. That gives the longest verbatim match of each item suffix, and all places where its first ``window``
 words stand. Documents are never shuffled. The benchmark travels in blocks of bounded size, each broadcast by itself
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cohortspark.llm import words as W
 
 WINDOW = 10
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 20
 

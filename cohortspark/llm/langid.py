@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cohortspark.llm import words as W
 
 SAMPLE_DOCS = 96
-EXCERPT = 400
+EXCERPT = 256
 TABLE_BYTES = 256 << 10
 PIECE = 256
 UNKNOWN = "und"

@@ -49,6 +49,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def _sums(low: np.ndarray) -> np.ndarray:
+    """Prefix sums of bytes times powers of the base; wrap-around is exact arithmetic modulo 2^64."""
+    up, _ = _powers(len(low) + 1)
+    sums = np.zeros(len(low) + 1, dtype=np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=sums[1:])
+    return sums
+
+
+def _hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    _, down = _powers(len(sums))
+    h = (sums[ends] - sums[starts]) * down[starts]
+    return mix(h + (ends - starts).astype(np.uint64) * _M2)
+
+
 @dataclass
 class Words:
     """Words of consecutive texts. ``text_start[i]`` is the number of the first word of text i; one more entry closes."""
@@ -67,13 +81,21 @@ class Words:
 
     def hashes(self, first: int | None = None) -> np.ndarray:
         """Hash of every word, or of its first bytes (words with fewer get that of the word and one end mark)."""
-        up, down = _powers(len(self.low) + 1)
-        if self.sums is None:
-            self.sums = np.zeros(len(self.low) + 1, dtype=np.uint64)
-            np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * up[: len(self.low)], out=self.sums[1:])
         ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
-        h = (self.sums[ends] - self.sums[self.starts]) * down[self.starts]
-        return mix(h + (ends - self.starts).astype(np.uint64) * _M2)
+        if len(self.low) <= CHUNK_BYTES:
+            if self.sums is None:
+                self.sums = _sums(self.low)
+            return _hashes(self.sums, self.starts, ends)
+        # Longer buffers go piece by piece: a hash depends on the bytes of its word only, never on their place.
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        a = 0
+        while a < len(out):
+            base = self.starts[a]
+            b = max(a + 1, int(np.searchsorted(self.ends, base + CHUNK_BYTES, side="right")))
+            sums = _sums(self.low[base : self.ends[b - 1]])
+            out[a:b] = _hashes(sums, self.starts[a:b] - base, ends[a:b] - base)
+            a = b
+        return out
 
     def word(self, i: int) -> bytes:
         return self.low[self.starts[i] : self.ends[i]].tobytes()

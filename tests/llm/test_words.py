@@ -41,3 +41,12 @@ def test_sliced_column():
     found = W.split(raw, offsets)
     assert [found.word(i) for i in range(len(found))] == [b"three"]
     assert found.text_start.tolist() == [0, 0, 1, 1]
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    text = "the quick brown fox " * 30 + "x" * 500 + " and é the"
+    raw, offsets = W.strings(pa.array([text, None, text], pa.large_string()))
+    whole = W.split(raw, offsets).hashes()
+    monkeypatch.setattr(W, "CHUNK_BYTES", 64)
+    assert (W.split(raw, offsets).hashes() == whole).all()
+    assert (W.split(raw, offsets).hashes(3) == W.Words(*vars(W.split(raw, offsets)).values()).hashes(3)).all()
