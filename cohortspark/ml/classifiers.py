@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.ml.saving import CompositeModel
-from cohortspark.operators.neighbours import NeighbourIndex, knn_vote, limit_copies
+from cohortspark.operators.neighbours import NeighbourIndex, knn_vote, limit_copies, vector_key
 from cohortspark.session import cut_lineage, fresh_path
 
 
@@ -74,24 +75,29 @@ class KNNClassifier(_Base):
         )
         limit_copies(donors, self.getOrDefault("k")).write.parquet(path)
         model.table = dataset.sparkSession.read.parquet(path)
+        model.donor_path = path
         return model
 
 
 class KNNModel(_Fitted):
+    donor_path: str | None = None  # of a model fitted in this session
     k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
     _index: NeighbourIndex | None = None
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        key, features = self.getOrDefault("idCol"), self.getOrDefault("featuresCol")
+        features = self.getOrDefault("featuresCol")
         if self._index is None:
             width = len(self.table.first()["vec"])
             self._index = NeighbourIndex(self.table, width)
-        queries = dataset.select(F.col(key).alias("query_id"), vector_to_array(features).alias("vec"))
+        # Equal rows have equal votes: they are asked once, and ids need not be unique.
+        vec = vector_to_array(features)
+        dataset = dataset.withColumn("_asked", vector_key(vec))
+        queries = dataset.select(F.col("_asked").alias("query_id"), vec.alias("vec")).dropDuplicates(["query_id"])
         votes = knn_vote(self._index, queries, self.getOrDefault("k"), self.getOrDefault("numClasses"))
         return (
-            dataset.join(votes.withColumnRenamed("query_id", key), key)
+            dataset.join(votes.withColumnRenamed("query_id", "_asked"), "_asked")
             .withColumn("probability", array_to_vector("votes"))
-            .drop("votes")
+            .drop("votes", "_asked")
         )
 
 
@@ -183,7 +189,8 @@ class AdaBoostModel(_Fitted):
 
         scores = [votes(c) for c in range(k)]
         if k == 2:
-            one = 1 / (1 + F.exp(-scores[1]))
+            # The published softmax is over the scores of both classes, s and -s.
+            one = 1 / (1 + F.exp(F.lit(-2.0) * scores[1]))
             prob = F.array(1 - one, one)
         else:
             exps = [F.exp(s / (k - 1)) for s in scores]
@@ -235,17 +242,18 @@ class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable)
 class RBFClassifier(_Base):
     """Two-class support vector classifier with a radial kernel and probabilities.
 
-    Random Fourier features, a linear support vector machine on them and a logistic fit of the margin.
+    Random Fourier features, a linear support vector machine on them and a logistic fit of held-out margins.
     ``gamma=0`` means 1 / (columns * variance of all entries).
     """
 
     c = Param(Params._dummy(), "c", "inverse regularisation", TypeConverters.toFloat)
     gamma = Param(Params._dummy(), "gamma", "kernel width, 0 for scale", TypeConverters.toFloat)
     size = Param(Params._dummy(), "size", "number of random features", TypeConverters.toInt)
+    folds = Param(Params._dummy(), "folds", "parts of the rows for held-out margins", TypeConverters.toInt)
 
-    def __init__(self, c: float = 1.0, gamma: float = 0.0, size: int = 256, **params):
+    def __init__(self, c: float = 1.0, gamma: float = 0.0, size: int = 256, folds: int = 5, **params):
         super().__init__(**params)
-        self._set(c=c, gamma=gamma, size=size)
+        self._set(c=c, gamma=gamma, size=size, folds=folds)
 
     def _fit(self, dataset: DataFrame) -> "RBFModel":
         features, label = self.getOrDefault("featuresCol"), self.getOrDefault("labelCol")
@@ -267,9 +275,17 @@ class RBFClassifier(_Base):
             svm = svm.setWeightCol(self.getOrDefault("weightCol"))
         mapped = fourier.transform(dataset).persist()
         fitted = svm.fit(mapped)
+        # Margins for the logistic fit come from machines that have not seen the row.
+        numbered = mapped.withColumn("_part", F.pmod(F.xxhash64(vector_to_array(features)), F.lit(self.getOrDefault("folds"))))
+        outside = []
+        for f in range(self.getOrDefault("folds")):
+            inside = numbered.where(F.col("_part") != f)
+            if inside.select(label).distinct().count() == 2:
+                outside.append(svm.fit(inside).transform(numbered.where(F.col("_part") == f)))
+        margins = reduce(DataFrame.unionByName, outside) if outside else fitted.transform(mapped)
         platt = LogisticRegression(
             featuresCol="_margin", labelCol=label, predictionCol="_pp", probabilityCol="_pv", rawPredictionCol="_pr"
-        ).fit(_margin(fitted.transform(mapped)))
+        ).fit(_margin(margins))
         mapped.unpersist()
         model = RBFModel()
         self._copy_shared(model)
@@ -308,9 +324,12 @@ class PerClass(_Base):
         label = self.getOrDefault("labelCol")
         model = PerClassModel()
         self._copy_shared(model)
+        estimator = self.estimator
+        if self.getOrDefault("weightCol") and estimator.hasParam("weightCol"):
+            estimator = estimator.copy({estimator.getParam("weightCol"): self.getOrDefault("weightCol")})
         for c in range(self.getOrDefault("numClasses")):
             binary = dataset.withColumn(label, (F.col(label) == c).cast("double"))
-            model.parts.append(self.estimator.fit(binary))
+            model.parts.append(estimator.fit(binary))
         return model
 
 

@@ -28,22 +28,37 @@ CENTROIDS = 10
 SMALL_TRAINING_SET = 15
 BACKGROUND_ROWS = 50
 EXPAND_ROWS = 20_000
+# Ridge penalties of the published method, for the choice of features and for the fit.
+CHOICE_PENALTY, FIT_PENALTY = 0.01, 1.0
 
 
 def centroid_background(
-    train: DataFrame, features: Sequence[str], k: int = CENTROIDS, seed: int = 42
+    train: DataFrame, features: Sequence[str], k: int = CENTROIDS, seed: int = 42, few_rows: int = SMALL_TRAINING_SET
 ) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``k`` weighted centroids of the training rows; the rows themselves when they are few."""
-    known = train.select(*[F.col(c).cast("double") for c in features]).na.drop()
-    few = known.limit(SMALL_TRAINING_SET + 1).collect()
-    if len(few) <= SMALL_TRAINING_SET:
+    """At most ``k`` weighted centroids of the training rows; the rows themselves when there are at most ``few_rows``.
+
+    A missing value stands at the mean of its column (0 in an empty one); every coordinate of a centroid is moved to the
+    nearest value the column really has.
+    """
+    numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in features]
+    raw = train.select(*numbers)
+    means = raw.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in features]).first()
+    known = raw.select(*[F.coalesce(F.col(c), F.lit(means[c])).alias(c) for c in features])
+    few = known.limit(few_rows + 1).collect()
+    if len(few) <= few_rows:
         return np.array([list(r) for r in few], dtype=float), np.full(len(few), 1.0 / max(1, len(few)))
     vec = VectorAssembler(inputCols=list(features), outputCol="v").transform(known).select("v")
     model = KMeans(featuresCol="v", k=k, seed=seed).fit(vec)
     sizes = {r["prediction"]: r["count"] for r in model.transform(vec).groupBy("prediction").count().collect()}
-    centres = np.array(model.clusterCenters())
-    weights = np.array([sizes.get(i, 0) for i in range(len(centres))], dtype=float)
-    return centres[weights > 0], weights[weights > 0] / weights.sum()
+    weights = np.array([sizes.get(i, 0) for i in range(len(model.clusterCenters()))], dtype=float)
+    centres = np.array(model.clusterCenters())[weights > 0]
+    nearest = [
+        F.array(*[F.min(F.struct(F.abs(F.col(c) - F.lit(float(x))), F.col(c).alias("x"))) for x in centres[:, j]]).alias(c)
+        for j, c in enumerate(features)
+    ]
+    moved = known.agg(*nearest).first()
+    snapped = np.array([[cell["x"] for cell in moved[c]] for c in features], dtype=float).T
+    return snapped, weights[weights > 0] / weights.sum()
 
 
 def sampled_background(
@@ -256,7 +271,8 @@ def lime(
 
     Each row is perturbed ``samples`` times: bins are drawn by their training share and values inside a
     bin around its mean; perturbed rows count by how many features stay in the bin of the row. A ridge
-    fit picks the strongest features and is fitted again on them.
+    fit with a slight penalty picks the strongest features, another one is fitted on them. A feature without any training
+    value gets weight 0.
     """
     names = list(features)
     p = len(names)
@@ -278,6 +294,10 @@ def lime(
                 same = np.empty((samples, p))
                 for j, f in enumerate(names):
                     known = sorted(stats[f])
+                    if not known:
+                        # No training row has a value: nothing to draw, nothing the fit could learn from.
+                        values[:, j], same[:, j] = np.nan, 1.0
+                        continue
                     here = sum(1 for c in cuts.get(f, []) if row[f] > c)
                     shares = np.array([stats[f][b][0] for b in known], dtype=float)
                     bins = rng.choice(known, size=samples, p=shares / shares.sum())
@@ -305,7 +325,7 @@ def lime(
         z = np.vstack(pdf["_same"].to_numpy())
         y = pdf["_y"].to_numpy(dtype=float)
         w = np.sqrt(np.exp(-((1 - z).sum(axis=1)) / width**2))
-        chosen = np.argsort(-np.abs(_ridge(z, y, w)[0]), kind="stable")[:top]
+        chosen = np.argsort(-np.abs(_ridge(z, y, w, CHOICE_PENALTY)[0]), kind="stable")[:top]
         slope, intercept = _ridge(z[:, chosen], y, w)
         order = np.argsort(-np.abs(slope), kind="stable")
         return pd.DataFrame(
@@ -322,7 +342,7 @@ def lime(
     )
 
 
-def _ridge(z: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+def _ridge(z: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = FIT_PENALTY) -> tuple[np.ndarray, float]:
     zm, ym = np.average(z, axis=0, weights=w), np.average(y, weights=w)
     zc, yc = z - zm, y - ym
     slope = np.linalg.solve(zc.T @ (w[:, None] * zc) + penalty * np.eye(z.shape[1]), zc.T @ (w * yc))

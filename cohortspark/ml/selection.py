@@ -23,6 +23,7 @@ from cohortspark.ml.stages import feature_stages, kept_names, select_stage
 from cohortspark.ml.zoo import Entry, Setting
 from cohortspark.operators import curves, evaluate, splits
 from cohortspark.operators.prep import DEFAULT_RATIOS, Ratio, class_weights
+from cohortspark.session import remove
 
 # Fixed value: features kept when the count is not searched.
 SELECT_K = 10
@@ -39,6 +40,7 @@ class Recipe:
     ratios: Sequence[Ratio] | None = DEFAULT_RATIOS
     clip_cols: Sequence[str] | None = None
     impute: bool = True
+    impute_mode: str = "knn"
     select_k: int | str = SELECT_K
     id_col: str = "sample_id"
     label_col: str = "label"
@@ -52,6 +54,7 @@ class Recipe:
             clip_cols=self.clip_cols,
             impute=self.impute,
             id_col=self.id_col,
+            impute_mode=self.impute_mode,
         )
 
     @property
@@ -71,10 +74,11 @@ class Prepared:
 
 
 @contextmanager
-def prepared(recipe: Recipe, train: DataFrame, test: DataFrame | None = None):
+def prepared(recipe: Recipe, train: DataFrame, test: DataFrame | None = None, temporary: bool = False):
     """Fit the feature stages on ``train`` and keep the prepared rows for the fits inside the block.
 
-    Rows are kept once they are imputed and assembled: what follows is a cheap projection of them.
+    Rows are kept once they are imputed and assembled: what follows is a cheap projection of them. ``temporary`` stages
+    are not used after the block, and the donor rows they wrote are deleted.
     """
     *front, scaler = recipe.stages()
     assemble = Pipeline(stages=front).fit(train)
@@ -102,6 +106,9 @@ def prepared(recipe: Recipe, train: DataFrame, test: DataFrame | None = None):
         rows.unpersist()
         if held is not None:
             held.unpersist()
+        if temporary:
+            for path in {getattr(s, "donor_path", None) for s in assemble.stages} - {None}:
+                remove(train.sparkSession, path)
 
 
 def fit_on(recipe: Recipe, entry: Entry, fold: Prepared, params: dict | None = None) -> PipelineModel:
@@ -148,20 +155,22 @@ def _each(items: Iterable, work: Callable, parallel: int = PARALLEL_FITS) -> lis
 
 @contextmanager
 def _fold_tables(recipe: Recipe, train: DataFrame, folds: int, repeats: int):
-    """List of (training rows, held-out rows); the fold numbers join back by row key."""
-    numbered = splits.repeated_folds(
-        train, recipe.label_col, [recipe.id_col], folds, repeats, recipe.seed
-    ).select(recipe.id_col, "repeat", "fold")
-    joined = train.join(numbered, recipe.id_col).persist()
-    parts = []
+    """List of (training rows, held-out rows). Each row carries its fold of every repeat, so ids need not be unique."""
+    numbered = train
     for r in range(repeats):
-        part = joined.where(F.col("repeat") == r).drop("repeat")
-        for f in range(folds):
-            parts.append((part.where(F.col("fold") != f).drop("fold"), part.where(F.col("fold") == f).drop("fold")))
+        numbered = splits.stratified_folds(numbered, recipe.label_col, [recipe.id_col], folds, recipe.seed + r)
+        numbered = numbered.withColumnRenamed("fold", f"_fold{r}")
+    own = [f"_fold{r}" for r in range(repeats)]
+    numbered = numbered.withColumn("_folds", F.array(*own)).drop(*own).persist()
+
+    def part(r: int, f: int, held: bool) -> DataFrame:
+        fold = F.col("_folds")[r]
+        return numbered.where(fold == f if held else fold != f).drop("_folds")
+
     try:
-        yield parts
+        yield [(part(r, f, False), part(r, f, True)) for r in range(repeats) for f in range(folds)]
     finally:
-        joined.unpersist()
+        numbered.unpersist()
 
 
 def _cv_scores(
@@ -172,7 +181,7 @@ def _cv_scores(
     errors: dict = {}
 
     def one_fold(part):
-        with prepared(recipe, *part) as fold:
+        with prepared(recipe, *part, temporary=True) as fold:
 
             def one(name):
                 if name in errors:
@@ -181,8 +190,10 @@ def _cv_scores(
                 try:
                     model = fit_on(recipe, entry, fold, params)
                     scores[name].append(_measure(recipe, score(model, fold.test, _keep(recipe, fold.test))))
+                    for path in {getattr(s, "donor_path", None) for s in model.stages} - {None}:
+                        remove(train.sparkSession, path)
                 except Exception as exc:  # noqa: BLE001 - a failing model is reported, the others go on
-                    errors[name] = f"{type(exc).__name__}: {exc}"[:500]
+                    errors[name] = f"{type(exc).__name__}: {exc}"
 
             _each(points, one)
 
@@ -211,7 +222,7 @@ def screen_models(
     points = {name: (entry, {}) for name, entry in models.items()}
     scores, errors = _cv_scores(recipe, train, points, folds, repeats)
     rows = []
-    with prepared(recipe, train) as whole:
+    with prepared(recipe, train, temporary=True) as whole:
 
         def on_train(name):
             if name in errors:

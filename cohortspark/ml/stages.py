@@ -6,16 +6,18 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.ml.saving import CompositeModel
-from cohortspark.operators.neighbours import NeighbourIndex, limit_copies, with_nan
-from cohortspark.operators.prep import DEFAULT_RATIOS, EPS, Ratio, engineer
+from cohortspark.operators.neighbours import NeighbourIndex, limit_copies, vector_key, with_nan
+from cohortspark.operators.prep import DEFAULT_RATIOS, EPS, Ratio, engineer, to_long
+from cohortspark.operators.ranks import percentiles
 from cohortspark.session import fresh_path
 
 # Fixed value: donors per missing cell.
@@ -26,60 +28,80 @@ class _ImputerParams(Params):
     inputCols = Param(Params._dummy(), "inputCols", "columns to fill", TypeConverters.toListString)
     idCol = Param(Params._dummy(), "idCol", "unique row key", TypeConverters.toString)
     k = Param(Params._dummy(), "k", "donors per missing cell", TypeConverters.toInt)
+    mode = Param(Params._dummy(), "mode", "knn, approx, mean or median", TypeConverters.toString)
     means = Param(Params._dummy(), "means", "training means", TypeConverters.toListFloat)
 
 
 class KNNImputer(Estimator, _ImputerParams, DefaultParamsReadable, DefaultParamsWritable):
     """Fill a missing cell with the mean of that column over the k nearest training rows that have it.
 
-    Falls back to the training mean where no training row can be compared.
+    Falls back to the training mean where no training row can be compared. Other modes, by name: ``approx`` looks at one
+    block of donors near the row instead of all that may hold a neighbour (for tables with so many columns that no block
+    can be ruled out), ``mean`` and ``median`` fill with that number of the training column.
     """
 
-    def __init__(self, inputCols: Sequence[str] = (), idCol: str = "sample_id", k: int = NEIGHBOURS):
+    def __init__(self, inputCols: Sequence[str] = (), idCol: str = "sample_id", k: int = NEIGHBOURS, mode: str = "knn"):
         super().__init__()
-        self._set(inputCols=list(inputCols), idCol=idCol, k=k)
+        if mode not in ("knn", "approx", "mean", "median"):
+            raise ValueError(f"unknown mode {mode!r}")
+        self._set(inputCols=list(inputCols), idCol=idCol, k=k, mode=mode)
 
     def _fit(self, dataset: DataFrame) -> "KNNImputerModel":
         cols, key = self.getOrDefault("inputCols"), self.getOrDefault("idCol")
-        means = dataset.agg(*[F.avg(c).alias(c) for c in cols]).first()
+        mode = self.getOrDefault("mode")
+        if mode == "median":
+            middle = percentiles(to_long(dataset, [], cols).where("value IS NOT NULL"), ["feature"], "value", {"m": 0.5}, n_groups=len(cols))
+            means = {r["feature"]: r["m"] for r in middle.collect()}
+        else:
+            means = dataset.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
         model = KNNImputerModel()
         model._set(
             inputCols=cols,
             idCol=key,
             k=self.getOrDefault("k"),
-            means=[float("nan") if means[c] is None else float(means[c]) for c in cols],
+            mode=mode,
+            means=[float("nan") if means.get(c) is None else float(means[c]) for c in cols],
         )
+        if mode in ("mean", "median"):
+            return model
         # Donors are kept as a table: every later use reads the same rows, also after a lost executor.
         path = fresh_path(dataset.sparkSession, "donors")
         donors = dataset.select(F.col(key).alias("donor_id"), with_nan(cols).alias("vec"))
         limit_copies(donors, self.getOrDefault("k")).write.parquet(path)
         model.table = dataset.sparkSession.read.parquet(path)
+        model.donor_path = path
         return model
 
 
 class KNNImputerModel(CompositeModel, _ImputerParams):
     _index: NeighbourIndex | None = None
+    donor_path: str | None = None  # of a model fitted in this session
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        cols, key = self.getOrDefault("inputCols"), self.getOrDefault("idCol")
+        cols = self.getOrDefault("inputCols")
+        if self.table is None:
+            fills = zip(cols, self.getOrDefault("means"))
+            return dataset.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in fills})
         gap = F.lit(False)
         for c in cols:
             gap = gap | F.col(c).isNull()
         if self._index is None:
             self._index = NeighbourIndex(self.table, len(cols))
         # Only rows with a gap look for neighbours; the others pass without a shuffle.
-        holed = dataset.where(gap)
+        # Equal rows have equal fills: they are asked once, and ids need not be unique.
+        holed = dataset.where(gap).withColumn("_asked", vector_key(with_nan(cols)))
         near = self._index.join(
-            holed.select(F.col(key).alias("query_id"), with_nan(cols).alias("vec")),
+            holed.select(F.col("_asked").alias("query_id"), with_nan(cols).alias("vec")).dropDuplicates(["query_id"]),
             self.getOrDefault("k"),
             target_missing=True,
+            approximate=self.getOrDefault("mode") == "approx",
         )
-        fills = near.groupBy(F.col("query_id").alias(key)).agg(
+        fills = near.groupBy(F.col("query_id").alias("_asked")).agg(
             *[F.avg(F.when(F.col("target") == j, F.col("value"))).alias(f"_f{j}") for j in range(len(cols))]
         )
         means = self.getOrDefault("means")
         filled = (
-            holed.join(fills, key, "left")
+            holed.join(fills, "_asked", "left")
             .withColumns({c: F.coalesce(c, f"_f{j}", F.lit(means[j])) for j, c in enumerate(cols)})
             .select(*dataset.columns)
         )
@@ -161,11 +183,12 @@ def feature_stages(
     impute: bool = True,
     id_col: str = "sample_id",
     neighbours: int = NEIGHBOURS,
+    impute_mode: str = "knn",
 ) -> list:
     """Impute -> engineer -> assemble -> scale; ``ratios=None`` leaves the engineering step out."""
     stages: list = []
     if impute:
-        stages.append(KNNImputer(features, id_col, neighbours))
+        stages.append(KNNImputer(features, id_col, neighbours, impute_mode))
     names = list(features)
     if ratios is not None:
         step = FeatureEngineer(features, ratios, clipCols=clip_cols)
@@ -176,17 +199,46 @@ def feature_stages(
     return stages
 
 
-def select_stage(k: int | str, n_features: int, label_col: str = "label") -> UnivariateFeatureSelector:
-    """Keep the k features with the best ANOVA F score; ``"all"`` keeps every one, in column order."""
-    top = n_features if k == "all" else min(int(k), n_features)
-    return (
-        UnivariateFeatureSelector(
-            featuresCol="scaled", outputCol="features", labelCol=label_col, selectionMode="numTopFeatures"
+class FScoreSelector(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Keeps the ``k`` columns of a vector with the largest one-way ANOVA F score, in column order.
+
+    Ranked by F itself: p-values underflow to 0 for every useful column of a large table. Ties go to the first column;
+    a column whose F is undefined comes last. ``k=0`` keeps every column.
+    """
+
+    k = Param(Params._dummy(), "k", "columns to keep, 0 for all", TypeConverters.toInt)
+    inputCol = Param(Params._dummy(), "inputCol", "vector column", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "vector column of the kept ones", TypeConverters.toString)
+    labelCol = Param(Params._dummy(), "labelCol", "class number", TypeConverters.toString)
+
+    def __init__(self, k: int = 0, inputCol: str = "scaled", outputCol: str = "features", labelCol: str = "label"):
+        super().__init__()
+        self._set(k=k, inputCol=inputCol, outputCol=outputCol, labelCol=labelCol)
+
+    def scores(self, dataset: DataFrame) -> np.ndarray:
+        """F of every column, from count, mean and variance per class (one row per class reaches the driver)."""
+        summary = Summarizer.metrics("count", "mean", "variance").summary(F.col(self.getOrDefault("inputCol")))
+        rows = dataset.groupBy(self.getOrDefault("labelCol")).agg(summary.alias("s")).collect()
+        n = np.array([r["s"]["count"] for r in rows], dtype=float)[:, None]
+        mean = np.array([r["s"]["mean"].toArray() for r in rows])
+        var = np.array([r["s"]["variance"].toArray() for r in rows])
+        grand = (n * mean).sum(axis=0) / n.sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            between = (n * (mean - grand) ** 2).sum(axis=0) / (len(rows) - 1)
+            return between / (((n - 1) * var).sum(axis=0) / (n.sum() - len(rows)))
+
+    def _fit(self, dataset: DataFrame) -> VectorSlicer:
+        f = self.scores(dataset)
+        k = self.getOrDefault("k") or len(f)
+        order = np.argsort(-np.where(np.isnan(f), -np.inf, f), kind="stable")[:k]
+        return VectorSlicer(
+            inputCol=self.getOrDefault("inputCol"), outputCol=self.getOrDefault("outputCol"), indices=sorted(map(int, order))
         )
-        .setFeatureType("continuous")
-        .setLabelType("categorical")
-        .setSelectionThreshold(top)
-    )
+
+
+def select_stage(k: int | str, n_features: int, label_col: str = "label") -> FScoreSelector:
+    """Keep the k features with the best ANOVA F score; ``"all"`` keeps every one, in column order."""
+    return FScoreSelector(0 if k == "all" else min(int(k), n_features), labelCol=label_col)
 
 
 def kept_names(model: PipelineModel) -> list[str]:
@@ -195,8 +247,8 @@ def kept_names(model: PipelineModel) -> list[str]:
     for stage in _flat(model):
         if isinstance(stage, VectorAssembler):
             names = stage.getInputCols()
-        elif hasattr(stage, "selectedFeatures"):
-            names = [names[i] for i in sorted(stage.selectedFeatures)]
+        elif isinstance(stage, VectorSlicer):
+            names = [names[i] for i in stage.getIndices()]
     return names
 
 

@@ -7,7 +7,7 @@ of its k-th neighbour; it then meets only the blocks whose box reaches within th
 compares one slice of queries with one block and keeps k rows per query.
 
 Distance is the squared Euclidean distance over the coordinates both rows have, scaled up by
-``all coordinates / common coordinates``. Distances are rounded, ties go to the smaller donor id.
+``all coordinates / common coordinates``. Equal distances go to the smaller donor id.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.functions.keys import hash_key
-from cohortspark.session import sized
+from cohortspark.session import cut_lineage, sized
 
-DIGITS = 9
+# Bounds of boxes and distances round differently; a block is ruled out only beyond this relative margin.
+MARGIN = 1e-9
 MAX_PIVOTS = 1024
 ROWS_PER_PIVOT = 2048
 MAX_PATTERNS = 64
@@ -53,7 +54,7 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         out = total * (q.shape[1] / common)
     out[common == 0] = np.inf
-    return np.round(out, DIGITS)
+    return out
 
 
 @dataclass
@@ -203,7 +204,7 @@ class NeighbourIndex:
                         continue
                     bound = part["bound"].to_numpy(dtype=float)
                     bound = np.where(np.isnan(bound), np.inf, bound)
-                    qi, ci = np.nonzero((low <= bound[:, None] + 10.0**-DIGITS) & np.isfinite(low))
+                    qi, ci = np.nonzero((low <= bound[:, None] * (1 + MARGIN)) & np.isfinite(low))
                     n = cells.blocks[ci]
                     rows = np.repeat(qi, n)
                     base = np.repeat(first[ci], n)
@@ -216,6 +217,9 @@ class NeighbourIndex:
 
     def _compare(self, routed: DataFrame, k: int, compare, schema: str, carry: Sequence[str]) -> DataFrame:
         """Cogroup slices of queries with their block; a block with many queries is replicated."""
+        if self.cells.blocks.sum() > FEW_BLOCKS:
+            # Read for the load and for the join; routed once.
+            routed = cut_lineage(routed)
         load = routed.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
         slices = load.select("block", F.ceil(F.col("_n") / F.lit(self.query_rows)).cast("int").alias("_slices"))
         # One row per block that is asked for.
@@ -237,12 +241,15 @@ class NeighbourIndex:
 
     # -- joins -----------------------------------------------------------------------------------
 
-    def join(self, queries: DataFrame, k: int, target_missing: bool, carry: Sequence[str] = ()) -> DataFrame:
+    def join(
+        self, queries: DataFrame, k: int, target_missing: bool, carry: Sequence[str] = (), approximate: bool = False
+    ) -> DataFrame:
         """The k nearest donors of every query.
 
         ``queries`` holds ``query_id`` and ``vec``. With ``target_missing`` the donors of a query are
         looked up once per missing coordinate ``target`` among the rows that have it, and ``value``
         is what the donor has there; otherwise ``target`` is 0 and ``carry`` columns come along.
+        ``approximate`` compares each query with one block near to it and no other.
         """
         width = self.width
         queries = queries.select("query_id", "vec")
@@ -295,6 +302,10 @@ class NeighbourIndex:
                 return pd.DataFrame(columns=names, dtype=object)
             return pd.DataFrame({c: np.concatenate(v) for c, v in parts.items()})
 
+        if approximate:
+            found = self._compare(self._route(queries, k, True), k, compare, schema, carry)
+            best = Window.partitionBy("query_id", "target").orderBy("dist", "donor_id")
+            return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         bounded = queries
         if self.cells.blocks.sum() > FEW_BLOCKS:
             seen = self._compare(self._route(queries, k, True), k, compare, schema, carry)
@@ -310,6 +321,7 @@ class NeighbourIndex:
             bounded = queries.join(bound, "query_id", "left").select(
                 "query_id", "vec", F.when(F.col("full") == wanted, F.col("d")).alias("bound")
             )
+            bounded = cut_lineage(bounded)
         else:
             bounded = queries.withColumn("bound", F.lit(None).cast("double"))
         found = self._compare(self._route(bounded, k, False), k, compare, schema, carry)
@@ -327,6 +339,11 @@ def limit_copies(donors: DataFrame, k: int) -> DataFrame:
     return donors.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
 
 
+def vector_key(vec: Column) -> Column:
+    """Key of an array of numbers; equal arrays have equal keys."""
+    return F.md5(vec.cast("string").cast("binary"))
+
+
 def with_nan(columns: Sequence[str]):
     """Array of the columns as doubles, NaN standing for a missing value."""
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns])

@@ -165,8 +165,10 @@ def zscore_within(df: DataFrame, cols: Sequence[str], study_col: str = "study")
         usable = z.isNotNull() & ~F.isnan(z) & (F.abs(z) != F.lit(float("inf")))
         return F.when(F.col(c).isNull(), F.lit(None)).when(usable, z).otherwise(F.lit(0.0))
 
+    # Rows without a study form a group of their own and stay.
+    stats = stats.withColumnRenamed(study_col, "_study")
     return (
-        df.join(sized(stats), study_col)
+        df.join(sized(stats), F.col(study_col).eqNullSafe(F.col("_study")), "left")
         .withColumns({c: scaled(c) for c in cols})
         .select(*df.columns)
     )

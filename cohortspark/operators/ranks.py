@@ -13,17 +13,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.keys import HEX_DIGITS, hash_key, hash_slot
+from cohortspark.functions.keys import hash_key, hash_slot, slot_digits
 from cohortspark.session import join_counted, shuffle_partitions, sized
 
-MAX_BUCKET_BITS = 10
-
-
 def bucket_bits(df: DataFrame, bits: int | None = None) -> int:
     """log2 of the bucket count: as many buckets per group as the session has shuffle partitions."""
     if bits is not None:
         return bits
-    return min(MAX_BUCKET_BITS, max(1, shuffle_partitions(df.sparkSession) - 1).bit_length())
+    return max(1, shuffle_partitions(df.sparkSession) - 1).bit_length()
 
 
 def _add_bucket(df: DataFrame, value: str, cuts: Column, bits: int) -> DataFrame:
@@ -175,15 +172,18 @@ def hash_position(
     seed: int | Column,
     *,
     size: str | None = None,
-    digits: int | Column = HEX_DIGITS,
+    digits: int | Column | None = None,
 ) -> DataFrame:
     """Add ``position`` (1..n) of each row within its group in seeded hash order.
 
     The order is cut at the leading hash digits, so a group of any size is spread evenly over tasks.
-    ``digits`` may be a column that is constant within a group: few digits for small groups.
+    ``digits`` may be a column that is constant within a group: few digits for small groups. By default there are at least
+    16 slots for each shuffle partition.
     ``size`` names an extra column that receives the size of the group.
     """
     keys = list(keys)
+    if digits is None:
+        digits = slot_digits(shuffle_partitions(df.sparkSession))
     keyed = df.withColumn("_key", hash_key(seed, *[F.col(c) for c in ids])).withColumn(
         "_slot", hash_slot(F.col("_key"), digits)
     )
@@ -193,11 +193,17 @@ def hash_position(
     extra = [F.sum("_n").over(group).alias(size)] if size else []
     offsets = counts.select(*keys, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"), *extra)
     inside = Window.partitionBy(*keys, "_slot").orderBy("_key", *ids)
+    # A missing key is a group of its own, so the join is null-safe.
+    parts = [*keys, "_slot"]
+    offsets = offsets.withColumnsRenamed({k: f"_of_{k}" for k in parts})
+    same = F.lit(True)
+    for k in parts:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     return (
         keyed.withColumn("_r", F.row_number().over(inside))
-        .join(offsets, [*keys, "_slot"])
+        .join(offsets, same)
         .withColumn("position", F.col("_r") + F.col("_o"))
-        .drop("_key", "_slot", "_r", "_o")
+        .drop("_key", "_slot", "_r", "_o", *[f"_of_{k}" for k in parts])
     )
 
 

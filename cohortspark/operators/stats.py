@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -75,11 +77,8 @@ def study_auc_floor(
     per = df.groupBy(study_col).agg(
         F.count_if(F.col(label_col) == positive).alias("pos_in"), F.count(F.lit(1)).alias("n_in")
     )
-    # One row per study: the window runs over the study table, never over samples.
-    everyone = Window.partitionBy(F.lit(1))
-    pos = F.sum("pos_in").over(everyone)
-    neg = F.sum(F.col("n_in") - F.col("pos_in")).over(everyone)
-    totals = per.withColumns({"_pos": pos, "_neg": neg})
+    whole = df.agg(F.count_if(F.col(label_col) == positive).alias("pos"), F.count(F.lit(1)).alias("n")).first()
+    totals = per.withColumns({"_pos": F.lit(whole["pos"]), "_neg": F.lit(whole["n"] - whole["pos"])})
     p1 = F.col("pos_in") / F.nullif(F.col("_pos"), F.lit(0))
     p0 = (F.col("n_in") - F.col("pos_in")) / F.nullif(F.col("_neg"), F.lit(0))
     auc = p1 * (1 - p0) + F.lit(0.5) * (p1 * p0 + (1 - p1) * (1 - p0))
@@ -102,40 +101,17 @@ def missingness(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-PAIRWISE_LIMIT = 24
+# A column counts as constant when its variance over the rows of a pair is below this part of its mean square there,
+# both taken about the mean of the whole column.
+CONSTANT = 1e-12
 
 
 def correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Pearson correlation of every feature pair over the rows that hold both; constant -> missing.
 
-    Few features: one aggregate over all pairs. Many features: each task reduces its rows to masked
-    Gram matrices, and the matrices are added up by pair.
+    NaN counts as missing. Each task reduces its rows to masked Gram matrices, which are added up by pair.
     """
-    if len(features) <= PAIRWISE_LIMIT:
-        return _correlation_pairs(df, features)
-    return _correlation_gram(df, features)
-
-
-def _correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        spread = F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b))
-        aggs.append((F.regr_sxy(a, b) / F.nullif(spread, F.lit(0.0))).alias(f"p{k}"))
-    rows = F.array(
-        *[
-            F.struct(F.lit(a).alias("feature_x"), F.lit(b).alias("feature_y"), F.col(f"p{k}").alias("r"))
-            for k, (a, b) in enumerate(pairs)
-        ]
-    )
-    half = df.agg(*aggs).select(F.explode(rows).alias("s")).select("s.*")
-    mirror = half.where("feature_x <> feature_y").select(
-        F.col("feature_y").alias("feature_x"), F.col("feature_x").alias("feature_y"), "r"
-    )
-    return half.unionByName(mirror)
-
-
-def _correlation_gram(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in features])
     names = list(features)
     # Shifting by the column means keeps the sums of squares well conditioned.
     means = df.agg(*[F.avg(c).alias(c) for c in names]).first()
@@ -178,7 +154,7 @@ def _correlation_gram(df: DataFrame, features: Sequence[str]) -> DataFrame:
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    floor = F.lit(1e-12)
+    floor = F.lit(CONSTANT)
     spread = F.when((vx > floor * F.col("sxx")) & (vy > floor * F.col("syy")), F.sqrt(vx * vy))
     labels = F.array(*[F.lit(c) for c in names])
     return total.select(
@@ -265,23 +241,53 @@ def _u_statistics(ranked: DataFrame) -> DataFrame:
     return base.withColumn("z", (u_max - mean - F.lit(0.5)) / F.col("_s")).drop("_s")
 
 
+# Fixed value: the published test is exact up to this many rows in the smaller class, whatever the other one has.
 EXACT_SMALL = 8
-EXACT_LARGE = 1000
+
+
+@cache
+def _partition_numerator(parts: tuple[int, ...], period: int) -> list[int]:
+    """Product of (1 - q^period) / (1 - q^part): the generating function of partitions over (1 - q^period)^len."""
+    poly = [1]
+    for part in parts:
+        grown = poly + [0] * (period - part)
+        # Times (1 - q^period) / (1 - q^part) = 1 + q^part + ... + q^(period - part).
+        out = grown[:]
+        for k in range(part, len(out)):
+            out[k] += out[k - part]
+            if k >= period and k - period < len(poly):
+                out[k] -= poly[k - period]
+        poly = out
+    return poly
+
+
+def _partitions(x: int, parts: tuple[int, ...]) -> int:
+    """Ways to write x as a sum of the parts (repetition allowed, order ignored): a quasi-polynomial in x."""
+    if x < 0:
+        return 0
+    period = math.lcm(*parts)
+    top = _partition_numerator(parts, period)
+    return sum(
+        top[j] * math.comb((x - j) // period + len(parts) - 1, len(parts) - 1)
+        for j in range(x % period, min(x, len(top) - 1) + 1, period)
+    )
 
 
 def exact_u_tail(n1: int, n2: int, u: float) -> float:
-    """P(U >= u) without ties, by counting the arrangements that reach each U."""
-    small, large = sorted((n1, n2))
-    # ways[m] counts the subsets of m ranks by their U; built up one rank at a time.
-    ways = np.zeros((small + 1, small * large + 1))
-    ways[0, 0] = 1.0
-    for rank in range(small + large):
-        for m in range(min(small, rank + 1), 0, -1):
-            shift = rank - (m - 1)
-            if shift <= large:
-                ways[m, shift:] += ways[m - 1, : ways.shape[1] - shift]
-    counts = ways[small]
-    return float(counts[math.ceil(u) :].sum() / counts.sum())
+    """P(U >= u) without ties, in exact integers and in the same work for any size of the larger class.
+
+    The arrangements with a given U are the coefficients of a Gaussian binomial; expanding its numerator
+    gives at most 2^(smaller class) partition counts. By symmetry the upper tail is a lower one.
+    """
+    small, large = sorted((int(n1), int(n2)))
+    most = small * large - math.ceil(u)
+    parts = (1, *range(1, small + 1))  # the second 1 adds up the coefficients
+    ways = sum(
+        (-1) ** r * _partitions(most - r * large - sum(chosen), parts)
+        for r in range(small + 1)
+        for chosen in combinations(range(1, small + 1), r)
+    )
+    return ways / math.comb(small + large, small)
 
 
 def _p_values(stats: DataFrame) -> DataFrame:
@@ -293,7 +299,7 @@ def _p_values(stats: DataFrame) -> DataFrame:
             for n1, n2, ties, u1, z in zip(pdf["n1"], pdf["n2"], pdf["has_ties"], pdf["u1"], pdf["z"]):
                 if n1 == 0 or n2 == 0:
                     out.append(None)
-                elif not ties and min(n1, n2) <= EXACT_SMALL and max(n1, n2) <= EXACT_LARGE:
+                elif not ties and min(n1, n2) <= EXACT_SMALL:
                     out.append(min(1.0, 2 * exact_u_tail(n1, n2, max(u1, n1 * n2 - u1))))
                 elif pd.isna(z):
                     out.append(1.0)

@@ -110,6 +110,7 @@ def shannon(
 
 # A sample is split over 16, 256, ... tasks' worth of reads once it is deeper than this.
 READS_PER_SLOT = 100_000
+PART_READS = 10_000
 
 
 def rarefy(
@@ -135,7 +136,17 @@ def rarefy(
             sample,
             taxon,
             "_digits",
-            F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(reads).cast("bigint"))).alias("_read"),
+            F.col(reads).cast("bigint").alias("_reads"),
+            # A cell is expanded a part at a time: no row holds an array as long as its reads.
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(reads) - 1) / PART_READS).cast("bigint"))).alias("_part"),
+        )
+        .select(
+            sample,
+            taxon,
+            "_digits",
+            F.explode(
+                F.sequence(F.col("_part") * PART_READS + 1, F.least((F.col("_part") + 1) * PART_READS, F.col("_reads")))
+            ).alias("_read"),
         )
     )
     placed = hash_position(single, [sample], [sample, taxon, "_read"], seed, digits=F.col("_digits"))

@@ -7,13 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.ml import explain, selection, zoo
 from cohortspark.ml.selection import Recipe
-from cohortspark.ml.stages import KNNImputer
+from cohortspark.ml.stages import FScoreSelector, KNNImputer, PopulationScaler
 from cohortspark.operators import curves, evaluate, expect, neighbours, prep, ranks, splits, stats, upstream
 from cohortspark.plans.views import (
     CLASSES,
@@ -368,6 +369,61 @@ def anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.anova_f(samples(spark, sf_dir), TEXT_FEATURES))
 
 
+@register(
+    "population_scaler",
+    f"""WITH {LINES_SQL} SELECT sample_id, {', '.join(f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0), 6) + 0e0 AS {c}" for c in LINE_FEATURES)}
+FROM lines""",
+)
+def population_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scaling stage of the pipeline on whole rows: population deviation, constant columns become 0."""
+    rows = VectorAssembler(inputCols=list(LINE_FEATURES), outputCol="assembled").transform(lines(spark, sf_dir))
+    scaled = PopulationScaler().fit(rows).transform(rows).select("sample_id", vector_to_array("scaled").alias("s"))
+    return rounded(scaled.select("sample_id", *[F.col("s")[i].alias(c) for i, c in enumerate(LINE_FEATURES)]))
+
+
+@register(
+    "mann_whitney_exact",
+    """WITH v AS (SELECT vec_id < 2 AS few, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+long AS (SELECT few, 'x' AS feature, x AS v FROM v UNION ALL SELECT few, 'y', y FROM v),
+r AS (SELECT feature, few, rank() OVER (PARTITION BY feature ORDER BY v) AS r, count(*) OVER (PARTITION BY feature) AS n,
+  count(*) OVER (PARTITION BY feature, v) AS same FROM long),
+u AS (SELECT feature, max(n) AS n, sum(r) FILTER (few) - 3 AS u, max(same) AS tie FROM r GROUP BY feature),
+tail AS (SELECT feature, n, tie, greatest(u, 2 * (n - 2) - u) AS u FROM u),
+ways AS (SELECT feature, sum(greatest(0, n - greatest(i + 1, u + 3 - i) + 1)) AS hits
+  FROM tail, LATERAL (SELECT unnest(range(1, n)) AS i) GROUP BY feature)
+SELECT feature, CAST(u AS DOUBLE) AS u_max, tie > 1 AS has_ties,
+round(least(1e0, 2 * hits / (n * (n - 1) / 2e0)), 9) + 0e0 AS mannwhitney_p FROM tail JOIN ways USING (feature)""",
+)
+def mann_whitney_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two vectors against all others, without ties: the p-value comes from counting arrangements."""
+    rows = vectors(spark, sf_dir).select(
+        F.when(F.col("sample_id") < 2, "few").otherwise("many").alias("diagnosis"), F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y")
+    )
+    out = stats.mann_whitney(rows, ["x", "y"], ["few", "many"])
+    top = F.greatest(F.col("u1"), F.col("n1") * F.col("n2") - F.col("u1"))
+    p = F.round("mannwhitney_p", 9) + F.lit(0.0)
+    return out.select("feature", top.cast("double").alias("u_max"), "has_ties", p.alias("mannwhitney_p"))
+
+
+@register(
+    "select_k_best",
+    """WITH long AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS label, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value,
+  unnest(range(4)) AS place FROM lineitem),
+g AS (SELECT place, label, count(value) AS n, avg(value) AS m, var_pop(value) AS v FROM long GROUP BY 1, 2),
+w AS (SELECT place, count(*) AS k, sum(n) AS n, sum(n * v) AS within, sum(n * m) / sum(n) AS grand FROM g GROUP BY 1),
+f AS (SELECT place, (SELECT sum(g.n * (g.m - w.grand) ** 2) FROM g WHERE g.place = w.place) / (k - 1) / (within / (n - k)) AS f FROM w)
+SELECT ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'][place + 1] AS feature, round(f, 6) + 0e0 AS f_score
+FROM f ORDER BY f DESC, place LIMIT 2""",
+)
+def select_k_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that the pipeline's own selection stage keeps, with the scores it ranks them by."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("label"), *LINE_FEATURES)
+    vectors_ = VectorAssembler(inputCols=list(LINE_FEATURES), outputCol="scaled").transform(rows)
+    stage = FScoreSelector(2)
+    scores, kept = stage.scores(vectors_), stage.fit(vectors_).getIndices()
+    return rounded(spark.createDataFrame([(LINE_FEATURES[i], float(scores[i])) for i in kept], "feature string, f_score double"))
+
+
 @register(
     "top_k_features",
     f"""WITH {LONG_SQL},
@@ -507,6 +563,18 @@ def zscore_within_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("sample_id", "study", *TEXT_FEATURES))
 
 
+@register(
+    "zscore_missing_study",
+    f"""WITH base AS ({SAMPLES_SQL.removeprefix('samples AS (').removesuffix(')')}),
+samples AS (SELECT * REPLACE (CASE WHEN label = 1 THEN study END AS study) FROM base)
+SELECT sample_id, study, {', '.join(rnd(_z_sql(c), c) for c in TEXT_FEATURES)} FROM samples WINDOW w AS (PARTITION BY study)""",
+)
+def zscore_missing_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples without a study form a group of their own and stay in the table."""
+    df = samples(spark, sf_dir).withColumn("study", F.when(F.col("label") == 1, F.col("study")))
+    return rounded(prep.zscore_within(df, TEXT_FEATURES).select("sample_id", "study", *TEXT_FEATURES))
+
+
 @register(
     "zscore_lines",
     f"""WITH {LINES_SQL} SELECT sample_id, study, {', '.join(rnd(_z_sql(c), c) for c in LINE_FEATURES)}
@@ -566,6 +634,19 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified_folds(samples(spark, sf_dir)).select("sample_id", "label", "fold")
 
 
+@register(
+    "folds_with_duplicate_ids",
+    f"""WITH {SAMPLES_SQL}, twice AS (SELECT sample_id // 2 AS sample_id, label FROM samples),
+placed AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '42', sample_id)), sample_id) - 1) % 5 AS fold
+  FROM twice)
+SELECT label, CAST(fold AS INTEGER) AS fold, count(*) AS n FROM placed GROUP BY label, fold""",
+)
+def folds_with_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two samples share most ids here; every row still has one fold."""
+    df = samples(spark, sf_dir).withColumn("sample_id", F.floor(F.col("sample_id") / 2))
+    return splits.stratified_folds(df).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(
     "stratified_folds_lines",
     f"""WITH {LINES_SQL} SELECT sample_id, label, CAST((row_number() OVER (PARTITION BY label
@@ -694,15 +775,25 @@ def threshold_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.threshold_sensitivity(_scores(spark, sf_dir)))
 
 
+def class_scores() -> Column:
+    """Ten class scores from all coordinates: the sum of every tenth one."""
+    picked = lambda c: F.filter("vec", lambda v, j: j % 10 == c)
+    return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.aggregate(picked(c), F.lit(0.0), lambda a, v: a + v))
+
+
+_SCORES_SQL = """(SELECT label, list_transform(range(10), lambda c: list_reduce(list_transform(range(c, len(embedding), 10),
+  lambda j: CAST(embedding[j + 1] AS DOUBLE)), lambda a, b: a + b)) AS scores FROM embeddings)"""
+
+
 @register(
     "ovr_auc",
-    """WITH s AS (SELECT c, label = c AS y, embedding[c + 1]::DOUBLE AS v FROM embeddings, range(10) t(c)),
+    f"""WITH s AS (SELECT c, label = c AS y, scores[c + 1] AS v FROM {_SCORES_SQL}, range(10) t(c)),
 r AS (SELECT c, y, rank() OVER (PARTITION BY c ORDER BY v) + (count(*) OVER (PARTITION BY c, v) - 1) / 2e0 AS r FROM s),
 g AS (SELECT c, count(*) FILTER (y) * 1e0 AS n1, count(*) * 1e0 AS n, sum(r) FILTER (y) AS r1 FROM r GROUP BY c)
 SELECT 'c' || c AS class, round((r1 - n1 * (n1 + 1) / 2) / (n1 * (n - n1)), 6) + 0e0 AS auc FROM g WHERE n1 > 0""",
 )
 def ovr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = vectors(spark, sf_dir).select("label", F.slice("vec", 1, 10).alias("probability"))
+    scored = vectors(spark, sf_dir).select("label", class_scores().alias("probability"))
     return rounded(curves.ovr_auc(scored, VECTOR_CLASSES))
 
 
@@ -710,13 +801,16 @@ def ovr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PRED_SQL = f"{SAMPLES_SQL}, pred AS (SELECT label, CAST(e >= 10e0 AS INTEGER) AS prediction FROM samples)"
-_ARGMAX_SQL = """pred AS (SELECT label, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS prediction FROM embeddings)"""
+_ARGMAX_SQL = f"""pred AS (SELECT label, list_position(scores, list_max(scores)) - 1 AS prediction FROM {_SCORES_SQL})"""
+
+
+_PRED_EXAMPLE_SQL = f"{SAMPLES_SQL}, pred AS (SELECT sample_id, CAST(e >= 10e0 AS INTEGER) AS prediction FROM samples)"
 
 
 def _argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.slice("vec", 1, 10)
-    return vectors(spark, sf_dir).select(
-        "label", (F.array_position(head, F.array_max(head)) - 1).cast("int").alias("prediction")
+    scored = vectors(spark, sf_dir).select("label", class_scores().alias("s"))
+    return scored.select(
+        "label", (F.array_position("s", F.array_max("s")) - 1).cast("int").alias("prediction")
     )
 
 
@@ -761,6 +855,16 @@ def confusion_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confusion(_argmax(spark, sf_dir), VECTOR_CLASSES)
 
 
+@register(
+    "confusion_stray_label",
+    f"""WITH {_ARGMAX_SQL} SELECT 'c' || a AS actual, 'c' || b AS predicted,
+(SELECT count(*) FROM pred WHERE label = a AND prediction = b) AS n FROM range(7) x(a), range(7) y(b)""",
+)
+def confusion_stray_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven of ten classes are declared; rows of the others do not count."""
+    return evaluate.confusion(_argmax(spark, sf_dir), VECTOR_CLASSES[:7])
+
+
 @register("class_report", f"WITH {_PRED_SQL}, {_per_sql(2)} {_REPORT_SQL.format(name=_NAME2)}")
 def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.class_report(_binary_confusion(spark, sf_dir)))
@@ -802,18 +906,21 @@ def _train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
 
 
-_DIST_SQL = " + ".join(f"(q.{c} - d.{c}) ** 2" for c in FULL_FEATURES)
+_DIST_SQL = " + ".join(f"(q.{c} - d.{c}) * (q.{c} - d.{c})" for c in FULL_FEATURES)
 
 
 @register(
     "knn_vote",
     f"""WITH {SPLIT_SQL},
-near AS (SELECT q.sample_id, d.label, row_number() OVER (PARTITION BY q.sample_id ORDER BY round({_DIST_SQL}, 9), d.sample_id) AS rk
+near AS (SELECT q.sample_id, d.label, row_number() OVER (PARTITION BY q.sample_id ORDER BY {_DIST_SQL}, d.sample_id) AS rk
   FROM split q, split d WHERE q.is_test AND NOT d.is_test)
 SELECT sample_id, {rnd('avg(label)', 'score')}, CAST(avg(label) > 0.5e0 AS INTEGER) AS prediction FROM near WHERE rk <= 5 GROUP BY sample_id""",
 )
 def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _train_test(spark, sf_dir)
+    return _vote(*_train_test(spark, sf_dir))
+
+
+def _vote(train: DataFrame, test: DataFrame) -> DataFrame:
     donors = train.select(
         F.col("sample_id").alias("donor_id"), neighbours.with_nan(FULL_FEATURES).alias("vec"), "label"
     )
@@ -829,6 +936,19 @@ def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "knn_vote_small_values",
+    f"""WITH {SPLIT_SQL},
+tiny AS (SELECT sample_id, label, is_test, {', '.join(f'{c} / 1e6 AS {c}' for c in FULL_FEATURES)} FROM split),
+near AS (SELECT q.sample_id, d.label, row_number() OVER (PARTITION BY q.sample_id ORDER BY {_DIST_SQL}, d.sample_id) AS rk
+  FROM tiny q, tiny d WHERE q.is_test AND NOT d.is_test)
+SELECT sample_id, {rnd('avg(label)', 'score')}, CAST(avg(label) > 0.5e0 AS INTEGER) AS prediction FROM near WHERE rk <= 5 GROUP BY sample_id""",
+)
+def knn_vote_small_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same vote on values a million times smaller: distances are compared as they are."""
+    return _vote(*(part.withColumns({c: F.col(c) / 1e6 for c in FULL_FEATURES}) for part in _train_test(spark, sf_dir)))
+
+
 def _holed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two columns with gaps: flagged documents miss ``a``, one study never measured ``n``."""
     df = samples(spark, sf_dir)
@@ -836,9 +956,9 @@ def _holed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nan_dist_sql() -> str:
-    terms = " + ".join(f"coalesce((q.{c} - d.{c}) ** 2, 0e0)" for c in TEXT_FEATURES)
+    terms = " + ".join(f"coalesce((q.{c} - d.{c}) * (q.{c} - d.{c}), 0e0)" for c in TEXT_FEATURES)
     common = " + ".join(f"CASE WHEN q.{c} IS NOT NULL AND d.{c} IS NOT NULL THEN 1e0 ELSE 0e0 END" for c in TEXT_FEATURES)
-    return f"round(({terms}) * (5e0 / nullif({common}, 0e0)), 9)"
+    return f"({terms}) * (5e0 / nullif({common}, 0e0))"
 
 
 def _impute_sql(c: str) -> str:
@@ -978,13 +1098,34 @@ def shap_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(explain.shap_importance(_shap(spark, sf_dir)))
 
 
+@register(
+    "row_contributions",
+    _shap_sql(f"""SELECT feature, {rnd('phi', 'phi')}, {rnd('base_value', 'base_value')} FROM named
+WHERE sample_id = (SELECT min(sample_id) FROM named)"""),
+)
+def row_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the features push the first scored sample away from the base value."""
+    values = _shap(spark, sf_dir).persist()
+    first = values.agg(F.min("sample_id")).first()[0]
+    return rounded(explain.row_contributions(values, first).select("feature", "phi", "base_value"))
+
+
+@register(
+    "example_per_class",
+    f"WITH {_PRED_EXAMPLE_SQL} SELECT prediction, min(sample_id) AS sample_id FROM pred GROUP BY prediction",
+)
+def example_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sample that is predicted as each class."""
+    return explain.example_per_class(curves.apply_threshold(_scores(spark, sf_dir), 10.0)).select("prediction", "sample_id")
+
+
 @register("lime_weights")
 def lime_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _train_test(spark, sf_dir)
     train = train.select("sample_id", "label", *FULL_FEATURES).persist()
     stages = [VectorAssembler(inputCols=list(FULL_FEATURES), outputCol="features"), NaiveBayes(modelType="gaussian")]
     model = Pipeline(stages=stages).fit(train)
-    return explain.lime(model, train, test, FULL_FEATURES, samples=500)
+    return explain.lime(model, train, test, FULL_FEATURES)
 
 
 def _text_recipe() -> Recipe:
@@ -999,7 +1140,7 @@ def _some(names: Sequence[str], models: dict | None = None) -> dict:
 @register("leaderboard")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = _some(["LogisticRegression", "KNN", "GaussianNB", "DecisionTree"])
-    return selection.screen_models(_text_recipe(), samples(spark, sf_dir), models, folds=3, repeats=1)
+    return selection.screen_models(_text_recipe(), samples(spark, sf_dir), models, repeats=1)
 
 
 @register("leaderboard_multiclass")
@@ -1007,14 +1148,14 @@ def leaderboard_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, names = vector_columns(spark, sf_dir)
     recipe = Recipe(features=names, classes=VECTOR_CLASSES, ratios=None, impute=False, select_k="all")
     models = _some(["LogisticRegression", "GaussianNB", "DecisionTree"], zoo.multiclass_models())
-    return selection.screen_models(recipe, df, models, folds=3, repeats=1)
+    return selection.screen_models(recipe, df, models, repeats=1)
 
 
 @register("grid_search")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = zoo.binary_models()["LogisticRegression"]
     grid, means = selection.grid_scores(
-        _text_recipe(), samples(spark, sf_dir), entry, select=[2, "all"], folds=3, repeats=1
+        _text_recipe(), samples(spark, sf_dir), entry, select=[2, "all"], repeats=1
     )
     rows = [(float(p["C"]), str(p["k"]), m) for p, m in zip(grid, means)]
     return spark.createDataFrame(rows, "C double, k string, mean_score double")
@@ -1022,7 +1163,7 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("learning_curve")
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.learning_curve(_bayes_recipe(), samples(spark, sf_dir), _BAYES, folds=3)
+    return selection.learning_curve(_bayes_recipe(), samples(spark, sf_dir), _BAYES)
 
 
 def _fitted(spark: SparkSession, sf_dir: str, name: str, params: dict):
@@ -1035,7 +1176,7 @@ def _fitted(spark: SparkSession, sf_dir: str, name: str, params: dict):
 
 @register("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _fitted(spark, sf_dir, "RandomForest", {"trees": 20})
+    model, _ = _fitted(spark, sf_dir, "RandomForest", {})
     return selection.feature_importance(model)
 
 
@@ -1049,12 +1190,12 @@ def _register_model(query: str, name: str, params: dict) -> None:
 for _query, _name, _params in [
     ("logistic_scores", "LogisticRegression", {}),
     ("decision_tree_scores", "DecisionTree", {}),
-    ("random_forest_scores", "RandomForest", {"trees": 20}),
-    ("extra_trees_scores", "ExtraTrees", {"trees": 20}),
-    ("gradient_boosting_scores", "GradientBoosting", {"rounds": 10}),
-    ("adaboost_scores", "AdaBoost", {"rounds": 8}),
+    ("random_forest_scores", "RandomForest", {}),
+    ("extra_trees_scores", "ExtraTrees", {}),
+    ("gradient_boosting_scores", "GradientBoosting", {}),
+    ("adaboost_scores", "AdaBoost", {}),
     ("rbf_svc_scores", "SVC_RBF", {}),
-    ("mlp_scores", "MLP", {"max_iter": 100}),
+    ("mlp_scores", "MLP", {}),
 ]:
     _register_model(_query, _name, _params)
 
@@ -1281,3 +1422,26 @@ def arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.study_counts(read_ingested(spark, target, schema), "event_type").withColumnRenamed(
         "event_type", "study"
     )
+
+
+@register(
+    "arriving_csv",
+    """SELECT event_type AS study, count(DISTINCT event_id) AS n, count(DISTINCT CASE WHEN event_id % 3 <> 2 THEN event_id END) AS n_value,
+round(sum(CASE WHEN event_id % 3 <> 2 THEN value END), 2) + 0e0 AS total FROM events GROUP BY event_type""",
+)
+def arriving_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part files with two column orders, and some without the value column, matched by name."""
+    schema = T.StructType(
+        [T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())]
+    )
+    source, target, marks = (fresh_path(spark, x) for x in ("arriving", "ingested", "progress"))
+    events = table(spark, sf_dir, "events")
+    for rest, columns in enumerate((["event_id", "event_type", "value"], ["value", "event_type", "event_id"], ["event_type", "event_id"])):
+        part = events.where(F.pmod("event_id", F.lit(3)) == rest).select(*columns)
+        part.write.mode("append").option("header", True).csv(source)
+    ingest_studies(spark, source, target, marks, schema, key="event_id", study="event_type", glob="*.csv")
+    return (
+        read_ingested(spark, target, schema)
+        .groupBy(F.col("event_type").alias("study"))
+        .agg(F.count("*").alias("n"), F.count("value").alias("n_value"), (F.round(F.sum("value"), 2) + 0.0).alias("total"))
+    )

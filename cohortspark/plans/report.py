@@ -6,11 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.ml import explain, selection
 from cohortspark.ml.selection import Recipe
+from cohortspark.ml.stages import kept_names
 from cohortspark.ml.zoo import SELECT_GRID, Entry, binary_models, multiclass_models
 from cohortspark.operators import curves, evaluate, expect, prep, splits, stats
 from cohortspark.sources import save_model, write_json, write_report
@@ -39,6 +42,9 @@ def confounding(df: DataFrame, classes: Sequence[str]) -> dict[str, DataFrame]:
         "study_auc_floor": stats.study_auc_floor(df, classes[-1]),
     }
 
+# Fixed value: repeats of the published run with three classes.
+MULTICLASS_REPEATS = 3
+
 
 @dataclass
 class RunOptions:
@@ -49,7 +55,7 @@ class RunOptions:
     models: dict[str, Entry] | None = None
     select_grid: Sequence | None = tuple(SELECT_GRID)
     folds: int = splits.FOLDS
-    repeats: int = splits.REPEATS
+    repeats: int | None = None  # as published: 5 for two classes, 3 for more
     held_out_studies: bool = True
     explain_rows: bool = True
     lime_samples: int = 5000
@@ -91,16 +97,19 @@ def run(
         tables["expectation_check"] = expect.check_expectations(tables["group_comparison"], expectations)
         tables["expectation_summary"] = expect.summarise_expectations(tables["expectation_check"])
 
-    recipe = Recipe(features=features, classes=classes, **(recipe_options or {}))
+    # Published recipe for more than two classes: no ratios, no clipping, no selection.
+    usual = {} if binary else {"ratios": None, "select_k": "all"}
+    recipe = Recipe(features=features, classes=classes, **(usual | (recipe_options or {})))
     split = splits.stratified_holdout(df).persist()
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
     models = opt.models or (binary_models() if binary else multiclass_models())
-    board = selection.screen_models(recipe, train, models, opt.folds, opt.repeats)
+    repeats = opt.repeats or (splits.REPEATS if binary else MULTICLASS_REPEATS)
+    board = selection.screen_models(recipe, train, models, opt.folds, repeats)
     tables["leaderboard"] = board
     best = board.first()
     entry = models[best["name"]]
     grid = list(opt.select_grid) if binary and opt.select_grid else None
-    model, params, tuned = selection.tune(recipe, train, entry, grid, opt.folds, opt.repeats)
+    model, params, tuned = selection.tune(recipe, train, entry, grid, opt.folds, repeats)
 
     cut = curves.DEFAULT_CUT
     if binary:
@@ -147,16 +156,29 @@ def run(
     return tables
 
 
+def prepared_columns(model: PipelineModel, df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The columns the classifier of a fitted pipeline sees, one by one, next to the kept ones."""
+    ready = PipelineModel(model.stages[:-1]).transform(df).select(*keep, vector_to_array("features").alias("_v"))
+    return ready.select(*keep, *[F.col("_v")[i].alias(n) for i, n in enumerate(names)])
+
+
 def explanations(
     recipe: Recipe, model: PipelineModel, train: DataFrame, test: DataFrame, lime_samples: int
 ) -> dict[str, DataFrame]:
-    """Shapley attributions of the test rows by the whole model, and a local fit per predicted class."""
+    """Shapley attributions of the test rows, and for two classes a local fit per predicted class.
+
+    Two classes: of the raw features by the whole model. More classes: of the prepared features by the classifier alone.
+    """
     features = list(recipe.features)
     if len(recipe.classes) == 2:
         background = explain.centroid_background(train, features)
         wanted = [1]
     else:
-        background = explain.sampled_background(train, features)
+        names, classifier = kept_names(model), model.stages[-1]
+        train, test = (prepared_columns(model, df, names, [recipe.id_col]) for df in (train, test))
+        model = PipelineModel([VectorAssembler(inputCols=names, outputCol="features"), classifier])
+        features = names
+        background = explain.sampled_background(train, features, id_col=recipe.id_col)
         wanted = list(range(len(recipe.classes)))
     shap = explain.kernel_shap(model, test, features, background, classes=wanted)
     out = {"shap_values": shap, "shap_importance": explain.shap_importance(shap)}

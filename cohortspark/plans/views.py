@@ -98,7 +98,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Embeddings with one column per coordinate."""
     df = table(spark, sf_dir, "embeddings")
-    width = len(df.select("embedding").first()["embedding"])
+    size = F.size("embedding")
+    widths = df.agg(F.min(size).alias("least"), F.max(size).alias("most")).first()
+    if widths["least"] != widths["most"]:
+        raise ValueError(f"vectors have {widths['least']} to {widths['most']} coordinates")
+    width = widths["most"] or 0
     names = [f"v{i}" for i in range(width)]
     return df.select(
         F.col("vec_id").alias("sample_id"),

@@ -30,6 +30,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system that this session wrote."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
@@ -40,8 +46,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# A side of a join with at most this many (narrow) rows is broadcast.
-BROADCAST_ROWS = 500_000
+# A side of a join with at most this many cells (rows x columns, about 64 MB) is broadcast.
+BROADCAST_CELLS = 4_000_000
 
 
 def sized(side: DataFrame, rows: int | None = None) -> DataFrame:
@@ -54,7 +60,7 @@ def sized(side: DataFrame, rows: int | None = None) -> DataFrame:
     if rows is None:
         side = side.persist()
         rows = side.count()
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+    return F.broadcast(side) if rows * len(side.columns) <= BROADCAST_CELLS else side
 
 
 # A key with more rows than this is joined by broadcast, apart from the others.
@@ -85,8 +91,12 @@ def join_salted(big: DataFrame, side: DataFrame, keys: list[str], spread_by: str
     """Inner join with a ``side`` that is far smaller than ``big``, each key spread over several tasks.
 
     The rows of a key are salted by a hash of ``spread_by`` and the side is repeated once per salt; the
-    adaptive skew join splits what is still too large. Needs no count of either side.
+    adaptive skew join splits what is still too large. Needs no count of either side. A missing key is a key.
     """
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    repeated = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    repeated = side.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    repeated = repeated.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = F.col("_salt") == F.col("_salt2")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return salted.join(repeated, same).drop("_salt", "_salt2", *[f"_key_{k}" for k in keys])

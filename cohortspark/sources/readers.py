@@ -41,19 +41,18 @@ def read_samples(spark: SparkSession, path: str | list[str], schema: T.StructTyp
     folder or a glob of part files that share one header: give one path per study layout, not per file.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    parts = []
-    for p in paths:
-        raw = spark.read.option("header", True).csv(p)
-        have = set(raw.columns)
-        parts.append(
-            raw.select(
-                *[
-                    (_typed(f) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
-                    for f in schema.fields
-                ]
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [read_layout(spark, [p], schema) for p in paths])
+
+
+def read_layout(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """One scan of files that share a header. A file with another header is an error, not a shift of columns."""
+    names = spark.read.option("header", True).csv(paths[0]).columns
+    text = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    raw = spark.read.option("header", True).option("enforceSchema", False).schema(text).csv(paths)
+    have = set(names)
+    return raw.select(
+        *[(_typed(f) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+    )
 
 
 def _typed(field: T.StructField):
@@ -86,7 +85,8 @@ def read_side_table(spark: SparkSession, path: str, columns: Sequence[str]) -> D
 
 def read_run_report(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated run report whose file columns hold ``;``-separated lists."""
-    return spark.read.schema(RUN_REPORT_SCHEMA).option("header", True).option("sep", "\t").csv(path)
+    raw = spark.read.option("header", True).option("sep", "\t").csv(path)
+    return raw.select(*[F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string").alias(f.name) for f in RUN_REPORT_SCHEMA])
 
 
 def read_run_table(spark: SparkSession, path: str) -> DataFrame:

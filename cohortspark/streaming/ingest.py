@@ -3,14 +3,35 @@
 A file source remembers the files it has read, so a rerun picks up the new ones only. Every micro-batch
 is written to its own partition with dynamic overwrite: a batch that is repeated after a failure
 replaces what it wrote before.
+
+CSV files are matched by column name. The stream only tells which files arrived; they are read again by layout, that is
+together with the other files of the batch that have the same header.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.sources.readers import read_layout
+
+
+# Names of so many files at most are held by the driver at a time.
+FILES_PER_BATCH = 1000
+
+
+def _by_name(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Samples of the files the lines come from, one scan for each header."""
+    # The first line of a file is the first row of the split that begins at 0.
+    heads = lines.where(F.col("at") == 0).groupBy("file").agg(F.first("value").alias("header"))
+    layouts = heads.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    spark = lines.sparkSession
+    parts = [read_layout(spark, sorted(r["files"]), schema) for r in layouts]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
 
 def _first_copy(df: DataFrame, key: str) -> DataFrame:
     """One row per key, chosen by content; copies of one key are combined before the shuffle."""
@@ -29,16 +50,19 @@ def ingest_studies(
     key: str = "sample_id",
     study: str = "study",
     glob: str | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> None:
     """Append the samples of all files that arrived since the last call, then stop."""
-    reader = spark.readStream.format(fmt).schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True)
+    by_name = fmt == "csv"
+    reader = spark.readStream.format("text") if by_name else spark.readStream.format(fmt).schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        if by_name:
+            batch = _by_name(batch, schema)
         fresh = _first_copy(batch.where(F.col(key).isNotNull()), key)
         if _has_files(spark, table):
             # A repeated batch must not see its own earlier output.
@@ -52,8 +76,11 @@ def ingest_studies(
             .parquet(table)
         )
 
+    arriving = reader.load(source)
+    if by_name:
+        arriving = arriving.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     query = (
-        reader.load(source)
+        arriving
         .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

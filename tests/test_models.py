@@ -1,15 +1,18 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cohortspark.ml import explain, selection, zoo
-from cohortspark.ml.classifiers import FourierFeatures
+from cohortspark.ml.classifiers import AdaBoost, FourierFeatures, PerClass
 from cohortspark.ml.selection import Recipe
-from cohortspark.ml.stages import KNNImputer, PopulationScaler
+from cohortspark.ml.stages import FScoreSelector, KNNImputer, PopulationScaler
 from cohortspark.operators.prep import Ratio
 from cohortspark.sources import load_model, save_model
 from tests.conftest import rows
@@ -221,6 +224,62 @@ def test_centroid_background_is_small_and_weighted(spark, samples):
     assert len(few) == 6 and np.allclose(w, 1 / 6)
 
 
+def test_centroid_background_fills_missing_and_snaps_to_values(spark):
+    data = [(float(i % 5), None if i % 2 else 2.0 * (i % 3), None) for i in range(60)]
+    df = spark.createDataFrame(data, "x double, y double, empty double")
+    centres, weights = explain.centroid_background(df, ["x", "y", "empty"], k=3, few_rows=10)
+    assert len(centres) >= 2 and weights.sum() == pytest.approx(1.0)
+    assert set(centres[:, 0]) <= {0.0, 1.0, 2.0, 3.0, 4.0} and set(centres[:, 2]) == {0.0}
+    mean = np.mean([r[1] for r in data if r[1] is not None])
+    assert all(min(abs(v - y) for y in (0.0, 2.0, 4.0, mean)) < 1e-9 for v in centres[:, 1])
+
+
+def test_selection_follows_f_where_p_values_underflow(spark):
+    rng = np.random.default_rng(5)
+    n = 20000
+    label = rng.integers(0, 2, n)
+    x = rng.normal(size=(n, 4)) + label[:, None] * np.array([0.8, 1.2, 9.0, 0.0])
+    df = spark.createDataFrame([(float(y), Vectors.dense(r)) for y, r in zip(label, x)], ["label", "scaled"])
+    stage = FScoreSelector(1)
+    assert stage.fit(df).getIndices() == [2]
+    groups = [x[label == c] for c in (0, 1)]
+    between = sum(len(g) * (g.mean(0) - x.mean(0)) ** 2 for g in groups)
+    within = sum(((g - g.mean(0)) ** 2).sum(0) for g in groups) / (n - 2)
+    assert np.allclose(stage.scores(df), between / within)
+    assert FScoreSelector(0).fit(df).getIndices() == [0, 1, 2, 3] and FScoreSelector(2).fit(df).getIndices() == [1, 2]
+
+
+def test_repeated_ids_stay_single_rows_in_the_folds(spark, samples, recipe):
+    twice = samples.withColumn("sample_id", F.lit("same"))
+    with selection._fold_tables(recipe, twice, 3, 2) as parts:
+        n = twice.count()
+        assert len(parts) == 6 and all(a.count() + b.count() == n for a, b in parts)
+        assert sum(b.count() for _, b in parts[:3]) == n and parts[0][0].columns == twice.columns
+
+
+def test_per_class_models_get_the_row_weights(spark):
+    df = spark.createDataFrame([(float(i % 3), Vectors.dense([i % 3 + 0.1 * (i % 5)]), 1.0 + i % 2) for i in range(60)], ["label", "features", "w"])
+    seen = []
+
+    class Spy(LogisticRegression):
+        def copy(self, extra=None):
+            seen.append({p.name: v for p, v in (extra or {}).items()})
+            return super().copy(extra)
+
+    PerClass(Spy(), numClasses=3, weightCol="w").fit(df)
+    assert {"weightCol": "w"} in seen
+
+
+def test_boosted_probability_is_the_softmax_of_both_scores(spark):
+    df = spark.createDataFrame([(0.0, Vectors.dense([0.0])), (1.0, Vectors.dense([1.0])), (0.0, Vectors.dense([0.9]))], ["label", "features"])
+    model = AdaBoost(rounds=5).fit(df)
+    stumps = np.array(model.getOrDefault("stumps")).reshape(-1, 5)
+    for r in model.transform(df).collect():
+        x = r["features"][0]
+        votes = sum(a * (1 if (left if x <= t else right) == 1 else -1) for _, t, left, right, a in stumps) / stumps[:, 4].sum()
+        assert r["probability"][1] == pytest.approx(1 / (1 + math.exp(-2 * votes)))
+
+
 def test_noise_does_not_carry_over_to_unseen_studies(spark):
     rng = np.random.default_rng(12)
     data = [(i, f"s{i % 3}", int(rng.random() < 0.5), float(rng.normal() + 5 * (i % 3))) for i in range(300)]
@@ -229,3 +288,21 @@ def test_noise_does_not_carry_over_to_unseen_studies(spark):
     report = selection.leave_one_study_out(r, df, zoo.binary_models()["GaussianNB"])
     assert report.count() == 3
     assert abs(selection.mean_study_auc(report).first()[0] - 0.5) < 0.12
+
+
+def test_imputer_modes(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, None), ("c", 2.1, 10.0), ("d", 9.0, 40.0), ("e", None, 40.0)], "sample_id string, x double, y double")
+    fill = lambda mode, k=1: {r["sample_id"]: (r["x"], r["y"]) for r in KNNImputer(["x", "y"], k=k, mode=mode).fit(df).transform(df).collect()}
+    assert fill("knn")["b"] == fill("approx")["b"] == (2.0, 10.0)
+    assert fill("mean")["b"] == (2.0, 22.75) and fill("median")["b"] == (2.0, 25.0)
+    assert fill("median")["e"] == (pytest.approx(2.05), 40.0)
+    with pytest.raises(ValueError):
+        KNNImputer(["x"], mode="guess")
+
+
+def test_lime_with_a_feature_nobody_has(spark, whole):
+    df = whole.withColumn("blank", F.lit(None).cast("double"))
+    stages = [VectorAssembler(inputCols=["a", "c"], outputCol="features"), LogisticRegression()]
+    model = Pipeline(stages=stages).fit(df)
+    out = explain.lime(model, df, df.limit(2), ["a", "c", "blank"], samples=200).collect()
+    assert {r["weight"] for r in out if r["feature"] == "blank"} == {0.0} and len(out) == 6

@@ -98,3 +98,10 @@ def test_copies_beyond_k_do_not_matter(spark):
     assert fewer.count() == 5
     got = collected(NeighbourIndex(fewer, 2).join(queries, 3, target_missing=False))
     assert {k: v for (k, _), v in got.items()} == brute(x, np.array([[0.0, 0.0], [3.0, 4.0]]), 3)
+
+
+def test_tiny_values_keep_their_order(spark):
+    """A fixed number of decimals would make both donors equal and pick the wrong one."""
+    donors = spark.createDataFrame([(1, [3e-5]), (2, [1e-5])], "donor_id bigint, vec array<double>")
+    queries = spark.createDataFrame([(9, [1e-5])], "query_id bigint, vec array<double>")
+    assert neighbours.NeighbourIndex(donors, 1).join(queries, 1, False).first()["donor_id"] == 2

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.operators import expect, prep, upstream
+from cohortspark.operators import evaluate, expect, prep, upstream
 from tests.conftest import rows
 
 WIDE = "sample_id string, study string, diagnosis string, x double, y double"
@@ -97,3 +97,18 @@ def test_shannon_of_even_counts(spark):
     counts = spark.createDataFrame([("a", f"t{i}", 5) for i in range(8)] + [("b", "t", 3)], "sample_id string, taxon string, reads bigint")
     out = {r["sample_id"]: r["shannon"] for r in upstream.shannon(counts).collect()}
     assert abs(out["a"] - 3) < 1e-12 and abs(out["b"]) < 1e-12
+
+
+def test_rows_without_study_or_sample_stay(spark):
+    df = spark.createDataFrame([("a", "s", 1.0), ("b", "s", 3.0), ("c", None, 5.0), ("d", None, 7.0)], "sample_id string, study string, x double")
+    got = rows(prep.zscore_within(df, ["x"]).select("sample_id", "study", "x"))
+    assert got == [("a", "s", -1.0), ("b", "s", 1.0), ("c", None, -1.0), ("d", None, 1.0)]
+    counts = spark.createDataFrame([("a", "t", 1), (None, "t", 1), (None, "u", 3)], "sample_id string, taxon string, reads bigint")
+    assert sorted(r["share"] for r in upstream.relative_abundance(counts).collect()) == [25.0, 75.0, 100.0]
+    assert {r["sample_id"] for r in upstream.rarefy(counts, 2).collect()} == {None}
+
+
+def test_labels_outside_the_declared_classes_do_not_count(spark):
+    scored = spark.createDataFrame([(0, 0), (1, 1), (1, 2), (2, 0), (0, -1), (None, 1)], "label int, prediction int")
+    got = {(r["actual"], r["predicted"]): r["n"] for r in evaluate.confusion(scored, ["A", "B"]).collect()}
+    assert got == {("A", "A"): 1, ("A", "B"): 0, ("B", "A"): 0, ("B", "B"): 1}

@@ -1,6 +1,6 @@
 import pytest
 
-from cohortspark.sources import explode_run_files, read_run_report, read_run_table, read_studies, sample_schema, write_report
+from cohortspark.sources import explode_run_files, read_run_report, read_run_table, read_samples, read_studies, sample_schema, write_report
 from cohortspark.streaming import ingest_studies, read_ingested
 from tests.conftest import rows
 
@@ -56,3 +56,26 @@ def test_arriving_files_are_read_once_and_samples_kept_once(spark, tmp_path):
     ingest_studies(*args)
     out = read_ingested(spark, str(tmp_path / "table"), SCHEMA)
     assert rows(out.select("sample_id", "study", "x")) == [("a", "s1", 1.0), ("b", "s1", 3.0), ("c", "s2", 5.0)]
+
+
+def test_arriving_files_are_matched_by_name(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    write(source / "a.csv", "sample_id,study,diagnosis,x,y\na,s1,Case,1,2\n")
+    write(source / "b.csv", "y,diagnosis,study,sample_id\n9,Control,s2,b\n")
+    write(source / "c.csv", "sample_id,study,diagnosis,x,y\nc,s3,Case,5,6\n")
+    args = (spark, str(source), str(tmp_path / "table"), str(tmp_path / "marks"), SCHEMA)
+    ingest_studies(*args, files_per_batch=2)
+    out = read_ingested(spark, str(tmp_path / "table"), SCHEMA)
+    assert rows(out.select("sample_id", "study", "diagnosis", "x", "y")) == [
+        ("a", "s1", "Case", 1.0, 2.0), ("b", "s2", "Control", None, 9.0), ("c", "s3", "Case", 5.0, 6.0),
+    ]
+
+
+def test_files_of_another_layout_in_one_path_are_an_error(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder / "a.csv", "sample_id,study\na,s1\n")
+    write(folder / "b.csv", "study,sample_id\ns2,b\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_samples(spark, str(folder), SCHEMA).collect()

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -72,6 +73,21 @@ def test_exact_p_value():
     assert stats.exact_u_tail(2, 4, 0) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize(("n1", "n2"), [(1, 1), (1, 9), (2, 5), (3, 8), (4, 4), (5, 6)])
+def test_exact_p_value_counts_all_arrangements(n1, n2):
+    us = [sum(c) - n1 * (n1 + 1) // 2 for c in itertools.combinations(range(1, n1 + n2 + 1), n1)]
+    for u in range(n1 * n2 + 1):
+        assert stats.exact_u_tail(n1, n2, u) == pytest.approx(sum(x >= u for x in us) / len(us), rel=1e-12)
+
+
+def test_exact_p_value_at_any_size():
+    for n in (1000, 1001, 10**6, 10**12):
+        assert 2 * stats.exact_u_tail(2, n, 2 * n) == pytest.approx(2 / math.comb(n + 2, 2))
+    n = 10**7  # the normal approximation with 8 rows is good to a few percent near two deviations
+    mean, s = 4 * n, math.sqrt(8 * n * (n + 9) / 12)
+    assert stats.exact_u_tail(8, n, mean + 2 * s) == pytest.approx(0.5 * math.erfc(2 / math.sqrt(2)), rel=0.1)
+
+
 def test_mann_whitney_small_constant_and_tied(spark):
     df = spark.createDataFrame(
         [("Control", 1.0, 7.0, 1.0)] * 1 + [("Control", 2.0, 7.0, 1.0), ("Control", 3.0, 7.0, 2.0)]
@@ -99,20 +115,19 @@ def test_batch_marker_tiers(spark):
     assert out["signal"]["auc_predicts_study"] == 0.5 and out["signal"]["risk"] == ""
 
 
-def test_correlation_forms_agree_with_missing_and_constant(spark):
+def test_correlation_with_missing_nan_and_constant(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(80, 3)) + 100
-    data = [(float(a), None if i % 7 == 0 else float(b), float(a + b), 4.0) for i, (a, b, _) in enumerate(x)]
-    df = spark.createDataFrame(data, "a double, b double, c double, flat double")
-    cols = ["a", "b", "c", "flat"]
-    one = {(r[0], r[1]): r[2] for r in stats._correlation_pairs(df, cols).collect()}
-    two = {(r[0], r[1]): r[2] for r in stats._correlation_gram(df, cols).collect()}
-    assert one.keys() == two.keys() and len(one) == 16
-    for k, v in one.items():
-        assert (v is None) == (two[k] is None) or k[0] == k[1] == "flat"
-        if v is not None:
-            assert v == pytest.approx(two[k], abs=1e-9)
-    assert one["a", "flat"] is None
+    data = [(float(a), (None, math.nan)[i % 2] if i % 7 == 0 else float(b), float(a + b), 4.0, 1e9 + 1e-9 * i) for i, (a, b, _) in enumerate(x)]
+    for extra in (0, 30):  # the same rules whatever the number of columns
+        names = ["a", "b", "c", "flat", "nearly", *[f"x{k}" for k in range(extra)]]
+        df = spark.createDataFrame([(*r, *[float(r[0]) for _ in range(extra)]) for r in data], ", ".join(f"{n} double" for n in names))
+        got = {(r[0], r[1]): r[2] for r in stats.correlation(df, names).collect()}
+        assert len(got) == len(names) ** 2
+        rows_ = [r for r in data if r[1] is not None and not math.isnan(r[1])]
+        want = np.corrcoef([r[0] for r in rows_], [r[1] for r in rows_])[0, 1]
+        assert got["a", "b"] == pytest.approx(want, abs=1e-9) and got["b", "a"] == pytest.approx(want, abs=1e-9)
+        assert got["a", "flat"] is None and got["flat", "flat"] is None and got["a", "a"] == pytest.approx(1.0)
 
 
 def test_highest_class_tie_goes_to_first_declared(spark):
