@@ -35,6 +35,7 @@ SHARE = (75, 100)  # intersection over union
 TILE = 2048  # members of a bucket compared at once
 MAX_TILES = 4  # larger buckets are divided by a second band
 DEVIATIONS = 5
+LINKS_PER_TASK = 100_000
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -152,16 +153,19 @@ def contract(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, label for every node of a link; nodes that are connected share a label, a node of theirs."""
-    short = cut_lineage(contract(links))
+    # Links are far fewer than documents: as few tasks as they fill keep the files of every round few.
+    tasks = -(-links.count() // LINKS_PER_TASK) or 1
+    short = cut_lineage(contract(links.coalesce(tasks)))
     edges = short.unionByName(short.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = cut_lineage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    labels = cut_lineage(labels.coalesce(tasks))
     while True:
         seen = edges.join(labels.withColumnRenamed("node", "b"), "b")
         near = seen.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         step = step.join(up, "label").select("node", "old", F.least("label", "up").alias("label"))
-        step = cut_lineage(step)
+        step = cut_lineage(step.coalesce(tasks))
         if step.where("label != old").isEmpty():
             return step.select("node", "label")
         labels = step.select("node", "label")
@@ -169,7 +173,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def dealt(rows: DataFrame) -> DataFrame:
     """Rows of a block next to each other, in a partition that holds many blocks."""
-    slots = max(8, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slots = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(slots, "block").sortWithinPartitions("block", "tile", "key")
 
 
