@@ -38,6 +38,7 @@ INLINE = frozenset(
 )
 SPACE = frozenset("br td th img".split())
 CONTAINERS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KNOWN = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot"
@@ -54,8 +55,13 @@ DROPPED_NAMES = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead footer sidebar aside ad ads adv advert adverts advertisement"
     " advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup"
     " modal overlay newsletter subscribe subscription signup login register share sharing social related recommended recommendations"
-    " comment comments commentlist reply replies respond disqus pagination pager widget toolbar skip topbar header toc search form".split()
+    " comment comments commentlist responses discussion disclaimer reply replies respond disqus pagination pager widget toolbar skip topbar header toc search form".split()
 )
+CONTENT_NAMES = frozenset("article content post entry main body text story".split())
+# Parts of run-together names.
+DROPPED_INSIDE = ("cookie", "advert", "sponsor", "newsletter", "breadcrumb", "navbar", "popup", "subscrib", "banner")
+PARTLY = frozenset("header sidebar".split())
+DENYING = frozenset("has have with without no not is".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL
 )
@@ -93,11 +99,21 @@ def is_dropped(tag: str, source: str, within: bool) -> bool:
     if tag in ("html", "body") or tag in CONTAINERS and not within:
         return False
     named = f"{got.get('class', '')} {got.get('id', '')}".lower()
-    return any(p in DROPPED_NAMES for p in _NAME_PARTS.findall(named))
+    return any(is_boilerplate_name(x) for x in named.split())
+
+
+def is_boilerplate_name(name: str) -> bool:
+    """Whether a class or id names boilerplate; ``has-sidebar`` or ``article-header`` name what holds the article."""
+    parts = _NAME_PARTS.findall(name)
+    if not parts or parts[0] in DENYING:
+        return False
+    holds = any(p in CONTENT_NAMES for p in parts)
+    named = any(p in DROPPED_NAMES and not (holds and p in PARTLY) for p in parts)
+    return named or any(x in name for x in DROPPED_INSIDE)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks of a page without boilerplate elements, with the tags before each; the last one holds what closes."""
+    """Blocks of a page without boilerplate elements, with the tags before each."""
     out: list[Block] = []
     now = Block()
     stack: list[tuple[str, bool, int]] = []  # tag, dropped, number of the innermost container
@@ -260,6 +276,8 @@ def best_region(blocks: list[Block], weights: Weights) -> tuple[int, int]:
 def main_text(page: str | None, weights: Weights) -> str:
     blocks = blocks_of(page or "")
     first, end = best_region(blocks, weights)
+    while 0 < first and blocks[first - 1].tag in HEADINGS and not blocks[first - 1].linked:
+        first -= 1  # a title is short, but it belongs to the text that follows
     chosen = blocks[first:end]
     held: Counter = Counter()
     for b in chosen:

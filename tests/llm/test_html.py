@@ -19,6 +19,8 @@ PAGES = {
     f"<p>{LONG}<form><input name=q><p>Search</p></form><div class='comments'><article><p>{LONG}</p></article></div>": LONG,
     f"<div class='cookie-notice'>We use cookies</div><p>one<br>two <b>th</b>ree\n\n four</p><p>{LONG}</p>": f"one two three four\n\n{LONG}",
     "<p hidden>x</p><p style='display: none'>y</p><div aria-hidden=true>z</div><p>seen</p>": "seen",
+    f"<div class='layout has-sidebar'><div class=article-header><h2>T</h2></div><p>{LONG}</p></div><div class=left-sidebar>x</div>": f"T\n\n{LONG}",
+    "<nav><a>x</a></nav><div class=ad>Buy now</div><div id=comments><p>First!</p></div>": "",
     "<p title='a > b'>quoted</p><p>un<closed": "quoted\n\nun<closed",
 }
 
