@@ -3,8 +3,8 @@
 Documents with equal texts form a group, and groups are spread over hash cells, 512 for each shard. Cells are the items
 that are packed: each has a vector (bytes, tokens, rows), and in descending order of its largest share it goes to the
 shard where the dot product of the vector with what is left of the shard's capacity is highest. A group that holds more
-than a 64th of a shard in some measure is an item by itself, and one beyond that is cut into pieces by document, so a
-text with a third of all rows does not tip the balance. Items are bounded by the number of shards, never by the rows;
+than a quarter of a shard in some measure is cut by document into pieces of a 64th, so a text with a third of all rows
+does not tip the balance; every other group stays together. Items are bounded by the number of shards, never by the rows;
 only their sums reach the driver.
 
 Slots number the rows of a shard without gaps: rows are counted in hash buckets of bounded size, numbered inside them,
@@ -24,7 +24,8 @@ from cohortspark.llm.near_dup import stored
 
 SHARDS = 8
 CELLS = 512  # for each shard
-PIECES = 64  # a group beyond this part of a shard is packed by itself
+SPLIT = 4  # a group beyond this part of a shard is cut
+PIECES = 64  # into pieces of about this part
 SLOT_ROWS = 20_000
 MEASURES = ("bytes", "tokens", "rows")
 
@@ -71,14 +72,14 @@ def assign(docs: DataFrame, doc_id: str, text: str, shards: int) -> tuple[DataFr
     slim = stored(slim, "sizes").withColumn("_cell", F.pmod("_group", F.lit(cells)).cast("int"))
     by_cell = {r["_cell"]: np.array([r[m] or 0 for m in MEASURES], dtype=float) for r in slim.groupBy("_cell").agg(*_sums()).collect()}
     total = np.maximum(sum(by_cell.values(), np.zeros(3)), 1.0)
-    limit = total / (shards * PIECES)
+    limit = total / (shards * SPLIT)
     large = [c for c, v in by_cell.items() if (v > limit).any()]
     heavy: list[tuple[int, int, int]] = []
     if large:
         groups = slim.where(F.col("_cell").isin(large)).groupBy("_group").agg(*_sums())
         over = groups.where(" OR ".join(f"{m} > {x!r}" for m, x in zip(MEASURES, limit.tolist(), strict=True)))
         for n, r in enumerate(sorted(over.where("rows > 1").collect(), key=lambda r: r["_group"])):
-            pieces = int(np.ceil(max(r[m] / x for m, x in zip(MEASURES, limit, strict=True))))
+            pieces = int(np.ceil(max(r[m] / x for m, x in zip(MEASURES, limit, strict=True)) * PIECES / SPLIT))
             heavy.append((r["_group"], cells + n, min(pieces, r["rows"])))
     groups = spark.createDataFrame(heavy, "_hot long, _item int, _pieces int")
     items = with_items(slim, groups, doc_id, "_group", cells).groupBy("_item_of", "_piece").agg(*_sums()).collect()
@@ -90,7 +91,7 @@ def assign(docs: DataFrame, doc_id: str, text: str, shards: int) -> tuple[DataFr
 
 
 def with_items(rows: DataFrame, heavy: DataFrame, doc_id: str, group: str, cells: int) -> DataFrame:
-    """Adds the item and the piece of every row. ``heavy`` has at most three times ``PIECES`` groups a shard."""
+    """Adds the item and the piece of every row. ``heavy`` has at most three times ``SPLIT`` groups a shard."""
     rows = rows.join(F.broadcast(heavy), F.col(group) == F.col("_hot"), "left")
     piece = F.coalesce(F.pmod(_spread(doc_id, "piece"), F.col("_pieces")), F.lit(0)).cast("int")
     item = F.coalesce("_item", F.pmod(group, F.lit(cells))).cast("int")

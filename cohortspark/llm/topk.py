@@ -5,9 +5,10 @@ pair is one tile: a task multiplies the two integer matrices a few hundred queri
 candidates of every query. Only those short lists are shuffled, and they are merged in groups of ``FAN`` until one list
 per query is left. No vector is ever paired with another outside a matrix product, and every pair is scored.
 
-Products are formed in float64 where they are exact (sums below 2^53) and in Python integers otherwise.
+Products are formed in float64 where they are exact (sums below 2^53) and in Python integers otherwise; a score beyond
+64 bits counts as the largest or smallest 64-bit number.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part. Vectors of different
+Defined results: vectors that are null, empty, or hold null or (times the factor) non-finite components take no part. Vectors of different
 lengths are not comparable; each is ranked among those of its own length. Rows that repeat an id count once, with the
 smallest vector. A null id takes no part. Ties go to the smaller id. Other columns are never read.
 """
@@ -55,9 +56,7 @@ def best_of_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
             scores = (left @ right).astype(np.int64)
         else:
             scores = np.array([[int(x) for x in r] for r in left], dtype=object) @ right
-            if scores.size and max(abs(scores.max()), abs(scores.min())) >= 2**63:
-                raise OverflowError("a score does not fit 64 bits")
-            scores = scores.astype(np.int64)
+            scores = np.minimum(np.maximum(scores, -(2**63)), 2**63 - 1).astype(np.int64)
         for row, q in enumerate(query_ids[a : a + STRIP]):
             mine = scores[row]
             own = np.searchsorted(ids, q)
@@ -75,10 +74,10 @@ def best_of_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
             yield int(q), [{"score": int(mine[p]), "vec_id": int(ids[live[p]])} for p in pick]
 
 
-def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
+def usable(vectors: DataFrame, vec_id: str, vector: str, factor: float) -> DataFrame:
     """id, vector, dim of the vectors that take part."""
     v = F.col(vector).cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * F.lit(factor)) < F.lit(float("inf"))))
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("vector"), F.size(v).alias("dim"))
     return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.col("dim") > 0) & fine.alias("fine")).select(
         "id", "vector", "dim"
@@ -110,7 +109,7 @@ def top_k(
 
     Components become floor(factor * x); the score is the inner product of the integers. ``is_query`` sees the id as ``id``.
     """
-    rows = usable(vectors, vec_id, vector)
+    rows = usable(vectors, vec_id, vector, factor)
     count = rows.agg(F.count("*").alias("n"), F.sum(is_query.cast("int")).alias("q")).first()
     n_shards = -(-count["n"] // SHARD) or 1
     n_blocks = -(-(count["q"] or 0) // QUERY_BLOCK) or 1

