@@ -203,6 +203,8 @@ def match_shard(found: W.Words, block: Block) -> tuple[np.ndarray, np.ndarray, n
         lo, hi, longest, at, reached = search(place, number, block)
         if len(reached) == 0:
             return np.zeros(n, dtype=bool), none, none, {}
+        # A short item and a longer window may stand at the same places: the longer one marks the words.
+        reached = reached[np.argsort(-block.need[reached], kind="stable")]
         key = lo[reached] * (len(place) + 1) + hi[reached]
         _, one, group = np.unique(key, return_index=True, return_inverse=True)
         one = reached[one]
