@@ -186,7 +186,9 @@ def fit(
         models = F.array(*[F.when(pick(m), F.lit(m)) for m in range(MODELS)])
         return F.explode(F.filter(models, lambda m: m.isNotNull())).alias("model")
 
-    positives = rows.join(marks.where("_toxic = 1").select("_id", drawn("toxic", POSITIVES, n_toxic)), "_id")
+    # About MODELS * POSITIVES ids at most, whatever the number of labels: broadcast, so that texts are not shuffled.
+    chosen = marks.where("_toxic = 1").select("_id", drawn("toxic", POSITIVES, n_toxic))
+    positives = rows.join(F.broadcast(chosen), "_id")
     others = rows.select("*", drawn("any", UNLABELLED, n_docs))
     sample = positives.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
     place = F.pmod(F.xxhash64("_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
