@@ -13,7 +13,8 @@
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing. Repeated rows are
 copies. Rows that repeat an id with another text are judged each by its text. A null id never becomes a component id
-while its component holds another id. Columns besides the two named ones are never read.
+while its component holds another id. Columns besides the two named ones are never read. ``kept`` says whether a row has
+its component's id; ``keep_one`` decides by row: a row is known by its id and the digest of its text, null ids included.
 """
 
 from __future__ import annotations
@@ -46,9 +47,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def digest(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def profiles(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """id, n_shingles, key of the set (null if empty), signature fingerprints."""
-    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    """id, digest of the text, n_shingles, key of the set (null if empty), signature fingerprints."""
+    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), digest(text).alias("digest"))
 
     def run(data: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in data:
@@ -61,20 +66,22 @@ def profiles(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
                         pa.array(counts),
                         pa.array([k if f else None for k, f in zip(keys, full, strict=True)], type=pa.binary()),
                         pa.array([p.tobytes() if f else None for p, f in zip(prints, full, strict=True)], type=pa.binary()),
                     ],
-                    names=["id", "n_shingles", "key", "prints"],
+                    names=["id", "digest", "n_shingles", "key", "prints"],
                 )
 
     id_type = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {id_type}, n_shingles long, key binary, prints binary")
+    return slim.mapInArrow(run, f"id {id_type}, digest binary, n_shingles long, key binary, prints binary")
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, size: int) -> DataFrame:
-    """key, elements (64-bit hashes, ascending) of the documents whose ids are in ``wanted``."""
-    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").select("text")
+    """key, elements (64-bit hashes, ascending) of the rows whose ids (null included) and digests are in ``wanted``."""
+    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), digest(text).alias("digest"))
+    slim = slim.join(wanted, slim["id"].eqNullSafe(wanted["id"]) & (slim["digest"] == wanted["digest"]), "left_semi").select("text")
 
     def run(data: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in data:
@@ -309,15 +316,12 @@ def divided(members: DataFrame, prints: DataFrame) -> DataFrame:
     return members.where(F.col("n") <= limit).unionByName(finer.select(*members.columns))
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, share: tuple[int, int] = SHARE
-) -> DataFrame:
-    """One row per document: ``doc_id``, n_shingles, component_id, kept (the smallest id of its component)."""
+def grouped(docs: DataFrame, doc_id: str, text: str, size: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all rows; key and ``first`` (missing, id, digest) of every set: the first row of its component."""
     profile = stored(profiles(docs, doc_id, text, size), "profiles")
+    row = F.struct(F.col("id").isNull().alias("missing"), "id", "digest")
     classes = stored(
-        profile.where("key IS NOT NULL")
-        .groupBy("key")
-        .agg(F.min("id").alias("rep"), F.first("prints").alias("prints")),
+        profile.where("key IS NOT NULL").groupBy("key").agg(F.min(row).alias("rep"), F.first("prints").alias("prints")),
         "classes",
     )
     rows = buckets(classes)
@@ -328,7 +332,7 @@ def near_duplicates(
     star = members.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     star = cut_lineage(star)
     nodes = star.select("a").union(star.select("b")).distinct().withColumnRenamed("a", "key")
-    wanted = classes.select("key", F.col("rep").alias("id")).join(nodes, "key", "left_semi").select("id")
+    wanted = classes.join(nodes, "key", "left_semi").select("rep.id", "rep.digest")
     sets = stored(shingle_sets(docs, doc_id, text, wanted, size), "sets")
     links = cut_lineage(confirm(star, sets, share))
     labels = components(links)
@@ -342,8 +346,16 @@ def near_duplicates(
         labels = components(links)
     lead = classes.select("key", "rep").join(labels.withColumnRenamed("node", "key"), "key", "left")
     lead = cut_lineage(lead.select("key", "rep", F.coalesce("label", "key").alias("label")))
-    least = lead.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = lead.join(least, "label").select("key", "component_id")
+    least = lead.groupBy("label").agg(F.min("rep").alias("first"))
+    return profile, lead.join(least, "label").select("key", "first")
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, share: tuple[int, int] = SHARE
+) -> DataFrame:
+    """One row per document: ``doc_id``, n_shingles, component_id, kept (the smallest id of its component)."""
+    profile, first = grouped(docs, doc_id, text, size, share)
+    of_class = first.select("key", F.col("first.id").alias("component_id"))
     full = profile.where("key IS NOT NULL").select("id", "n_shingles", "key").join(of_class, "key")
     empty = profile.where("key IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = full.select("id", "n_shingles", "component_id").unionByName(empty)
@@ -351,6 +363,22 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all their columns, without those that are not the first of their component."""
-    gone = near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col(doc_id).alias("_gone"))
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents, with all their columns: exactly one row of each component, and all rows without words.
+
+    Of rows that repeat id and text the one with the smallest hash of all columns (maps aside) stays.
+    """
+    profile, first = grouped(docs, doc_id, text, SHINGLE, SHARE)
+    rows = profile.where("key IS NOT NULL").groupBy("id", "digest").agg(F.first("key").alias("key"), F.count("*").alias("n"))
+    stays = F.expr("id <=> first.id AND digest = first.digest").alias("stays")
+    rows = cut_lineage(rows.join(first, "key").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), stays, "n").where("NOT stays OR n > 1"))
+    again = rows.where("stays")
+    named = docs[doc_id].eqNullSafe(rows["_id"]) & (digest(text) == rows["_digest"])
+    left = docs.join(rows, named, "left_anti")
+    if again.isEmpty():
+        return left
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    repeated = docs.join(again, named, "left_semi")
+    one = repeated.groupBy(F.col(doc_id).alias("_id"), digest(text).alias("_digest")).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")
+    )
+    return left.unionByName(one.select("_row.*"))

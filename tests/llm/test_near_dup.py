@@ -75,6 +75,32 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert N.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    long = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [
+        (1, long("a"), 1), (None, long("a"), 2), (None, long("b"), 3), (None, long("c"), 4),  # null ids with texts of their own
+        (2, long("d"), 5), (3, long("d"), 6), (3, long("e"), 7), (4, long("e", 39), 8),  # an id on two texts, each in a group
+        (5, long("f"), 9), (5, long("f"), 9), (5, long("f"), 10),  # repeated rows
+        (None, long("g"), 11), (None, long("g", 39), 12), (None, long("g").upper(), 13),  # a group of null ids only
+        (None, None, 14), (6, "", 15), (6, "", 15),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    for docs in (table, table.repartition(3, "n")):
+        kept = N.keep_one(docs)
+        assert kept.columns == docs.columns
+        got = sorted(r["n"] for r in kept.collect())
+        assert [x for x in got if x not in (9, 10, 11, 12, 13)] == [1, 3, 4, 5, 7, 14, 15, 15]
+        assert sum(x in (9, 10) for x in got) == 1 and sum(x in (11, 12, 13) for x in got) == 1
+    assert N.keep_one(table.limit(0)).count() == 0
+
+
+def test_sets_of_null_ids_only_are_linked(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    table = spark.createDataFrame([(None, long), (None, long + " x"), (7, long + " y"), (8, "of its own")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in N.near_duplicates(table).collect()), key=str)
+    assert got == sorted([(None, 7), (None, 7), (7, 7), (8, 8)], key=str)
+
+
 def test_estimates_are_unbiased_and_vary_less_than_independent_ranks():
     rng = np.random.default_rng(1)
     for shared, own in ((60, 20), (30, 50)):
