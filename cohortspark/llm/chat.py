@@ -6,10 +6,11 @@ compared. If the longer one does not begin with the shorter one, the template re
 carries the place of the first change. Inside its span, the text is found with a probe: the turn is rendered once more
 with a marker as its text, which shows what stands before and after.
 
-Every prefix is rendered over the first ``HEAD`` turns and the last ``REACH`` turns before the one in hand, so the work
-per turn is bounded and a conversation of any length streams through its task: rows are shuffled by conversation,
-sorted by turn inside the partition, and only the window of turns is held. For conversations with at most HEAD + REACH
-turns these are the complete prefixes. A template may look back at most ``REACH`` turns.
+Complete prefixes are rendered, as nothing is known of how far a template looks: a conversation's turns are held and the
+work grows with the square of their number. A template that declares its look-back (``reach``, an argument or an attribute
+of the function) is rendered over the first ``HEAD`` turns and the last ``reach`` turns before the one in hand, so the work
+per turn is bounded and a conversation of any length streams through its task. The default template declares it: its turns
+do not depend on each other. Rows are shuffled by conversation and sorted by turn inside the partition.
 
 Results are rows by turn: the rendered piece, its span in the whole output, the span of its text, and whether it counts
 towards the loss. Pieces in order are the formatted conversation.
@@ -65,6 +66,9 @@ def marked_turns(messages: list[Message]) -> str:
     return "".join(f"<|start|>{escape(m['role'])}<|text|>{escape(m['text'])}<|end|>\n" for m in messages)
 
 
+marked_turns.reach = REACH
+
+
 _PIECE = re.compile(r"<\|start\|>(.*?)<\|text\|>(.*?)<\|end\|>\n", re.DOTALL)
 
 
@@ -90,10 +94,11 @@ def common_prefix(a: str, b: str) -> int:
 
 
 class Renderer:
-    """Feeds one conversation turn by turn; holds a window of turns and the last output, never the conversation."""
+    """Feeds one conversation turn by turn; holds its turns, or a window of them if the look-back is declared."""
 
-    def __init__(self, template: Template, loss_role: str) -> None:
+    def __init__(self, template: Template, loss_role: str, reach: int | None = None) -> None:
         self.template, self.loss_role = template, loss_role
+        self.reach: int | None = getattr(template, "reach", None) if reach is None else reach
         self.window: list[Message] = []
         self.before: str | None = template([])
         self.at = 0
@@ -122,7 +127,7 @@ class Renderer:
         }
         self.window.append(message)
         self.before = now
-        if len(self.window) > HEAD + REACH:
+        if self.reach is not None and len(self.window) > HEAD + self.reach:
             del self.window[HEAD]
             self.before = None
         return out
@@ -136,8 +141,13 @@ def format_turns(
     role: str = "role",
     text: str = "text",
     loss_role: str = "assistant",
+    reach: int | None = None,
 ) -> DataFrame:
-    """One row per turn, in the order of turns inside each partition; a conversation lies in one partition."""
+    """One row per turn, in the order of turns inside each partition; a conversation lies in one partition.
+
+    ``reach``: how many turns before the one in hand, besides the first ``HEAD``, the template looks at; None: as the
+    template declares, else all.
+    """
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = turns.select(F.col(conv_id).alias("conv"), F.col(turn).cast("long").alias("turn"), empty(role).alias("role"), empty(text).alias("text"))
     rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
@@ -145,12 +155,12 @@ def format_turns(
 
     def run(data: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv: Any = object()
-        renderer = Renderer(template, loss_role)
+        renderer = Renderer(template, loss_role, reach)
         for batch in data:
             made: list[dict[str, Any]] = []
             for c, n, r, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if c != conv:
-                    conv, renderer = c, Renderer(template, loss_role)
+                    conv, renderer = c, Renderer(template, loss_role, reach)
                 made.append({"conv": c, "turn": n, **renderer.turn({"role": r, "text": t})})
             yield pa.RecordBatch.from_pylist(made, schema=_schema(batch.schema.field("conv").type))
 

@@ -44,6 +44,36 @@ def test_template_that_rewrites_history_is_found():
     assert rows[2]["rewritten_from"] == len("[user]q\n[assistant]")
 
 
+def test_templates_without_declared_reach_see_the_whole_prefix():
+    """One that numbers its turns, and one that rewrites the first of many turns late."""
+
+    def numbered(messages):
+        return "".join(f"{k}:{m['text']}\n" for k, m in enumerate(messages))
+
+    def late(messages):
+        return "".join(f"{'~' if k == 5 and len(messages) > 40 else ''}{m['text']}\n" for k, m in enumerate(messages))
+
+    turns = [{"role": "user", "text": f"t{k}"} for k in range(60)]
+    renderer = C.Renderer(numbered, "user")
+    rows = [renderer.turn(m) for m in turns]
+    whole = numbered(turns)
+    assert "".join(r["piece"] for r in rows) == whole
+    assert [whole[r["text_start"] : r["text_end"]] for r in rows] == [m["text"] for m in turns]
+    renderer = C.Renderer(late, "user")
+    rows = [renderer.turn(m) for m in turns]
+    assert [k for k, r in enumerate(rows) if r["rewrites"]] == [40]
+    assert rows[40]["rewritten_from"] == len(late(turns[:5]))
+    renderer = C.Renderer(C.marked_turns, "user")
+    assert all(not renderer.turn(m)["rewrites"] for m in turns) and len(renderer.window) == C.HEAD + C.REACH
+
+
+def test_declared_reach_bounds_the_window():
+    renderer = C.Renderer(lambda messages: "".join(m["text"] for m in messages), "user", 3)
+    for k in range(30):
+        assert renderer.turn({"role": "user", "text": f"t{k}"})["piece"] == f"t{k}"
+    assert len(renderer.window) == C.HEAD + 3
+
+
 def test_digests_of_awkward_rows(spark):
     turns = [
         (1, 0, "user", "hi"), (1, 1, "assistant", HOSTILE), (1, 2, None, None), (1, 3, "assistant", None), (1, 3, "assistant", None),
