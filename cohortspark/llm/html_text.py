@@ -3,8 +3,9 @@
 A page is read once into blocks of words and the tags between them; elements that are boilerplate by their kind (menus,
 page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out whole. What
 remains is a sequence in which words score positive and tags negative, by weights from labelled pages; one linear scan
-finds the contiguous region with the highest sum. If most of the region lies in one ``article`` or ``main`` element, the
-text is that element's, so a short paragraph at its edge is not lost.
+finds the contiguous region with the highest sum. Each ``article`` or ``main`` element that the region reaches into is
+added in full, so a short paragraph at its edge is not lost; one inside another is a part of it. Nothing of the region is
+left out.
 
 Labelled pages are those whose markup names their article (``article`` or ``main``), together with a few built-in ones.
 Weights are smoothed log ratios of how often words of a context, or tags of a name, stand inside and outside, counted
@@ -116,7 +117,7 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks of a page without boilerplate elements, with the tags before each."""
     out: list[Block] = []
     now = Block()
-    stack: list[tuple[str, bool, int]] = []  # tag, dropped, number of the innermost container
+    stack: list[tuple[str, bool, int]] = []  # tag, dropped, number of the outermost container
     dropped = links = containers = 0
     at, n = 0, len(page)
 
@@ -182,7 +183,7 @@ def blocks_of(page: str) -> list[Block]:
             held = stack[-1][2] if stack else -1
             gone = is_dropped(tag, source, held >= 0)
             if tag in CONTAINERS and not (gone or dropped):
-                held, containers = (containers, containers + 1) if held < 0 or tag == "article" else (held, containers)
+                held, containers = (containers, containers + 1) if held < 0 else (held, containers)
             stack.append((tag, gone, held))
             dropped += gone
             links += tag == "a"
@@ -278,15 +279,8 @@ def main_text(page: str | None, weights: Weights) -> str:
     first, end = best_region(blocks, weights)
     while 0 < first and blocks[first - 1].tag in HEADINGS and not blocks[first - 1].linked:
         first -= 1  # a title is short, but it belongs to the text that follows
-    chosen = blocks[first:end]
-    held: Counter = Counter()
-    for b in chosen:
-        held[b.container] += b.words
-    if chosen:
-        container, most = max(held.items(), key=lambda x: (x[1], -x[0]))
-        if container >= 0 and most >= 0.6 * sum(held.values()):
-            chosen = [b for b in blocks if b.container == container]
-    return "\n\n".join(b.text for b in chosen)
+    reached = {b.container for b in blocks[first:end] if b.inside}
+    return "\n\n".join(b.text for k, b in enumerate(blocks) if first <= k < end or b.container in reached)
 
 
 def fit(pages: DataFrame, html: str = "html") -> Weights:

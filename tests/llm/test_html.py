@@ -30,6 +30,18 @@ def test_known_pages():
         assert H.main_text(page, WEIGHTS) == text, page
 
 
+def test_containers_only_add_to_the_region():
+    """Titles and leads before a nested article, and uneven articles side by side, stay whole."""
+    nested = f"<main><h1>Title</h1><p>Lead.</p><article>{f'<p>{LONG}</p>' * 3}</article></main>"
+    assert H.main_text(nested, WEIGHTS) == "\n\n".join(["Title", "Lead.", LONG, LONG, LONG])
+    assert {b.container for b in H.blocks_of(nested)} == {0}
+    for a, b in ((7, 3), (3, 7), (5, 5)):
+        parts = f"<article>{f'<p>{LONG}</p>' * a}</article><article>{f'<p>{LONG}</p>' * b}<p>End.</p></article>"
+        assert H.main_text(parts, WEIGHTS) == "\n\n".join([LONG] * (a + b) + ["End."])
+    before = f"<p>{LONG}</p><article>{f'<p>{LONG}</p>' * 4}</article>"
+    assert H.main_text(before, WEIGHTS) == "\n\n".join([LONG] * 5)
+
+
 def test_region_has_the_highest_sum_of_all():
     rng = random.Random(4)
     for _ in range(200):
