@@ -1,10 +1,11 @@
 """License scan with a positional rare-token index, in DataFrame functions only.
 
-Templates are license texts and notices with mandatory key phrases. The index holds, for each template, its ``RARE``
-words with the highest inverse document frequency over the whole corpus, with every place they have in the template.
-A file's words that are in the index are looked up; each posting proposes a start of the template in the file (place in
-the file less place in the template). Starts that at least ``SUPPORT`` postings agree on are verified: every key phrase must
-stand word by word where the start puts it. The score is the share of the template's words that stand in their places.
+Templates are license texts and notices with mandatory key phrases. The index holds, for each template, the word of its key
+phrases with the highest inverse document frequency over the whole corpus, with its place in the template. A file's words
+that are in the index are looked up; each posting proposes a start of the template in the file (place in the file less
+place in the template). Wherever all key phrases stand that word stands, so every such start is proposed. Each is
+verified: every key phrase must stand word by word where the start puts it. The score is the share of the template's
+words that stand in their places.
 
 Base phrases are found wherever their words stand consecutively.
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# How many words of a template rare_words() gives, and how many of them the SQL of op6 wants to agree.
 RARE = 3
 SUPPORT = 2
 
@@ -122,12 +124,17 @@ def strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def rare_words(docs: DataFrame, text: str, templates: tuple[Template, ...], rare: int) -> list[list[str]]:
-    """For each template its words with the highest IDF over all documents; ties in the order of the words."""
+def frequencies(docs: DataFrame, text: str, templates: tuple[Template, ...]) -> dict[str, int]:
+    """In how many documents each word of the templates stands."""
     vocabulary = sorted({w for t in templates for w in t.words()})
     present = docs.select(F.explode(F.array_intersect(text_words(F.col(text)), strings(vocabulary))).alias("w"))
     # At most one row per word of the templates reaches the driver.
-    frequency = {r["w"]: r["n"] for r in present.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    return {r["w"]: r["n"] for r in present.groupBy("w").agg(F.count("*").alias("n")).collect()}
+
+
+def rare_words(docs: DataFrame, text: str, templates: tuple[Template, ...], rare: int) -> list[list[str]]:
+    """For each template its words with the highest IDF over all documents; ties in the order of the words."""
+    frequency = frequencies(docs, text, templates)
     return [sorted(set(t.words()), key=lambda w: (frequency.get(w, 0), w))[:rare] for t in templates]
 
 
@@ -137,18 +144,14 @@ def scan(
     text: str = "text",
     templates: tuple[Template, ...] = TEMPLATES,
     base: dict[str, str] = BASE,
-    rare: int = RARE,
-    support: int = SUPPORT,
 ) -> DataFrame:
     """``doc_id``, n_words, base (label and start of every base phrase), found (label, start and share of every template)."""
-    index = rare_words(docs, text, templates, rare)
+    frequency = frequencies(docs, text, templates)
     postings: dict[str, list[tuple[int, int]]] = {}
-    supports = []
-    for t, (template, chosen) in enumerate(zip(templates, index, strict=True)):
-        places = [(i, w) for i, w in enumerate(template.words()) if w in chosen]
-        supports.append(min(support, len(places)))
-        for i, w in places:
-            postings.setdefault(w, []).append((t, i))
+    for t, template in enumerate(templates):
+        key_words = [(frequency.get(w, 0), w, o + i) for o, k in template.key_places() for i, w in enumerate(k)]
+        _, w, i = min(key_words)
+        postings.setdefault(w, []).append((t, i))
     phrases = [(words_of(p), label) for p, label in base.items()]
     sought = sorted({*postings, *(p[0] for p, _ in phrases)})
 
@@ -165,7 +168,6 @@ def scan(
         *[F.array(*[F.struct(number(o).alias("o"), strings(k).alias("k")) for o, k in t.key_places()]) for t in templates]
     )
     labels = strings([t.label for t in templates])
-    needed = F.array(*[number(s) for s in supports])
     base_phrases = F.array(*[F.struct(strings(p).alias("p"), F.lit(label).alias("label")) for p, label in phrases])
 
     words = F.col("_w")
@@ -192,8 +194,7 @@ def scan(
     rows = rows.withColumn("_base", based).withColumn("_proposed", proposed)
     agreed = F.filter(
         F.array_distinct("_proposed"),
-        lambda c: (F.size(F.filter("_proposed", lambda x: x == c)) >= F.get(needed, c["t"]))
-        & F.forall(F.get(keys, c["t"]), lambda k: stands(c["s"] + k["o"], k["k"])),
+        lambda c: F.forall(F.get(keys, c["t"]), lambda k: stands(c["s"] + k["o"], k["k"])),
     )
     rows = rows.withColumn("_agreed", agreed)
     share = lambda c: F.size(

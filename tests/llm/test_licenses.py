@@ -36,6 +36,15 @@ def test_scan_agrees_with_every_start(spark):
         assert got == plain(TEXTS[r["doc_id"] % len(TEXTS)], index)
 
 
+def test_key_phrases_suffice_whatever_the_corpus(spark):
+    """A notice that has the key phrases alone, in a corpus without the template's other words."""
+    text = "this file is subject to the terms of the Mozilla Public License"
+    docs = spark.createDataFrame([(1, text), (2, "nothing here"), (3, "x " + text)], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["label"], x["start"]) for x in r["found"]] for r in L.scan(docs).collect()}
+    start = 3 - L.TEMPLATES[10].key_places()[0][0]
+    assert got == {1: [("mpl-2.0", start)], 2: [], 3: [("mpl-2.0", start + 1)]}
+
+
 def test_index_holds_the_rarest_words(spark):
     docs = spark.createDataFrame([(1, "license license the"), (2, "license"), (3, None)], "doc_id long, text string")
     for template, chosen in zip(L.TEMPLATES, L.rare_words(docs, "text", L.TEMPLATES, 3), strict=True):
