@@ -1128,37 +1128,37 @@ def lime_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.lime(model, train, test, FULL_FEATURES)
 
 
-def _text_recipe() -> Recipe:
-    return Recipe(features=TEXT_FEATURES, classes=CLASSES, ratios=_RATIOS, select_k="all")
+# Fixed value: repeats of the published three-class run.
+MULTICLASS_REPEATS = 3
 
 
-def _some(names: Sequence[str], models: dict | None = None) -> dict:
-    models = models or zoo.binary_models()
-    return {n: models[n] for n in names}
+def _text_recipe() -> Recipe:
+    return Recipe(features=TEXT_FEATURES, classes=CLASSES, ratios=_RATIOS, select_k="all")
 
 
 @register("leaderboard")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = _some(["LogisticRegression", "KNN", "GaussianNB", "DecisionTree"])
-    return selection.screen_models(_text_recipe(), samples(spark, sf_dir), models, repeats=1)
+    """All binary models with the published folds and repeats."""
+    return selection.screen_models(_text_recipe(), samples(spark, sf_dir), zoo.binary_models())
 
 
 @register("leaderboard_multiclass")
 def leaderboard_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three-class models with the published folds and repeats."""
     df, names = vector_columns(spark, sf_dir)
-    recipe = Recipe(features=names, classes=VECTOR_CLASSES, ratios=None, impute=False, select_k="all")
-    models = _some(["LogisticRegression", "GaussianNB", "DecisionTree"], zoo.multiclass_models())
-    return selection.screen_models(recipe, df, models, repeats=1)
+    recipe = Recipe(features=names, classes=VECTOR_CLASSES, ratios=None, select_k="all")
+    return selection.screen_models(recipe, df, zoo.multiclass_models(), repeats=MULTICLASS_REPEATS)
 
 
 @register("grid_search")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry = zoo.binary_models()["LogisticRegression"]
-    grid, means = selection.grid_scores(
-        _text_recipe(), samples(spark, sf_dir), entry, select=[2, "all"], repeats=1
-    )
-    rows = [(float(p["C"]), str(p["k"]), m) for p, m in zip(grid, means)]
-    return spark.createDataFrame(rows, "C double, k string, mean_score double")
+    """The published grid of every binary model that has one, with the published folds and repeats."""
+    rows = []
+    for name, entry in zoo.binary_models().items():
+        if entry.grid:
+            grid, means = selection.grid_scores(_text_recipe(), samples(spark, sf_dir), entry, select=zoo.SELECT_GRID)
+            rows += [(name, {k: str(v) for k, v in p.items()}, m) for p, m in zip(grid, means)]
+    return spark.createDataFrame(rows, "name string, params map<string,string>, mean_score double")
 
 
 @register("learning_curve")
