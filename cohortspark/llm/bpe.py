@@ -35,6 +35,9 @@ VOCABULARY_BYTES = 64 << 20
 # Entries and bytes of a slice in a worker's cache of merged slices; beyond them it starts anew or does not keep it.
 CACHE_ENTRIES, CACHE_SLICE = 500_000, 256
 BLOCK = 512
+# Slices up to this many bytes are merged side by side, a join in each of them per round; longer ones by a heap.
+SIDE_BY_SIDE = 64
+NONE = np.iinfo(np.int64).max
 
 # The contractions of the public pattern, which are pre-tokens of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -155,6 +158,15 @@ class Tokenizer:
             self.lengths[k], by_id[k] = len(token), token
         self.begins = np.cumsum(np.maximum(self.lengths, 0)) - np.maximum(self.lengths, 0)
         self.bytes = np.frombuffer(b"".join(by_id), dtype=np.uint8)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        pairs = {
+            ranks[token[:k]] * size + ranks[token[k:]]: rank
+            for token, rank in ranks.items()
+            for k in range(1, len(token))
+            if token[:k] in ranks and token[k:] in ranks
+        }
+        self.pairs = np.array(sorted(pairs), dtype=np.int64)
+        self.joined = np.array([pairs[p] for p in self.pairs.tolist()], dtype=np.int64)
         self.cache: dict[bytes, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
@@ -185,11 +197,56 @@ class Tokenizer:
         first = first[at]
         return at[self.transitions.boundaries(self.symbols(points, first), first)]
 
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of every joined pair of ids, NONE where the vocabulary lacks it."""
+        if not len(self.pairs):
+            return np.full(len(left), NONE)
+        sought = left * len(self.lengths) + right
+        at = np.minimum(np.searchsorted(self.pairs, sought), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == sought, self.joined[at], NONE)
+
+    def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of pre-tokens: in each the neighbouring pair of lowest rank is joined, the leftmost first, until none is known."""
+        out = [() if (known := self.ranks.get(p)) is None else (known,) for p in pieces]
+        short = [k for k, p in enumerate(pieces) if not out[k] and len(p) <= SIDE_BY_SIDE]
+        for k, p in enumerate(pieces):
+            if not out[k] and len(p) > SIDE_BY_SIDE:
+                out[k] = self.merge(p)
+        part = self.single[np.frombuffer(b"".join([pieces[k] for k in short]), dtype=np.uint8)]
+        owner = np.repeat(np.arange(len(short)), [len(pieces[k]) for k in short])
+        rank = np.full(len(part), NONE)
+        rank[:-1] = np.where(owner[:-1] == owner[1:], self.rank(part[:-1], part[1:]), NONE)
+        ended = []
+        while len(part):
+            begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            sizes = np.diff(np.append(begins, len(part)))
+            least = np.repeat(np.minimum.reduceat(rank, begins), sizes)
+            going = least != NONE
+            ended.append((owner[~going], part[~going]))
+            part, owner, rank, least = part[going], owner[going], rank[going], least[going]
+            at = np.flatnonzero(rank == least)
+            at = at[np.append(True, owner[at[1:]] != owner[at[:-1]])] if len(at) else at
+            part[at] = rank[at]
+            kept = np.ones(len(part), dtype=bool)
+            kept[at + 1] = False
+            part, owner, rank = part[kept], owner[kept], rank[kept]
+            at -= np.arange(len(at))  # one part before it went in each earlier slice
+            for left in (at - 1, at):
+                inside = (left >= 0) & (left + 1 < len(part))
+                same = left[inside]
+                rank[left[left >= 0]] = NONE
+                same = same[owner[same] == owner[same + 1]]
+                rank[same] = self.rank(part[same], part[same + 1])
+        if ended:
+            owner, part = (np.concatenate(x) for x in zip(*ended, strict=True))
+            order = np.argsort(owner, kind="stable")
+            flat, ends = part[order].tolist(), np.cumsum(np.bincount(owner, minlength=len(short))).tolist()
+            for k, a, b in zip(short, [0, *ends], ends, strict=False):
+                out[k] = tuple(flat[a:b])
+        return out
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token: the neighbouring pair of lowest rank is joined, the leftmost first, until none is known."""
-        known = self.ranks.get(piece)
-        if known is not None:
-            return (known,)
+        """Ids of one pre-token, by a heap of its pairs."""
         n = len(piece)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = []
@@ -221,6 +278,19 @@ class Tokenizer:
             i = after[i]
         return tuple(out)
 
+    def merged(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of different pre-tokens, from the cache where it has them."""
+        out = list(map(self.cache.get, pieces))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        new = [pieces[k] for k in missing]
+        if len(self.cache) + len(new) > CACHE_ENTRIES:
+            self.cache.clear()
+        for k, piece, ids in zip(missing, new, self.merge_all(new), strict=True):
+            out[k] = ids
+            if len(piece) <= CACHE_SLICE and len(self.cache) < CACHE_ENTRIES:
+                self.cache[piece] = ids
+        return out
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, the byte of its text each token starts at, and the number of the first token of every text, plus one entry."""
         raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -230,16 +300,7 @@ class Tokenizer:
         ends = np.append(places, len(raw)).astype(np.int32)
         slices = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(ends), pa.py_buffer(raw.tobytes())])
         coded = slices.dictionary_encode()
-        merged = []
-        for piece in coded.dictionary.to_pylist():
-            ids = self.cache.get(piece)
-            if ids is None:
-                ids = self.merge(piece)
-                if len(piece) <= CACHE_SLICE:
-                    if len(self.cache) >= CACHE_ENTRIES:
-                        self.cache.clear()
-                    self.cache[piece] = ids
-            merged.append(ids)
+        merged = self.merged(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))
         flat = np.fromiter(chain.from_iterable(merged), dtype=np.uint32, count=int(sizes.sum()))
         which = coded.indices.to_numpy()
