@@ -13,6 +13,7 @@ from cohortspark.llm import (  # noqa: F401
     op08_mixing,
     op09_near_dup,
     op10_langid,
+    op12_filter_audit,
     op13_bpe,
 )
 from cohortspark.llm.registry import QUERIES, SQL, Query
