@@ -13,6 +13,7 @@ from cohortspark.llm import (  # noqa: F401
     op08_mixing,
     op09_near_dup,
     op10_langid,
+    op11_runs,
     op12_filter_audit,
     op13_bpe,
 )

@@ -35,4 +35,4 @@ def test_query_matches_sql(name, spark, duck):
 
 
 def test_one_query_for_each_operator():
-    assert [sum(q.startswith(f"op{n}_") for q in llm.queries()) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in llm.queries()) for n in range(1, 14)] == [1] * 13
