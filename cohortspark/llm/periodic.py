@@ -20,6 +20,7 @@ Rows are told apart by their place in the input, which must not change when a ta
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +138,16 @@ def z_function(s: list[int]) -> list[int]:
     z = [0] * n
     left = right = 0
     for i in range(1, n):
-        k = min(right - i, z[i - left]) if i < right else 0
+        if i < right:
+            k = z[i - left]
+            if k < right - i:
+                z[i] = k
+                continue
+            k = right - i
+        elif s[i] != s[0]:
+            continue
+        else:
+            k = 1
         while i + k < n and s[k] == s[i + k]:
             k += 1
         z[i] = k
@@ -146,6 +156,7 @@ def z_function(s: list[int]) -> list[int]:
     return z
 
 
+@lru_cache(maxsize=1 << 16)
 def prime_factors(n: int) -> list[int]:
     out, p = [], 2
     while p * p <= n:
