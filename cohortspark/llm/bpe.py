@@ -33,8 +33,9 @@ from cohortspark.llm import words as W
 
 VOCABULARY_BYTES = 64 << 20
 # Entries and bytes of a slice in a worker's cache of merged slices; beyond them it starts anew or does not keep it.
-CACHE_ENTRIES, CACHE_SLICE = 500_000, 256
+CACHE_ENTRIES, CACHE_SLICE = 100_000, 256
 BLOCK = 512
+ROWS = 128  # decoded at a time
 # Slices up to this many bytes are merged side by side, a join in each of them per round; longer ones by a heap.
 SIDE_BY_SIDE = 64
 NONE = np.iinfo(np.int64).max
@@ -374,12 +375,12 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     def run(data: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in data:
-            out = [
-                known.decode(np.frombuffer(i or b"", dtype="<u4"), np.frombuffer(s or b"", dtype="<u4"))
-                for i, s in zip(batch.column(ids).to_pylist(), batch.column(starts).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, type=pa.binary())], names=[*batch.schema.names, "decoded"]
-            )
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                packed = zip(part.column(ids).to_pylist(), part.column(starts).to_pylist(), strict=True)
+                out = [known.decode(np.frombuffer(i or b"", "<u4"), np.frombuffer(s or b"", "<u4")) for i, s in packed]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(out, type=pa.binary())], names=[*batch.schema.names, "decoded"]
+                )
 
     return encoded.mapInArrow(run, StructType([*encoded.schema, StructField("decoded", BinaryType())]))
