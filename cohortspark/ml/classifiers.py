@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Transformer
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.ml import descent, gang
 from cohortspark.ml.saving import CompositeModel
+from cohortspark.ml.together import Smooth, Trees, pass_rows
 from cohortspark.operators.neighbours import NeighbourIndex, knn_vote, limit_copies, vector_key
-from cohortspark.session import cut_lineage, fresh_path
+from cohortspark.session import fresh_path
 
 
 class _Shared(Params):
@@ -51,6 +52,44 @@ class _Fitted(CompositeModel, _Shared):
         self._defaults()
 
 
+class _Packed(_Fitted):
+    """Model whose state is text; ``chances`` makes of it a function from a matrix to class probabilities."""
+
+    packed = Param(Params._dummy(), "packed", "state as JSON", TypeConverters.toString)
+
+    def chances(self):
+        raise NotImplementedError
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        of = self.chances()
+
+        @F.pandas_udf("array<double>")
+        def chance(rows: pd.Series) -> pd.Series:
+            return pd.Series(list(of(np.vstack(rows.to_list())))) if len(rows) else pd.Series([], dtype=object)
+
+        return _finish(dataset.withColumn("_p", chance(vector_to_array(self.getOrDefault("featuresCol")))))
+
+
+def _rows(estimator: _Base, dataset: DataFrame) -> DataFrame:
+    """The training rows as the shared passes read them."""
+    name, key = estimator.getOrDefault("weightCol"), estimator.getOrDefault("idCol")
+    x = vector_to_array(estimator.getOrDefault("featuresCol"))
+    row_key = F.col(key) if key in dataset.columns else x
+    return pass_rows(dataset, x, estimator.getOrDefault("labelCol"), row_key, F.col(name) if name else None)
+
+
+def _width(rows: DataFrame) -> int:
+    return len(rows.select("x").first()["x"])
+
+
+def _grow(estimator: _Base, dataset: DataFrame, kind: str, own: dict) -> gang.Gang:
+    rows = _rows(estimator, dataset).persist()
+    member = Trees(kind, **own).member(0, range(_width(rows)), estimator.getOrDefault("seed"))
+    grown = gang.grow(rows, [member], estimator.getOrDefault("numClasses"))
+    rows.unpersist()
+    return grown
+
+
 # --- k nearest neighbours ---------------------------------------------------------------------
 
 
@@ -115,32 +154,15 @@ class AdaBoost(_Base):
         self._set(rounds=rounds, rate=rate)
 
     def _fit(self, dataset: DataFrame) -> "AdaBoostModel":
-        k = self.getOrDefault("numClasses")
-        features, label = self.getOrDefault("featuresCol"), self.getOrDefault("labelCol")
-        base = dataset.select(
-            F.col(features).alias("features"), F.col(label).cast("double").alias("label"), F.lit(1.0).alias("_w")
-        ).persist()
-        tree = DecisionTreeClassifier(maxDepth=1, weightCol="_w", seed=self.getOrDefault("seed"))
-        stumps: list[tuple[int, float, float, float, float]] = []
-        weighted = base
-        for t in range(self.getOrDefault("rounds")):
-            fitted = tree.fit(weighted)
-            stump = _stump(fitted)
-            wrong = _stump_column(stump) != F.col("label")
-            err = weighted.agg(
-                (F.sum(F.when(wrong, F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias("e")
-            ).first()["e"]
-            if err <= 0:
-                stumps.append((*stump, 1.0))
-                break
-            if err >= 1 - 1 / k:
-                break
-            alpha = self.getOrDefault("rate") * (math.log((1 - err) / err) + math.log(k - 1))
-            stumps.append((*stump, alpha))
-            weighted = weighted.withColumn("_w", F.col("_w") * F.when(wrong, F.lit(math.exp(alpha))).otherwise(1.0))
-            if (t + 1) % 10 == 0:
-                weighted = cut_lineage(weighted)
-        base.unpersist()
+        own = {"trees": self.getOrDefault("rounds"), "depth": 1, "rate": self.getOrDefault("rate")}
+        grown = _grow(self, dataset, "ada", own)
+        stumps = []
+        for t in range(grown.rounds):
+            feature, cut, value = (a[t] for a in (grown.past.feature, grown.past.cut, grown.past.value))
+            if grown.alphas[t, 0]:
+                leaves = value[1:3] if feature[0] >= 0 else value[[0, 0]]
+                left, right = leaves[:, :-1].argmax(axis=1)
+                stumps.append((max(feature[0], 0), cut[0], left, right, grown.alphas[t, 0]))
         if not stumps:
             raise ValueError("no depth-1 tree beats guessing on this table")
         model = AdaBoostModel()
@@ -149,25 +171,6 @@ class AdaBoost(_Base):
         return model
 
 
-def _stump(tree) -> tuple[int, float, float, float]:
-    """Feature, threshold and the classes below and above it; one class twice for a tree without split."""
-    root = tree._call_java("rootNode")
-    if tree.numNodes == 1:
-        return 0, 0.0, float(root.prediction()), float(root.prediction())
-    split = root.split()
-    return (
-        int(split.featureIndex()),
-        float(split.threshold()),
-        float(root.leftChild().prediction()),
-        float(root.rightChild().prediction()),
-    )
-
-
-def _stump_column(stump, features: str = "features"):
-    feature, threshold, left, right = stump
-    return F.when(vector_to_array(features)[feature] <= threshold, F.lit(left)).otherwise(F.lit(right))
-
-
 class AdaBoostModel(_Fitted):
     stumps = Param(Params._dummy(), "stumps", "feature, threshold, left, right, weight", TypeConverters.toListFloat)
 
@@ -242,67 +245,112 @@ class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable)
 class RBFClassifier(_Base):
     """Two-class support vector classifier with a radial kernel and probabilities.
 
-    Random Fourier features, a linear support vector machine on them and a logistic fit of held-out margins.
-    ``gamma=0`` means 1 / (columns * variance of all entries).
+    A machine on random Fourier features of the kernel, its hinge rounded at the corner, and a logistic curve over margins
+    of rows the machine has not seen. ``gamma=0`` means 1 / (columns * variance of all entries).
     """
 
     c = Param(Params._dummy(), "c", "inverse regularisation", TypeConverters.toFloat)
     gamma = Param(Params._dummy(), "gamma", "kernel width, 0 for scale", TypeConverters.toFloat)
     size = Param(Params._dummy(), "size", "number of random features", TypeConverters.toInt)
-    folds = Param(Params._dummy(), "folds", "parts of the rows for held-out margins", TypeConverters.toInt)
 
-    def __init__(self, c: float = 1.0, gamma: float = 0.0, size: int = 256, folds: int = 5, **params):
+    def __init__(self, c: float = 1.0, gamma: float = 0.0, size: int = 256, **params):
         super().__init__(**params)
-        self._set(c=c, gamma=gamma, size=size, folds=folds)
+        self._set(c=c, gamma=gamma, size=size)
 
     def _fit(self, dataset: DataFrame) -> "RBFModel":
-        features, label = self.getOrDefault("featuresCol"), self.getOrDefault("labelCol")
-        entries = dataset.select(F.explode(vector_to_array(features)).alias("v"))
-        stats = entries.agg(F.var_pop("v").alias("var"), F.count("v").alias("cells")).first()
-        n = dataset.count()
-        width = stats["cells"] // n
-        gamma = self.getOrDefault("gamma") or 1.0 / (width * (stats["var"] or 1.0))
-        fourier = FourierFeatures(gamma, self.getOrDefault("size"), self.getOrDefault("seed"), features, "_fourier")
-        svm = LinearSVC(
-            featuresCol="_fourier",
-            labelCol=label,
-            regParam=1.0 / (self.getOrDefault("c") * n),
-            standardization=False,
-            predictionCol="_side",
-            rawPredictionCol="_margins",
-        )
-        if self.getOrDefault("weightCol"):
-            svm = svm.setWeightCol(self.getOrDefault("weightCol"))
-        mapped = fourier.transform(dataset).persist()
-        fitted = svm.fit(mapped)
-        # Margins for the logistic fit come from machines that have not seen the row.
-        numbered = mapped.withColumn("_part", F.pmod(F.xxhash64(vector_to_array(features)), F.lit(self.getOrDefault("folds"))))
-        outside = []
-        for f in range(self.getOrDefault("folds")):
-            inside = numbered.where(F.col("_part") != f)
-            if inside.select(label).distinct().count() == 2:
-                outside.append(svm.fit(inside).transform(numbered.where(F.col("_part") == f)))
-        margins = reduce(DataFrame.unionByName, outside) if outside else fitted.transform(mapped)
-        platt = LogisticRegression(
-            featuresCol="_margin", labelCol=label, predictionCol="_pp", probabilityCol="_pv", rawPredictionCol="_pr"
-        ).fit(_margin(margins))
-        mapped.unpersist()
+        rows = _rows(self, dataset).persist()
+        entries = rows.select(F.explode("x").alias("v"))
+        spread = entries.agg(F.var_pop("v").alias("v")).first()["v"]
+        spec = Smooth((), 1.0 / self.getOrDefault("c"), True, True, self.getOrDefault("gamma"), self.getOrDefault("size"))
+        net = spec.net(0, range(_width(rows)), 2, self.getOrDefault("seed"), spread, 1)
+        (machine,) = descent.machines(rows, [net])
+        rows.unpersist()
         model = RBFModel()
         self._copy_shared(model)
-        model.parts = [fourier, fitted, platt]
+        numbers = {"gamma": net.lift.gamma, "size": net.lift.size, "seed": net.seed, "columns": len(net.columns)}
+        model._set(packed=json.dumps({**numbers, "theta": machine.theta.tolist(), "curve": machine.curve.tolist()}))
         return model
 
 
-def _margin(df: DataFrame) -> DataFrame:
-    return df.withColumn("_margin", array_to_vector(F.array(vector_to_array("_margins")[1])))
+class RBFModel(_Packed):
+    def chances(self):
+        p = json.loads(self.getOrDefault("packed"))
+        lift = descent.Fourier(p["gamma"], p["size"], p["seed"])
+        net = descent.Net(0, tuple(range(p["columns"])), 2, loss="hinge", lift=lift, target=1)
+        machine = descent.Machine(net, np.array(p["theta"]), np.array(p["curve"]))
 
+        def of(x: np.ndarray) -> np.ndarray:
+            one = machine.chance(x)
+            return np.stack([1 - one, one], axis=1)
 
-class RBFModel(_Fitted):
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        fourier, svm, platt = self.parts
-        scored = platt.transform(_margin(svm.transform(fourier.transform(dataset))))
-        out = scored.withColumn("_p", vector_to_array("_pv"))
-        return _finish(out).drop("_fourier", "_side", "_margins", "_margin", "_pp", "_pv", "_pr")
+        return of
+
+
+# --- perceptron ---------------------------------------------------------------------------------------
+
+
+class Perceptron(_Base):
+    """Layers of rectified units with a penalty on squared weights, fitted by L-BFGS over all rows."""
+
+    hidden = Param(Params._dummy(), "hidden", "units per hidden layer", TypeConverters.toListInt)
+    penalty = Param(Params._dummy(), "penalty", "weight of half the squared weights", TypeConverters.toFloat)
+    maxIter = Param(Params._dummy(), "maxIter", "passes over the rows", TypeConverters.toInt)
+
+    def __init__(self, hidden=(8,), penalty: float = 1.0, maxIter: int = 200, **params):
+        super().__init__(**params)
+        self._set(hidden=list(hidden), penalty=penalty, maxIter=maxIter)
+
+    def _fit(self, dataset: DataFrame) -> "PerceptronModel":
+        rows = _rows(self, dataset).persist()
+        hidden, k = tuple(self.getOrDefault("hidden")), self.getOrDefault("numClasses")
+        spec = Smooth(hidden, self.getOrDefault("penalty"), bool(self.getOrDefault("weightCol")), max_iter=self.getOrDefault("maxIter"))
+        net = spec.net(0, range(_width(rows)), k, self.getOrDefault("seed"), 1.0)
+        (theta,) = descent.minimise(rows, [net])
+        rows.unpersist()
+        model = PerceptronModel()
+        self._copy_shared(model)
+        model._set(packed=json.dumps({"columns": len(net.columns), "classes": k, "hidden": hidden, "theta": theta.tolist()}))
+        return model
+
+
+class PerceptronModel(_Packed):
+    def chances(self):
+        p = json.loads(self.getOrDefault("packed"))
+        net = descent.Net(0, tuple(range(p["columns"])), p["classes"], tuple(p["hidden"]))
+        theta = np.array(p["theta"])
+        return lambda x: net.probabilities(theta, x)
+
+
+# --- extremely randomised trees --------------------------------------------------------------------
+
+
+class ExtraTrees(_Base):
+    """Trees on all rows whose cuts are drawn per node between the smallest and the largest value there."""
+
+    trees = Param(Params._dummy(), "trees", "number of trees", TypeConverters.toInt)
+    depth = Param(Params._dummy(), "depth", "deepest level", TypeConverters.toInt)
+    leaf = Param(Params._dummy(), "leaf", "fewest rows of a leaf", TypeConverters.toInt)
+
+    def __init__(self, trees: int = 300, depth: int = 8, leaf: int = 3, **params):
+        super().__init__(**params)
+        self._set(trees=trees, depth=depth, leaf=leaf)
+
+    def _fit(self, dataset: DataFrame) -> "ExtraTreesModel":
+        own = {k: self.getOrDefault(k) for k in ("trees", "depth", "leaf")}
+        own |= {"sqrt": True, "weighted": bool(self.getOrDefault("weightCol"))}
+        grown = _grow(self, dataset, "extra", own)
+        model = ExtraTreesModel()
+        self._copy_shared(model)
+        model._set(packed=json.dumps({k: v.tolist() for k, v in vars(grown.trees).items()}))
+        return model
+
+
+class ExtraTreesModel(_Packed):
+    def chances(self):
+        trees = gang.Trees(*[np.array(v) for v in json.loads(self.getOrDefault("packed")).values()])
+        grown = gang.Gang([gang.Member(0, (), "extra", len(trees.feature))], self.getOrDefault("numClasses"), {}, {})
+        grown.trees = trees
+        return lambda x: gang.probabilities(grown, 0, x)
 
 
 # --- one model per class ---------------------------------------------------------------------------

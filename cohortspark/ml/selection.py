@@ -1,8 +1,8 @@
 """Fits per fold, screening, grid search, out-of-fold scores and held-out studies.
 
-Fits loop on the driver over a fixed number of (model, fold, parameter) points, a few at a time; every
-fit and every score is a Spark job over the whole fold. What depends on the fold alone (imputing,
-ratios, scaling) is prepared once per fold and shared by all models.
+What depends on the fold alone (imputing, ratios, scaling) is prepared once per fold, kept in one table of folds and shared
+by all models. Searches fit the points of a model in passes over that table which all folds and points share (see
+``together``); models that have no such form are fitted one by one, a few at a time, each by Spark jobs over its fold.
 """
 
 from __future__ import annotations
@@ -14,16 +14,19 @@ from dataclasses import dataclass, field
 from functools import reduce
 from statistics import fmean, pstdev
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.ml.stages import feature_stages, kept_names, select_stage
+from cohortspark.ml import together
+from cohortspark.ml.stages import best_columns, feature_stages, kept_names, select_stage
 from cohortspark.ml.zoo import Entry, Setting
 from cohortspark.operators import curves, evaluate, splits
 from cohortspark.operators.prep import DEFAULT_RATIOS, Ratio, class_weights
-from cohortspark.session import remove
+from cohortspark.session import fresh_path, remove
 
 # Fixed value: features kept when the count is not searched.
 SELECT_K = 10
@@ -173,33 +176,192 @@ def _fold_tables(recipe: Recipe, train: DataFrame, folds: int, repeats: int):
         numbered.unpersist()
 
 
-def _cv_scores(
-    recipe: Recipe, train: DataFrame, points: dict, folds: int, repeats: int
-) -> tuple[dict, dict]:
-    """Fold scores of every named (entry, params) point, and the first error of a point that fails."""
-    scores: dict = {name: [] for name in points}
-    errors: dict = {}
-
-    def one_fold(part):
-        with prepared(recipe, *part, temporary=True) as fold:
+@dataclass
+class Folded:
+    """All folds' prepared rows: fold, held, id, rid, label, weight, x. Fold ``whole`` holds every row and holds none out."""
+
+    source: DataFrame
+    rows: DataFrame
+    path: str
+    n_folds: int
+    width: int
+    n_rows: dict[int, int]
+    ranked: dict[int, list[int]]
+    moments: dict[int, tuple[np.ndarray, np.ndarray]]
 
-            def one(name):
-                if name in errors:
-                    return
-                entry, params = points[name]
-                try:
-                    model = fit_on(recipe, entry, fold, params)
-                    scores[name].append(_measure(recipe, score(model, fold.test, _keep(recipe, fold.test))))
-                    for path in {getattr(s, "donor_path", None) for s in model.stages} - {None}:
-                        remove(train.sparkSession, path)
-                except Exception as exc:  # noqa: BLE001 - a failing model is reported, the others go on
-                    errors[name] = f"{type(exc).__name__}: {exc}"
+    @property
+    def whole(self) -> int:
+        return self.n_folds
+
+    def columns(self, fold: int, k: int | str) -> tuple[int, ...]:
+        """The k columns with the best F score on the fold's training rows, in column order."""
+        return tuple(sorted(self.ranked[fold][: self.width if k == "all" else int(k)]))
+
+    def spread(self, fold: int, columns: Sequence[int]) -> float:
+        """Variance of all entries of the columns."""
+        mean, square = (m[list(columns)] for m in self.moments[fold])
+        return float(square.mean() - mean.mean() ** 2)
+
+    def part(self, recipe: Recipe, fold: int, held: bool) -> DataFrame:
+        mine = self.rows.where((F.col("fold") == fold) & (F.col("held") == held))
+        return mine.select(
+            F.col("id").alias(recipe.id_col),
+            F.col("label").alias(recipe.label_col),
+            "weight",
+            array_to_vector("x").alias("scaled"),
+        ).coalesce(max(1, -(-self.n_rows[fold] // ROWS_PER_TASK)))
+
+    def close(self) -> None:
+        self.rows.unpersist()
+        remove(self.source.sparkSession, self.path)
+
+
+def _folded(recipe: Recipe, train: DataFrame, folds: int, repeats: int) -> Folded:
+    spark = train.sparkSession
+    path = fresh_path(spark, "folds")
+
+    def keep(df: DataFrame, fold: int, held: bool) -> DataFrame:
+        weight = F.col("weight") if "weight" in df.columns else F.lit(1.0)
+        key = F.col(recipe.id_col)
+        return df.select(
+            F.lit(fold).alias("fold"),
+            F.lit(held).alias("held"),
+            key.alias("id"),
+            F.xxhash64(key).alias("rid"),
+            F.col(recipe.label_col).cast("int").alias("label"),
+            weight.cast("double").alias("weight"),
+            vector_to_array("scaled").alias("x"),
+        )
 
-            _each(points, one)
+    def one(at):
+        fold, inside, outside = at
+        with prepared(recipe, inside, outside, temporary=True) as done:
+            out = keep(done.train, fold, False)
+            if done.test is not None:
+                tasks = max(1, -(-done.n_rows // ROWS_PER_TASK))
+                out = out.unionByName(keep(done.test.coalesce(tasks), fold, True))
+            out.write.parquet(f"{path}/{fold}")
+            return done.n_features
 
     with _fold_tables(recipe, train, folds, repeats) as parts:
-        _each(parts, one_fold)
-    return scores, errors
+        jobs = [(f, *part) for f, part in enumerate(parts)] + [(len(parts), train, None)]
+        width = max(_each(jobs, one))
+    rows = spark.read.parquet(*[f"{path}/{f}" for f, *_ in jobs]).persist()
+    metrics = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("x"))
+    per: dict[int, list] = {}
+    for r in rows.where(~F.col("held")).groupBy("fold", "label").agg(metrics.alias("s")).collect():
+        per.setdefault(r["fold"], []).append((r["s"]["count"], r["s"]["mean"].toArray(), r["s"]["variance"].toArray()))
+    n_rows, ranked, moments = {}, {}, {}
+    for fold, found in per.items():
+        n, mean, var = (np.array(v, dtype=float) for v in zip(*found, strict=True))
+        n_rows[fold] = int(n.sum())
+        ranked[fold] = best_columns(n[:, None], mean, var)
+        share = n[:, None] / n.sum()
+        square = var * (n[:, None] - 1) / n[:, None] + mean**2
+        moments[fold] = (share * mean).sum(axis=0), (share * square).sum(axis=0)
+    return Folded(train, rows, path, len(jobs) - 1, width, n_rows, ranked, moments)
+
+
+_SHARED: list[dict] = []
+
+
+@contextmanager
+def shared_folds():
+    """Searches over the same table and recipe inside the block prepare their folds once."""
+    kept: dict = {}
+    _SHARED.append(kept)
+    try:
+        yield
+    finally:
+        _SHARED.remove(kept)
+        for folded in kept.values():
+            folded.close()
+
+
+@contextmanager
+def _folds_for(recipe: Recipe, train: DataFrame, folds: int, repeats: int):
+    if _SHARED:
+        key = (id(train), repr(recipe), folds, repeats)
+        if key not in _SHARED[-1]:
+            _SHARED[-1][key] = _folded(recipe, train, folds, repeats)
+        yield _SHARED[-1][key]
+        return
+    folded = _folded(recipe, train, folds, repeats)
+    try:
+        yield folded
+    finally:
+        folded.close()
+
+
+def _together(recipe: Recipe, folded: Folded, points: dict, folds: Sequence[int]) -> dict[tuple, float]:
+    """Scores by (point, fold) of points of one model, fitted in shared passes."""
+    specs, wanted = {}, {}
+    for name, (entry, params) in points.items():
+        params = {**recipe.params, **params}
+        wanted[name] = params.pop("k", recipe.select_k)
+        specs[name] = entry.together(params)
+    own = ("fold", "rid", "label", "weight", "x")
+    training = folded.rows.where(~F.col("held") & F.col("fold").isin(list(folds))).select(*own)
+    columns = lambda fold, name: folded.columns(fold, wanted[name])
+    k = len(recipe.classes)
+    if isinstance(next(iter(specs.values())), together.Trees):
+        predict = together.predictor_of_trees(training, specs, columns, folds, k, recipe.seed)
+    else:
+        predict = together.predictor_of_nets(training, specs, columns, folds, k, recipe.seed, folded.spread)
+    scored = folded.rows.where(F.col("held") | (F.col("fold") == folded.whole)).where(F.col("fold").isin(list(folds)))
+    counts = together.confusions(scored.select(*own), predict, list(points), k)
+    return {at: together.f1(c, recipe.score_name == "f1") for at, c in counts.items()}
+
+
+def _alone(recipe: Recipe, folded: Folded, entry: Entry, params: dict, fold: int) -> float:
+    """Score of one point on one fold by a fit of its own."""
+    train = folded.part(recipe, fold, False)
+    test = train if fold == folded.whole else folded.part(recipe, fold, True)
+    model = fit_on(recipe, entry, Prepared(None, train, test, folded.n_rows[fold], folded.width), params)
+    try:
+        return _measure(recipe, score(model, test, [recipe.id_col, recipe.label_col]))
+    finally:
+        for path in {getattr(s, "donor_path", None) for s in model.stages} - {None}:
+            remove(train.sparkSession, path)
+
+
+def _cv_scores(recipe: Recipe, folded: Folded, points: dict, on_train: bool) -> tuple[dict, dict, dict]:
+    """Fold scores of every named (entry, params) point, its score on all training rows, and the first error of a point."""
+    folds = [*range(folded.n_folds), *([folded.whole] if on_train else [])]
+    groups: dict[int, dict] = {}
+    for name, point in points.items():
+        groups.setdefault(id(point[0]), {})[name] = point
+    found: dict[tuple, float] = {}
+    errors: dict = {}
+
+    def fail(names, exc):
+        for name in names:
+            errors.setdefault(name, f"{type(exc).__name__}: {exc}")
+
+    def shared(group):
+        try:
+            found.update(_together(recipe, folded, group, folds))
+        except Exception as exc:  # noqa: BLE001 - a failing model is reported, the others go on
+            fail(group, exc)
+
+    def single(at):
+        name, (entry, params), fold = at
+        if name not in errors:
+            try:
+                found[name, fold] = _alone(recipe, folded, entry, params, fold)
+            except Exception as exc:  # noqa: BLE001
+                fail([name], exc)
+
+    in_passes = [g for g in groups.values() if next(iter(g.values()))[0].together is not None]
+    rest = [(n, p, f) for g in groups.values() if g not in in_passes for n, p in g.items() for f in folds]
+    # Passes wait for the slowest task, so the models' passes overlap; fits one by one fill the gaps.
+    with ThreadPoolExecutor(max_workers=max(1, len(in_passes))) as pool:
+        waiting = [pool.submit(shared, g) for g in in_passes]
+        _each(rest, single)
+        for w in waiting:
+            w.result()
+    scores = {n: [found[n, f] for f in range(folded.n_folds)] for n in points if n not in errors}
+    return scores, {n: found[n, folded.whole] for n in scores if on_train}, errors
 
 
 LEADERBOARD_SCHEMA = (
@@ -220,22 +382,15 @@ def screen_models(
     keeps its error text and comes last.
     """
     points = {name: (entry, {}) for name, entry in models.items()}
-    scores, errors = _cv_scores(recipe, train, points, folds, repeats)
+    with _folds_for(recipe, train, folds, repeats) as folded:
+        scores, on_train, errors = _cv_scores(recipe, folded, points, True)
     rows = []
-    with prepared(recipe, train, temporary=True) as whole:
-
-        def on_train(name):
-            if name in errors:
-                return name, None
-            fitted = fit_on(recipe, models[name], whole)
-            return name, _measure(recipe, score(fitted, whole.train, _keep(recipe, whole.train)))
-
-        for name, train_f1 in _each(models, on_train):
-            if train_f1 is None:
-                rows.append((name, None, None, None, None, errors[name]))
-            else:
-                mean = fmean(scores[name])
-                rows.append((name, mean, pstdev(scores[name]), train_f1, train_f1 - mean, None))
+    for name in models:
+        if name in errors:
+            rows.append((name, None, None, None, None, errors[name]))
+        else:
+            mean = fmean(scores[name])
+            rows.append((name, mean, pstdev(scores[name]), on_train[name], on_train[name] - mean, None))
     board = train.sparkSession.createDataFrame(rows, LEADERBOARD_SCHEMA)
     return board.orderBy(F.col("cv_f1_mean").desc_nulls_last(), "name")
 
@@ -251,7 +406,8 @@ def grid_scores(
     """Parameter points of a model and their mean fold scores, in grid order."""
     grid = entry.points(select)
     points = {i: (entry, params) for i, params in enumerate(grid)}
-    scores, errors = _cv_scores(recipe, train, points, folds, repeats)
+    with _folds_for(recipe, train, folds, repeats) as folded:
+        scores, _, errors = _cv_scores(recipe, folded, points, False)
     if errors:
         raise RuntimeError(f"grid points failed: {errors}")
     return grid, [fmean(scores[i]) for i in points]

@@ -222,20 +222,33 @@ class FScoreSelector(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         n = np.array([r["s"]["count"] for r in rows], dtype=float)[:, None]
         mean = np.array([r["s"]["mean"].toArray() for r in rows])
         var = np.array([r["s"]["variance"].toArray() for r in rows])
-        grand = (n * mean).sum(axis=0) / n.sum()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            between = (n * (mean - grand) ** 2).sum(axis=0) / (len(rows) - 1)
-            return between / (((n - 1) * var).sum(axis=0) / (n.sum() - len(rows)))
+        return f_scores(n, mean, var)
 
     def _fit(self, dataset: DataFrame) -> VectorSlicer:
         f = self.scores(dataset)
-        k = self.getOrDefault("k") or len(f)
-        order = np.argsort(-np.where(np.isnan(f), -np.inf, f), kind="stable")[:k]
+        order = _by_score(f)[: self.getOrDefault("k") or len(f)]
         return VectorSlicer(
-            inputCol=self.getOrDefault("inputCol"), outputCol=self.getOrDefault("outputCol"), indices=sorted(map(int, order))
+            inputCol=self.getOrDefault("inputCol"), outputCol=self.getOrDefault("outputCol"), indices=sorted(order)
         )
 
 
+def f_scores(n: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """One-way F of every column from counts (class, 1), means and variances (class, column)."""
+    grand = (n * mean).sum(axis=0) / n.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = (n * (mean - grand) ** 2).sum(axis=0) / (len(n) - 1)
+        return between / (((n - 1) * var).sum(axis=0) / (n.sum() - len(n)))
+
+
+def _by_score(f: np.ndarray) -> list[int]:
+    return [int(j) for j in np.argsort(-np.where(np.isnan(f), -np.inf, f), kind="stable")]
+
+
+def best_columns(n: np.ndarray, mean: np.ndarray, var: np.ndarray) -> list[int]:
+    """Columns by falling F; ties go to the first column, a column whose F is undefined comes last."""
+    return _by_score(f_scores(n, mean, var))
+
+
 def select_stage(k: int | str, n_features: int, label_col: str = "label") -> FScoreSelector:
     """Keep the k features with the best ANOVA F score; ``"all"`` keeps every one, in column order."""
     return FScoreSelector(0 if k == "all" else min(int(k), n_features), labelCol=label_col)

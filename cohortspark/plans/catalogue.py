@@ -1153,11 +1153,12 @@ def leaderboard_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("grid_search")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published grid of every binary model that has one, with the published folds and repeats."""
-    rows = []
-    for name, entry in zoo.binary_models().items():
-        if entry.grid:
-            grid, means = selection.grid_scores(_text_recipe(), samples(spark, sf_dir), entry, select=zoo.SELECT_GRID)
-            rows += [(name, {k: str(v) for k, v in p.items()}, m) for p, m in zip(grid, means)]
+    rows, recipe, table = [], _text_recipe(), samples(spark, sf_dir)
+    with selection.shared_folds():
+        for name, entry in zoo.binary_models().items():
+            if entry.grid:
+                grid, means = selection.grid_scores(recipe, table, entry, select=zoo.SELECT_GRID)
+                rows += [(name, {k: str(v) for k, v in p.items()}, m) for p, m in zip(grid, means)]
     return spark.createDataFrame(rows, "name string, params map<string,string>, mean_score double")
 
 
