@@ -12,6 +12,7 @@ Driver and broadcasts hold the trees, never rows. A task works on pieces of rows
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from copy import copy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS = 255
+BINS, BOOST_BINS = 255, 63  # cuts of a column at most; boosting adds up every column of every node
 CELLS = 1 << 20  # (tree, row) pairs a task handles at a time
-DIRECT_TASKS = 32
+DIRECT_TASKS, DIRECT_CELLS = 32, 4_000_000
 BLOCK = 64  # trees whose splits are found together
 ROW_SCHEMA = "fold int, rid long, label int, weight double, x array<double>"
 
@@ -148,9 +149,21 @@ class Gang:
 
     @property
     def width(self) -> int:
-        """Numbers a row adds to its cell, the last one its count."""
+        """Numbers of a node, the last one its count."""
         return 3 if self.kind == "boost" else self.classes + 1
 
+    @property
+    def sent(self) -> int:
+        """Numbers a row adds to its cell; elsewhere than in boosting a cell has a class, of which two are enough."""
+        return 3 if self.kind == "boost" else 2
+
+    def for_growth(self) -> Gang:
+        """What tasks need to grow a level: all but the values of the trees in hand."""
+        out = copy(self)
+        out.trees = copy(self.trees)
+        out.trees.value = self.trees.value[:, :, :0]
+        return out
+
     def fresh(self) -> None:
         self.trees = Trees.roots(len(self.member_of), self.width)
 
@@ -208,20 +221,15 @@ class Gang:
                 h = np.abs(g) * (1 - np.abs(g)) * self.classes / (self.classes - 1)
             used = uniform(m.seed, self.rounds, rid) < m.subsample
             return np.stack([g * used, h * used, np.repeat(used[None, :] * 1.0, len(g), axis=0)], axis=2)
-        out = np.zeros((self.each[k], n, self.classes + 1))
         if self.kind == "ada":
             w = np.exp(self.wrong(k, label, x))
-            times = np.ones((1, n))
         else:
             w = weight if m.weighted else np.ones(n)
-            if m.bootstrap:
-                u = uniform(m.seed, np.arange(m.trees)[:, None], rid[None, :])
-                times = np.searchsorted(_POISSON, u, side="right").astype(float)
-            else:
-                times = np.ones((m.trees, n))
-        out[:, np.arange(n), label] = times * w
-        out[:, :, -1] = times
-        return out
+        times = np.ones((self.each[k], n))
+        if m.bootstrap:
+            u = uniform(m.seed, np.arange(m.trees)[:, None], rid[None, :])
+            times = np.searchsorted(_POISSON, u, side="right").astype(float)
+        return np.stack([times * w, times], axis=2)
 
     def wrong(self, k: int, label: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Logarithm of a row's boosting weight."""
@@ -285,7 +293,7 @@ def _piece(gang, front, level, ranges, k, rid, label, weight, x, bins) -> Iterat
         return
     node, sums = where[t, r], stats[t, r]
     columns = front.columns[node]
-    values = x[r[:, None], columns]
+    values = x[r[:, None], columns] if bins is None else None
     slots = columns.shape[1]
     cell = node[:, None] * slots + np.arange(slots)
     if ranges:
@@ -295,10 +303,23 @@ def _piece(gang, front, level, ranges, k, rid, label, weight, x, bins) -> Iterat
         numbers = np.stack([np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)], axis=1)
     else:
         b = (values > front.cuts[node]) if bins is None else bins[r[:, None], columns]
-        keys, which = np.unique((cell * (BINS + 1) + b).ravel(), return_inverse=True)
-        many = np.repeat(sums, slots, axis=0)
-        numbers = np.stack([np.bincount(which, many[:, s], len(keys)) for s in range(many.shape[1])], axis=1)
-    owner = front.tree[keys // (slots if ranges else slots * (BINS + 1))] // BLOCK
+        key = cell * (BINS + 1) + b
+        if gang.kind != "boost":
+            key = key * gang.classes + label[r][:, None]
+        key = key.ravel()
+        low, span = key.min(), np.ptp(key) + 1
+        if span <= 4 * len(key):
+            many = np.repeat(sums, slots, axis=0)
+            numbers = np.stack([np.bincount(key - low, many[:, s], span) for s in range(many.shape[1])], axis=1)
+            filled = np.flatnonzero(numbers[:, -1])
+            keys, numbers = filled + low, numbers[filled]
+        else:
+            order = np.argsort(key)
+            key = key[order]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            keys, numbers = key[starts], np.add.reduceat(sums[order // slots], starts, axis=0)
+    per_node = slots if ranges else slots * (BINS + 1) * (1 if gang.kind == "boost" else gang.classes)
+    owner = front.tree[keys // per_node] // BLOCK
     cuts = np.flatnonzero(np.diff(owner)) + 1 if len(owner) else []
     begins = [0, *cuts]
     yield pa.RecordBatch.from_arrays(
@@ -360,9 +381,23 @@ def best_splits(keys: np.ndarray, numbers: np.ndarray, slots: int, boost: bool,
     return node[top], column[top] % slots, keys[top] % (BINS + 1), left[top], right[top]
 
 
-def _splitter(slots: int, boost: bool, width: int, node_leaf: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+def by_class(keys: np.ndarray, numbers: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells with a weight per class and their count, from (cell, class) keys with weight and count."""
+    cells, which = np.unique(keys // classes, return_inverse=True)
+    out = np.zeros((len(cells), classes + 1))
+    np.add.at(out, (which, keys % classes), numbers[:, 0])
+    out[:, -1] = np.bincount(which, numbers[:, 1], len(cells))
+    return cells, out
+
+
+def _splitter(slots: int, classes: int, node_leaf: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """``classes`` is 0 for boosting."""
+    boost = classes == 0
+
     def run(table: pa.Table) -> pa.Table:
-        keys, numbers = _parts(table, width)
+        keys, numbers = _parts(table, 3 if boost else 2)
+        if not boost:
+            keys, numbers = by_class(keys, numbers, classes)
         node, slot, b, left, right = best_splits(keys, numbers, slots, boost, node_leaf)
         sides = np.concatenate([left, right], axis=1)
         return pa.table({"node": node, "slot": slot, "bin": b, "sides": pa.array(list(sides), type=pa.list_(pa.float64()))})
@@ -379,17 +414,18 @@ def _level(rows: DataFrame, gang: Gang, level: int) -> bool:
     sc = rows.sparkSession.sparkContext
     if gang.kind == "extra":
         _draw_cuts(rows, gang, front, level)
-    shared = sc.broadcast((gang, front))
+    shared = sc.broadcast((gang.for_growth(), front))
 
     def cells(data):
         yield from _cells(*shared.value, level, False)(data)
 
     # Boosted trees have few nodes at a time: a few tasks' sums of them are added up here, more of them in a shuffle.
     direct = gang.kind in ("boost", "ada") and gang.tasks <= DIRECT_TASKS
+    direct = direct and len(front.tree) * front.columns.shape[1] * BOOST_BINS * gang.tasks <= DIRECT_CELLS
     node_leaf = np.array([members[k].leaf for k in gang.member_of])[front.tree]
     sums = rows.mapInArrow(cells, "block long, keys binary, numbers binary")
     slots = front.columns.shape[1]
-    split = _splitter(slots, gang.kind == "boost", gang.width, node_leaf)
+    split = _splitter(slots, 0 if gang.kind == "boost" else gang.classes, node_leaf)
     if direct:
         partial = sums.toArrow()
         out = split(partial) if partial.num_rows else partial
@@ -457,14 +493,14 @@ def _frontier(gang: Gang, level: int) -> Frontier | None:
             chosen = np.repeat(names[None, :], int(mine.sum()), axis=0)
         # Members with fewer candidates repeat their last one, which can win nothing.
         columns[mine] = np.concatenate([chosen, np.repeat(chosen[:, -1:], slots - chosen.shape[1], axis=1)], axis=1)
-    place = np.full(trees.feature.shape, -1, dtype=np.int64)
+    place = np.full(trees.feature.shape, -1, dtype=np.int32)
     place[tree, node] = np.arange(len(tree))
     return Frontier(tree, node, columns, place)
 
 
 def _draw_cuts(rows: DataFrame, gang: Gang, front: Frontier, level: int) -> None:
     """Cuts drawn evenly between the smallest and the largest value that a candidate column has in the node."""
-    shared = rows.sparkSession.sparkContext.broadcast((gang, front))
+    shared = rows.sparkSession.sparkContext.broadcast((gang.for_growth(), front))
 
     def cells(data):
         yield from _cells(*shared.value, level, True)(data)
@@ -484,9 +520,9 @@ def _draw_cuts(rows: DataFrame, gang: Gang, front: Frontier, level: int) -> None
     front.cuts = np.where(cut < high, cut, low)  # rounding must not send every row left
 
 
-def bin_edges(rows: DataFrame, width: int) -> dict[int, list[np.ndarray]]:
-    """Per fold the cuts of every column: middles between neighbouring quantiles, at most ``BINS`` of them."""
-    shares = [float(s) for s in np.linspace(0, 1, BINS + 1)]
+def bin_edges(rows: DataFrame, width: int, bins: int = BINS) -> dict[int, list[np.ndarray]]:
+    """Per fold the cuts of every column: middles between neighbouring quantiles, at most ``bins`` of them."""
+    shares = [float(s) for s in np.linspace(0, 1, bins + 1)]
     picked = [F.percentile_approx(F.col("x")[j], shares, 10_000).alias(f"q{j}") for j in range(width)]
     out = {}
     for r in rows.groupBy("fold").agg(*picked).collect():
@@ -506,7 +542,8 @@ def grow(rows: DataFrame, members: Sequence[Member], classes: int, edges: dict |
     """Grow members of one kind together. ``rows`` has the columns of ``ROW_SCHEMA`` and is best kept in memory."""
     width = max(c for m in members for c in m.columns) + 1
     needs = members[0].kind != "extra"
-    gang = Gang(members, classes, (edges or bin_edges(rows, width)) if needs else {}, class_shares(rows, classes))
+    bins = BINS if members[0].kind == "forest" else BOOST_BINS
+    gang = Gang(members, classes, (edges or bin_edges(rows, width, bins)) if needs else {}, class_shares(rows, classes))
     gang.tasks = rows.rdd.getNumPartitions()
     if gang.kind in ("forest", "extra"):
         level = 0

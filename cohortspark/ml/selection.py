@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from statistics import fmean, pstdev
+from threading import Lock
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -263,6 +264,7 @@ def _folded(recipe: Recipe, train: DataFrame, folds: int, repeats: int) -> Folde
 
 
 _SHARED: list[dict] = []
+_PREPARING = Lock()
 
 
 @contextmanager
@@ -282,8 +284,9 @@ def shared_folds():
 def _folds_for(recipe: Recipe, train: DataFrame, folds: int, repeats: int):
     if _SHARED:
         key = (id(train), repr(recipe), folds, repeats)
-        if key not in _SHARED[-1]:
-            _SHARED[-1][key] = _folded(recipe, train, folds, repeats)
+        with _PREPARING:
+            if key not in _SHARED[-1]:
+                _SHARED[-1][key] = _folded(recipe, train, folds, repeats)
         yield _SHARED[-1][key]
         return
     folded = _folded(recipe, train, folds, repeats)

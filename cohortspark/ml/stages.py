@@ -85,6 +85,8 @@ class KNNImputerModel(CompositeModel, _ImputerParams):
         gap = F.lit(False)
         for c in cols:
             gap = gap | F.col(c).isNull()
+        if dataset.where(gap).isEmpty():
+            return dataset.withColumns({c: F.col(c).cast("double") for c in cols})
         if self._index is None:
             self._index = NeighbourIndex(self.table, len(cols))
         # Only rows with a gap look for neighbours; the others pass without a shuffle.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
@@ -1153,12 +1154,16 @@ def leaderboard_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("grid_search")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published grid of every binary model that has one, with the published folds and repeats."""
-    rows, recipe, table = [], _text_recipe(), samples(spark, sf_dir)
-    with selection.shared_folds():
-        for name, entry in zoo.binary_models().items():
-            if entry.grid:
-                grid, means = selection.grid_scores(recipe, table, entry, select=zoo.SELECT_GRID)
-                rows += [(name, {k: str(v) for k, v in p.items()}, m) for p, m in zip(grid, means)]
+    recipe, table = _text_recipe(), samples(spark, sf_dir)
+    entries = {name: entry for name, entry in zoo.binary_models().items() if entry.grid}
+
+    def one(name):
+        grid, means = selection.grid_scores(recipe, table, entries[name], select=zoo.SELECT_GRID)
+        return [(name, {k: str(v) for k, v in p.items()}, m) for p, m in zip(grid, means)]
+
+    # The passes of different models overlap.
+    with selection.shared_folds(), ThreadPoolExecutor(max_workers=len(entries)) as pool:
+        rows = [row for part in pool.map(one, entries) for row in part]
     return spark.createDataFrame(rows, "name string, params map<string,string>, mean_score double")
 
 
