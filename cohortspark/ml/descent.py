@@ -245,7 +245,13 @@ class _Steps:
         """Judge the trial; True when the model is finished."""
         if not loss <= self.loss + 1e-4 * self.step * self.slope:
             self.step *= 0.3
-            return self.step < 1e-10
+            if self.step >= 1e-10:
+                return False
+            if not self.pairs:
+                return True
+            self.pairs = []  # the memory may span a kink: go on along the gradient
+            self.begin()
+            return False
         theta = self.trial()
         s, y = theta - self.theta, gradient - self.gradient
         if s @ y > 1e-12 * (y @ y):

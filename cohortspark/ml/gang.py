@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS, BOOST_BINS = 255, 63  # cuts of a column at most; boosting adds up every column of every node
@@ -133,6 +133,7 @@ class Gang:
     rounds: int = 0
     alphas: np.ndarray | None = None  # ada: (round, member)
     alive: np.ndarray | None = None
+    weighted: dict[int, np.ndarray] = field(default_factory=dict)
     tasks: int = 1
 
     def __post_init__(self) -> None:
@@ -256,6 +257,7 @@ class Frontier:
     tree: np.ndarray
     node: np.ndarray
     columns: np.ndarray  # (node, candidate)
+    drawn: np.ndarray  # the candidates' places among the columns of their model
     place: np.ndarray  # (tree, node) -> number in the frontier, -1 for none
     cuts: np.ndarray | None = None
 
@@ -374,7 +376,8 @@ def best_splits(keys: np.ndarray, numbers: np.ndarray, slots: int, boost: bool,
             squares = lambda s: (s[:, :-1] ** 2).sum(axis=1)
             gain = squares(left) / wl + squares(right) / wr - squares(total) / w
             gain = np.where(gain > 1e-12 * w, gain, -np.inf)
-    gain = np.where(fits & np.isfinite(gain) & (gain > 0), gain, -np.inf)
+    # Gains that differ by the order of summation alone are ties.
+    gain = np.where(fits & np.isfinite(gain) & (gain > 0), gain, -np.inf).astype(np.float32)
     order = np.lexsort((np.arange(len(gain)), -gain, node))
     top = order[np.append(True, node[order][1:] != node[order][:-1])]
     top = top[gain[top] > -np.inf]
@@ -480,7 +483,7 @@ def _frontier(gang: Gang, level: int) -> Frontier | None:
     own = gang.member_of[tree]
     counts = np.array([m.per_node or len(m.columns) for m in gang.members])
     slots = int(counts[own].max())
-    columns = np.zeros((len(tree), slots), dtype=np.int64)
+    columns, drawn = np.zeros((2, len(tree), slots), dtype=np.int64)
     for k in np.unique(own):
         m, mine = gang.members[k], own == k
         names = np.array(m.columns)
@@ -488,14 +491,14 @@ def _frontier(gang: Gang, level: int) -> Frontier | None:
             local = tree[mine] - gang.first[k]
             u = uniform(m.seed + 1, local[:, None], node[mine][:, None], np.arange(len(names))[None, :])
             picked = np.sort(np.argsort(u, axis=1, kind="stable")[:, : m.per_node], axis=1)
-            chosen = names[picked]
         else:
-            chosen = np.repeat(names[None, :], int(mine.sum()), axis=0)
+            picked = np.repeat(np.arange(len(names))[None, :], int(mine.sum()), axis=0)
         # Members with fewer candidates repeat their last one, which can win nothing.
-        columns[mine] = np.concatenate([chosen, np.repeat(chosen[:, -1:], slots - chosen.shape[1], axis=1)], axis=1)
+        picked = np.concatenate([picked, np.repeat(picked[:, -1:], slots - picked.shape[1], axis=1)], axis=1)
+        columns[mine], drawn[mine] = names[picked], picked
     place = np.full(trees.feature.shape, -1, dtype=np.int32)
     place[tree, node] = np.arange(len(tree))
-    return Frontier(tree, node, columns, place)
+    return Frontier(tree, node, columns, drawn, place)
 
 
 def _draw_cuts(rows: DataFrame, gang: Gang, front: Frontier, level: int) -> None:
@@ -515,7 +518,7 @@ def _draw_cuts(rows: DataFrame, gang: Gang, front: Frontier, level: int) -> None
     own = gang.member_of[front.tree]
     seeds = np.array([m.seed for m in gang.members])[own]
     local = front.tree - gang.first[own]
-    u = uniform((seeds + 2)[:, None], local[:, None], front.node[:, None], front.columns)
+    u = uniform((seeds + 2)[:, None], local[:, None], front.node[:, None], front.drawn)
     cut = low + u * (high - low)
     front.cuts = np.where(cut < high, cut, low)  # rounding must not send every row left
 
@@ -531,10 +534,10 @@ def bin_edges(rows: DataFrame, width: int, bins: int = BINS) -> dict[int, list[n
     return out
 
 
-def class_shares(rows: DataFrame, classes: int) -> dict[int, np.ndarray]:
+def class_shares(rows: DataFrame, classes: int, amount: Column | None = None) -> dict[int, np.ndarray]:
     out: dict[int, np.ndarray] = {}
-    for r in rows.groupBy("fold", "label").count().collect():
-        out.setdefault(r["fold"], np.zeros(classes))[r["label"]] = r["count"]
+    for r in rows.groupBy("fold", "label").agg((F.count("*") if amount is None else amount).alias("n")).collect():
+        out.setdefault(r["fold"], np.zeros(classes))[r["label"]] = r["n"]
     return {f: n / n.sum() for f, n in out.items()}
 
 
@@ -544,11 +547,17 @@ def grow(rows: DataFrame, members: Sequence[Member], classes: int, edges: dict |
     needs = members[0].kind != "extra"
     bins = BINS if members[0].kind == "forest" else BOOST_BINS
     gang = Gang(members, classes, (edges or bin_edges(rows, width, bins)) if needs else {}, class_shares(rows, classes))
+    gang.weighted = class_shares(rows, classes, F.sum("weight"))
     gang.tasks = rows.rdd.getNumPartitions()
     if gang.kind in ("forest", "extra"):
         level = 0
         while _level(rows, gang, level):
             level += 1
+        # A root without a split got no sums: it votes by the classes' shares.
+        for k, m in enumerate(members):
+            mine = np.arange(gang.first[k], gang.first[k + 1])
+            alone = mine[gang.trees.feature[mine, 0] < 0]
+            gang.trees.value[alone, 0, :-1] = gang.weighted[m.fold] if m.weighted else gang.priors[m.fold]
         return gang
     rounds = max(m.trees for m in members)
     gang.alive = np.ones(len(members), dtype=bool)
