@@ -1,15 +1,20 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Each source is a stream of its documents in a seeded hash order, measured in words and cut into blocks of equal words.
-A source's quota is a number of draws: whole passes over its blocks, then a last pass over its first blocks, whose end
-meets the target to the word. The quotas of all sources are split among the output shards by a binary tree: at every
-node the left half receives its exact number of draws, divided among the sources by a multivariate-hypergeometric
-draw. So every shard knows how many blocks of every source it gets; it takes them from one permutation of the blocks,
-hence no block is drawn twice in a pass. A document goes where the block in which it starts goes; at most one document
-of a source is cut, the one on which its last pass ends. Inside a shard rows follow a seeded hash.
+Each source is a stream of its documents in a seeded hash order, measured in words and cut into blocks of equal words; a
+document belongs to the block in which it starts. A permutation of its blocks gives every source a second order, and a
+source's quota is drawn along it: whole passes, then a last pass over the permuted blocks up to the target. Documents stay
+whole: the one on which the last pass ends is taken or left, whichever ends nearer to the target. The quotas, counted in
+blocks, are split among the output shards by a binary tree: at every node the left half receives its exact number of
+draws, divided among the sources by a multivariate-hypergeometric draw. So every shard owns ranges of draws of every
+source, no two shards draw the same block in a pass, and a document goes to the shard that owns its draw. Inside a shard
+rows follow a seeded hash.
 
 The tree works on counts of draws alone, one number per source and shard, on the driver. Positions in a stream are
-prefix sums, taken inside hash buckets whose number follows the source's rows and shifted by the buckets before.
+prefix sums, taken inside hash buckets whose number follows the source's rows and shifted by the buckets before. Blocks
+are at most ``BLOCKS`` and one more per source, so their order is a small window.
+
+The order of a row depends on its id and its text, so reruns agree with null and repeated ids too; only rows of one source
+that agree in both, hence in all that is measured here, may swap places.
 
 Defined results: null texts have no words; documents without words are never drawn (taken 0); a null source is a source
 of its own and comes last; sources without words have target 0; repeated rows are documents of their own; columns
@@ -19,13 +24,14 @@ besides the named ones pass through ``mix`` and are never read.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import gcd
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.llm.near_dup import stored
+
 WEIGHTS = (1, 2, 3)
 MOST = 3  # a source is used up to this many times
 SHARDS = 8
@@ -78,18 +84,7 @@ def split_draws(draws: np.ndarray, shards: int, seed: str) -> np.ndarray:
     return out
 
 
-def step_of(n: int, seed: str) -> tuple[int, int]:
-    """a, b of the permutation j -> (a j + b) mod n."""
-    if n < 2:
-        return 0, 0
-    rng = np.random.default_rng([n, *seed.encode()])
-    a = int(rng.integers(1, n))
-    while gcd(a, n) != 1:
-        a = a % n + 1
-    return a, int(rng.integers(0, n))
-
-
-def word_count(text: str) -> F.Column:
+def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
@@ -102,20 +97,17 @@ PLAN = T.StructType(
         T.StructField("_block", T.LongType()),
         T.StructField("_whole", T.LongType()),  # passes over the whole source
         T.StructField("_last", T.LongType()),  # words of the last pass
-        T.StructField("_last_first", T.LongType()),  # number of its first draw
-        T.StructField("_steps", T.ArrayType(T.LongType())),  # blocks, a, b of a whole pass, then of the last
+        T.StructField("_blocks", T.LongType()),  # draws of a whole pass
         T.StructField("_ends", T.ArrayType(T.LongType())),  # draws up to and with each shard
     ]
 )
 
 
-def plan_sources(
-    docs: DataFrame, text: str, source: str, weights: tuple[int, ...], most: int, shards: int, seed: str
-) -> DataFrame:
-    """One row per source. What reaches the driver is one row per source, whatever the number of documents."""
-    spark = docs.sparkSession
-    got = docs.groupBy(F.col(source).alias("s")).agg(F.sum(word_count(text)).alias("size"), F.count("*").alias("n")).collect()
-    sources = [Source(r["s"], int(r["size"]), int(r["n"])) for r in got]
+def plan_sources(slim: DataFrame, weights: tuple[int, ...], most: int, shards: int, seed: str) -> tuple[DataFrame, bool]:
+    """One row per source, and whether there are few. What reaches the driver is one row per source, not per document."""
+    spark = slim.sparkSession
+    got = slim.groupBy("_s").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()
+    sources = [Source(r["_s"], int(r["size"]), int(r["n"])) for r in got]
     sources.sort(key=lambda s: (s.name is None, s.name or ""))
     set_targets(sources, weights, most)
     block = max(1, sum(s.size for s in sources) // BLOCKS)
@@ -129,15 +121,30 @@ def plan_sources(
         digits = 0
         while s.rows > BUCKET_ROWS * 16**digits:
             digits += 1
-        steps = [blocks(s.size), *step_of(blocks(s.size), f"{seed}w{k}"), blocks(last[k]), *step_of(blocks(last[k]), f"{seed}l{k}")]
-        rows.append(
-            (s.name, s.size, s.target, digits, block, whole[k], last[k], whole[k] * blocks(s.size), steps, ends[:, k].tolist())
-        )
-    plan = spark.createDataFrame(rows, PLAN)
-    return F.broadcast(plan) if len(rows) <= BROADCAST_SOURCES else plan
+        rows.append((s.name, s.size, s.target, digits, block, whole[k], last[k], blocks(s.size), ends[:, k].tolist()))
+    return spark.createDataFrame(rows, PLAN), len(rows) <= BROADCAST_SOURCES
+
+
+def _keys(doc_id: str, text: str, source: str, seed: str) -> list[Column]:
+    given = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (doc_id, text)]
+    order = F.md5(F.concat_ws("|", F.lit(seed), *given).cast("binary"))
+    return [F.col(source).alias("_s"), word_count(text).alias("_size"), order.alias("_order")]
+
+
+def _before(name: str, parts: list[str], order: list[str]) -> Column:
+    """Sum of a column over the rows before."""
+    rows = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(name).over(rows), F.lit(0))
+
+
+def _starts(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """Adds ``_start``, the words before each row in its source's hash order, and ``_j``, the block it starts in."""
+    rows = rows.join(sums, rows["_s"].eqNullSafe(sums["_bs"]) & (rows["_bucket"] == sums["_bb"]))
+    rows = rows.withColumn("_start", F.col("_ahead") + _before("_size", ["_s", "_bucket"], ["_order", "_size"]))
+    return rows.withColumn("_j", F.floor(F.col("_start") / F.col("_block"))).drop("_bs", "_bb", "_ahead")
 
 
-def positions(
+def drawn(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -148,50 +155,47 @@ def positions(
     seed: str = SEED,
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """``carry`` columns (all by default) as ``_row``, ``_size``, the plan of the row's source, ``_start``: words before it."""
-    plan = plan_sources(docs, text, source, weights, most, shards, seed)
-    kept = docs.columns if carry is None else carry
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
-        F.col(source).alias("_s"),
-        word_count(text).alias("_size"),
-        F.md5(F.concat_ws("|", F.lit(seed), F.col(doc_id).cast("string")).cast("binary")).alias("_order"),
-    )
-    rows = rows.join(plan, rows["_s"].eqNullSafe(plan["_source"]))
-    rows = rows.withColumn("_bucket", F.substring(F.col("_order"), F.lit(1), F.col("_digits")))
-    before = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    slim = docs.select(
-        F.col(source).alias("_s"),
-        word_count(text).alias("_size"),
-        F.md5(F.concat_ws("|", F.lit(seed), F.col(doc_id).cast("string")).cast("binary")).alias("_order"),
+    """``carry`` columns (all by default) as ``_row``, ``_size``, the plan of its source, and ``_draws``: pass and draw number."""
+    slim = stored(docs.select(*_keys(doc_id, text, source, seed)), "mix")
+    plan, few = plan_sources(slim, weights, most, shards, seed)
+    bounded = F.broadcast if few else (lambda df: df)
+
+    def planned(rows: DataFrame) -> DataFrame:
+        rows = rows.join(bounded(plan), rows["_s"].eqNullSafe(plan["_source"]))
+        return rows.withColumn("_bucket", F.substring(F.col("_order"), F.lit(1), F.col("_digits")))
+
+    sums = planned(slim).groupBy("_s", "_bucket").agg(F.sum("_size").alias("_n"))
+    sums = sums.select(F.col("_s").alias("_bs"), F.col("_bucket").alias("_bb"), _before("_n", ["_s"], ["_bucket"]).alias("_ahead"))
+    sums = stored(sums, "mix-buckets")
+    # The permutation: blocks of a source in the order of a seeded hash of their numbers.
+    blocks = _starts(planned(slim), sums).where("_size > 0").groupBy("_s", "_j")
+    blocks = blocks.agg(F.min("_start").alias("_first"), F.sum("_size").alias("_n"))
+    turn = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce("_s", F.lit("")), F.col("_j")).cast("binary"))
+    blocks = blocks.withColumn("_turn", turn).select(
+        F.col("_s").alias("_ps"), F.col("_j").alias("_pj"), (_before("_n", ["_s"], ["_turn"]) - F.col("_first")).alias("_shift")
     )
-    slim = slim.join(plan.select("_source", "_digits"), slim["_s"].eqNullSafe(plan["_source"]))
-    sums = slim.groupBy("_s", F.substring(F.col("_order"), F.lit(1), F.col("_digits")).alias("_bucket")).agg(
-        F.sum("_size").alias("_n")
-    )
-    sums = sums.select(
-        F.col("_s").alias("_bs"), F.col("_bucket").alias("_bb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    rows = rows.join(sums, rows["_s"].eqNullSafe(sums["_bs"]) & (rows["_bucket"] == sums["_bb"]))
-    inside = Window.partitionBy("_s", "_bucket").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
-    return rows.withColumn("_start", start)
-
-
-def last_words() -> F.Column:
-    """Words of the row that the last pass takes."""
-    return F.least(F.greatest(F.col("_last") - F.col("_start"), F.lit(0)), F.col("_size"))
+    kept = docs.columns if carry is None else carry
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), *_keys(doc_id, text, source, seed))
+    rows = _starts(planned(rows), sums)
+    rows = rows.join(bounded(blocks), rows["_s"].eqNullSafe(blocks["_ps"]) & (rows["_j"] == blocks["_pj"]), "left")
+    # Documents of a block are neighbours in the hash order, so one shift moves them to the block's place.
+    place = F.col("_start") + F.col("_shift")
+    final = (F.col("_size") > 0) & (2 * (F.col("_last") - place) >= F.col("_size"))
+    passes = F.when(F.col("_size") > 0, F.col("_whole")).otherwise(0) + final.cast("int")
+    draw = lambda n: n * F.col("_blocks") + F.floor(place / F.col("_block"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda n: F.struct(n.alias("n"), draw(n).alias("draw")))
+    return rows.withColumn("_draws", F.slice(every, F.lit(1), F.coalesce(passes, F.lit(0)).cast("int")))
 
 
 def taken(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how: object) -> DataFrame:
-    """One row per document: its id, size, source_size, target and taken (words the mix takes, repeats counted)."""
-    rows = positions(docs, doc_id, text, source, carry=[doc_id], **how)
+    """One row per document: its id, size, source_size, target and taken (words of its draws, repeats counted)."""
+    rows = drawn(docs, doc_id, text, source, carry=[doc_id], **how)
     return rows.select(
         F.col("_row")[doc_id].alias(doc_id),
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
-        (F.col("_whole") * F.col("_size") + last_words()).alias("taken"),
+        (F.size("_draws") * F.col("_size")).alias("taken"),
     )
 
 
@@ -206,24 +210,7 @@ def mix(
     **how: object,
 ) -> DataFrame:
     """The mixed corpus: each drawn document, once per draw, with all its columns, its shard and its order there."""
-    rows = positions(docs, doc_id, text, source, seed=seed, **how)
-    step = lambda k: F.get("_steps", F.lit(k))
-    block = F.floor(F.col("_start") / F.col("_block"))
-    # Block number -> draw number: the pass's first draw plus the place the permutation gives the block.
-    place = lambda k: F.when(step(k) < 2, F.lit(0)).otherwise(F.pmod(step(k + 1) * block + step(k + 2), step(k)))
-    passes = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.col("_whole"), F.lit(1)) - 1),
-        lambda p: F.struct(p.cast("long").alias("n"), (p * step(0) + place(0)).cast("long").alias("draw"), F.col("_size").alias("words")),
-    )
-    passes = F.when(F.col("_whole") > 0, passes).otherwise(F.slice(passes, 1, 0))
-    final = F.array(
-        F.struct(F.col("_whole").alias("n"), (F.col("_last_first") + place(3)).cast("long").alias("draw"), last_words().alias("words"))
-    )
-    draws = F.filter(F.concat(passes, final), lambda d: d["words"] > 0)
-    rows = rows.withColumn("_draw", F.explode(draws))
-    short = F.col("_draw.words") < F.col("_size")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("_row")[text], F.lit(WORD), F.lit(0)), F.lit(1), F.col("_draw.words").cast("int")), " ")
-    columns = [F.when(short, cut).otherwise(F.col("_row")[c]).alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
+    rows = drawn(docs, doc_id, text, source, seed=seed, **how).withColumn("_draw", F.explode("_draws"))
     at = F.size(F.filter("_ends", lambda e: e <= F.col("_draw.draw")))
     mixed = F.md5(F.concat_ws("|", F.lit(seed), F.col("_draw.n"), F.col("_order")).cast("binary"))
-    return rows.select(*columns, at.cast("int").alias(shard), mixed.alias(order))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns], at.cast("int").alias(shard), mixed.alias(order))

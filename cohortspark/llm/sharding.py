@@ -54,8 +54,9 @@ def _group(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _spread(doc_id: str, salt: str) -> Column:
-    return F.xxhash64(F.lit(salt), F.col(doc_id))
+def _spread(doc_id: str, salt: str, group: Column) -> Column:
+    """A hash of id and text, so that rows without an id are spread as well."""
+    return F.xxhash64(F.lit(salt), F.col(doc_id), group)
 
 
 def _sums() -> list[Column]:
@@ -93,7 +94,7 @@ def assign(docs: DataFrame, doc_id: str, text: str, shards: int) -> tuple[DataFr
 def with_items(rows: DataFrame, heavy: DataFrame, doc_id: str, group: str, cells: int) -> DataFrame:
     """Adds the item and the piece of every row. ``heavy`` has at most three times ``SPLIT`` groups a shard."""
     rows = rows.join(F.broadcast(heavy), F.col(group) == F.col("_hot"), "left")
-    piece = F.coalesce(F.pmod(_spread(doc_id, "piece"), F.col("_pieces")), F.lit(0)).cast("int")
+    piece = F.coalesce(F.pmod(_spread(doc_id, "piece", F.col(group)), F.col("_pieces")), F.lit(0)).cast("int")
     item = F.coalesce("_item", F.pmod(group, F.lit(cells))).cast("int")
     return rows.withColumn("_item_of", item).withColumn("_piece", piece).drop("_hot", "_item", "_pieces")
 
@@ -115,8 +116,8 @@ def shard_documents(
     keys = [
         F.col(doc_id).alias("_id"),
         _group(text).alias("_group"),
-        F.pmod(_spread(doc_id, "slot"), F.lit(buckets)).cast("int").alias("_bucket"),
-        _spread(doc_id, "order").alias("_order"),
+        F.pmod(_spread(doc_id, "slot", _group(text)), F.lit(buckets)).cast("int").alias("_bucket"),
+        _spread(doc_id, "order", _group(text)).alias("_order"),
     ]
 
     def placed(columns: list[Column]) -> DataFrame:

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm import words as W
@@ -38,6 +38,7 @@ BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 MODELS = 3
 POSITIVES, UNLABELLED = 2000, 6000  # expected, for each model
+SPARE = 2  # times that at most, where ids or rows repeat
 SAMPLE_CHARS = 4000
 EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.15, 2e-5
 DEVIATIONS = 4.0  # a feature is used if its rates in toxic and unlabelled samples differ by so many
@@ -176,41 +177,52 @@ def fit(
     if n_toxic == 0:
         return Model(np.zeros((0, 1 << BITS), dtype=np.float32), np.zeros(0), share)
     share = min(max(share, 1e-3), 0.5)
-    # Bounded samples by hash, one for each model. Unlabelled text is drawn from all training rows, toxic ones included.
+    sample = draw(docs, marks, n_toxic, trainable, doc_id, text)
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("positive", "ascending")])
+        flags = t["positive"].to_numpy().astype(bool)
+        if not flags.any() or flags.all():
+            return pa.table({"weights": pa.array([], pa.binary()), "bias": pa.array([], pa.float64())})
+        w, bias = train(t["text"].to_pylist(), flags, share, seed=7)
+        return pa.table({"weights": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
+
+    got = sample.groupBy("model").applyInArrow(one, "weights binary, bias double").toArrow()
+    got = got.sort_by([("bias", "ascending")])
+    weights = [np.frombuffer(w, dtype=np.float32) for w in got["weights"].to_pylist()]
+    return Model(np.array(weights, dtype=np.float32).reshape(-1, 1 << BITS), got["bias"].to_numpy().copy(), share)
+
+
+def draw(docs: DataFrame, marks: DataFrame, n_toxic: int, trainable: Column, doc_id: str, text: str) -> DataFrame:
+    """Bounded samples by hash, one for each model: model, positive, key, text.
+
+    Unlabelled text is drawn from all training rows, toxic ones included. Null or repeated ids do not change the bounds.
+    """
     rows = docs.where(trainable).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     n_docs = rows.count()
 
-    def drawn(salt: str, want: int, n: int) -> Column:
+    def drawn(salt: str, want: int, n: int, key: list[str]) -> Column:
         share_of = int((1 << 30) * min(1.0, want / max(n, 1)))
-        pick = lambda m: F.pmod(F.xxhash64(F.lit(salt), F.lit(m), "_id"), F.lit(1 << 30)) < share_of
+        pick = lambda m: F.pmod(F.xxhash64(F.lit(salt), F.lit(m), *key), F.lit(1 << 30)) < share_of
         models = F.array(*[F.when(pick(m), F.lit(m)) for m in range(MODELS)])
         return F.explode(F.filter(models, lambda m: m.isNotNull())).alias("model")
 
     # About MODELS * POSITIVES ids at most, whatever the number of labels: broadcast, so that texts are not shuffled.
-    chosen = marks.where("_toxic = 1").select("_id", drawn("toxic", POSITIVES, n_toxic))
+    chosen = marks.where("_toxic = 1").select("_id", drawn("toxic", POSITIVES, n_toxic, ["_id"]))
     positives = rows.join(F.broadcast(chosen), "_id")
-    others = rows.select("*", drawn("any", UNLABELLED, n_docs))
+    others = rows.select("*", drawn("any", UNLABELLED, n_docs, ["_id", "text"]))
     sample = positives.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
-    place = F.pmod(F.xxhash64("_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    # Ids may repeat, so rows are bounded as well; the bound is reached by repeated ids and repeated rows alone.
+    nth = F.row_number().over(Window.partitionBy("model").orderBy("key"))
+    place = F.pmod(F.xxhash64("_id", "text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     sample = sample.select(
         "model",
         "positive",
-        F.xxhash64("_id").alias("key"),
+        F.xxhash64("_id", "text").alias("key"),
         F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"),
     )
-
-    def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("key", "ascending"), ("positive", "ascending")])
-        flags = t["positive"].to_numpy().astype(bool)
-        if not flags.any() or flags.all():
-            return pa.table({"weights": pa.array([], pa.binary()), "bias": pa.array([], pa.float64())})
-        w, bias = train(t["text"].to_pylist(), flags, share, seed=7)
-        return pa.table({"weights": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
-
-    got = sample.groupBy("model").applyInArrow(one, "weights binary, bias double").toArrow()
-    got = got.sort_by([("bias", "ascending")])
-    weights = [np.frombuffer(w, dtype=np.float32) for w in got["weights"].to_pylist()]
-    return Model(np.array(weights, dtype=np.float32).reshape(-1, 1 << BITS), got["bias"].to_numpy().copy(), share)
+    first = lambda kind, most: sample.where(kind).withColumn("_nth", nth).where(F.col("_nth") <= most)
+    return first("positive", SPARE * POSITIVES).unionByName(first("NOT positive", SPARE * UNLABELLED)).drop("_nth")
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -47,45 +47,78 @@ def made():
     return rows
 
 
-@pytest.mark.parametrize("bucket_rows", [20_000, 10])
-def test_taken_words_meet_the_targets(spark, bucket_rows, monkeypatch):
+def md5(*parts):
+    return hashlib.md5("|".join(["mix", *map(str, parts)]).encode()).hexdigest()
+
+
+def plain_mix(rows, shards=8):
+    """(id, text, size, source's size, target, shards of its draws) of every (id, text, source), by loops over sorted lists."""
+    count = lambda t: len(UNSPACED.findall(t or ""))
+    by_source = {}
+    for k, t, s in rows:
+        order = md5("" if k is None else k, "" if t is None else t)
+        by_source.setdefault(s, []).append((order, count(t), k, t))
+    names = sorted(s for s in by_source if s is not None) + [None] * (None in by_source)
+    sizes = [sum(d[1] for d in by_source[s]) for s in names]
+    targets = plain_targets(sizes)
+    block = max(1, sum(sizes) // M.BLOCKS)
+    quotas = [int(t + Fraction(1, 2)) for t in targets]
+    passes = [divmod(q, n) if n else (0, 0) for q, n in zip(quotas, sizes, strict=True)]
+    counts = np.array([w * -(-n // block) + -(-x // block) for (w, x), n in zip(passes, sizes, strict=True)])
+    ends = np.cumsum(M.split_draws(counts, shards, "mix"), axis=0)
+    out = []
+    for k, s in enumerate(names):
+        start, blocks = 0, {}
+        for d in sorted(by_source[s], key=lambda d: d[:2]):
+            blocks.setdefault(start // block, []).append(d)
+            start += d[1]
+        at = 0
+        whole, last = passes[k]
+        for b in sorted(blocks, key=lambda b: md5(s or "", b)):
+            for _, n, doc, t in blocks[b]:
+                times = (whole + (abs(last - at - n) <= abs(last - at))) if n else 0
+                places = [p * -(-sizes[k] // block) + at // block for p in range(times)]
+                out.append((doc, t, n, sizes[k], float(targets[k]), [int((ends[:, k] <= x).sum()) for x in places]))
+                at += n
+    return out
+
+
+@pytest.mark.parametrize("bucket_rows,blocks", [(20_000, 1 << 15), (10, 1 << 15), (10, 40)])
+def test_taken_words_are_those_of_the_plain_version(spark, bucket_rows, blocks, monkeypatch):
     monkeypatch.setattr(M, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(M, "BLOCKS", blocks)
     rows = made()
     table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, size string, _start int")
     got = M.taken(table).collect()
-    count = lambda t: len(UNSPACED.findall(t or ""))
-    by_source = {}
-    for k, t, s in rows:
-        by_source.setdefault(s, []).append((hashlib.md5(f"mix|{k}".encode()).hexdigest(), count(t), k))
-    names = sorted((s for s in by_source if s is not None)) + [None]
-    sizes = [sum(n for _, n, _ in by_source[s]) for s in names]
-    want = []
-    for s, size, target in zip(names, sizes, plain_targets(sizes), strict=True):
-        quota = int(target + Fraction(1, 2))
-        before = 0
-        for _, n, k in sorted(by_source[s]):
-            whole, last = divmod(quota, size) if size else (0, 0)
-            want.append((k, n, size, float(target), whole * n + min(max(last - before, 0), n)))
-            before += n
-    assert sorted(map(tuple, got)) == sorted(want)
+    want = plain_mix(rows)
+    assert sorted(map(tuple, got)) == sorted((k, n, size, target, n * len(at)) for k, _, n, size, target, at in want)
     assert all(r["taken"] <= 3 * r["size"] for r in got)
+    largest, sums = {}, {}
+    for k, _, n, size, target, at in want:
+        largest[size, target] = max(largest.get((size, target), 0), n)
+        sums[size, target] = sums.get((size, target), 0) + n * len(at)
+    assert all(abs(sums[k] - k[1]) <= largest[k] / 2 + 1 for k in sums)  # half of the document at the end
 
 
-def test_mixed_rows_are_what_was_taken(spark):
+@pytest.mark.parametrize("blocks", [1 << 15, 40])
+def test_mixed_rows_are_whole_and_go_where_the_tree_says(spark, blocks, monkeypatch):
+    monkeypatch.setattr(M, "BLOCKS", blocks)
     table = spark.createDataFrame([(*r, 7) for r in made()], "doc_id long, text string, source string, _size int")
-    taken = {}
-    for r in M.taken(table).collect():
-        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"]
     rows = M.mix(table).collect()
-    got = {}
-    for r in rows:
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(UNSPACED.findall(r["text"]))
-    assert got == {k: n for k, n in taken.items() if n}
-    texts = {k: t for k, t, _ in made()}
-    assert sum(r["text"] != texts[r["doc_id"]] for r in rows) <= 7  # one document of a source is cut at most
-    words = np.bincount([r["mix_shard"] for r in rows], weights=[len(UNSPACED.findall(r["text"])) for r in rows], minlength=8)
-    # Draws are exact; a document goes as a whole where it starts, which leaves the spread of its size.
+    assert sorted((r["doc_id"], r["text"], r["mix_shard"]) for r in rows) == sorted((k, t, s) for k, t, *_, at in plain_mix(made()) for s in at)
+    # Draws are exact; a document goes as a whole where it starts, which leaves the spread of its size and one block.
     sizes = np.array([len(UNSPACED.findall(r["text"])) for r in rows])
-    assert np.abs(words - words.mean()).max() <= 4 * ((sizes**2).sum() / 8) ** 0.5
+    words = np.bincount([r["mix_shard"] for r in rows], weights=sizes, minlength=8)
+    assert np.abs(words - words.mean()).max() <= 4 * ((sizes**2).sum() / 8) ** 0.5 + sizes.sum() // blocks * 8
     assert sorted(map(str, rows)) == sorted(map(str, M.mix(table.repartition(5)).collect()))
     assert M.mix(table.limit(0)).count() == 0 and M.taken(table.limit(0)).count() == 0
+
+
+def test_reruns_agree_without_ids_and_with_repeated_ids(spark):
+    rows = [(None if k % 3 else k % 7, f"w{k} " * (1 + k % 5), "ab"[k % 2]) for k in range(500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(map(str, M.mix(table.repartition(n)).collect())) for n in (3, 7)]
+    assert runs[0] == runs[1]
+    assert sorted((str(k), n * len(at)) for k, _, n, *_, at in plain_mix(rows)) == sorted(
+        (str(r["doc_id"]), r["taken"]) for r in M.taken(table).collect()
+    )

@@ -52,6 +52,20 @@ def test_shards_balance_and_slots_have_no_gaps(spark, slot_rows, monkeypatch):
     assert sorted(map(str, S.shard_documents(table).collect())) == sorted(map(str, got))
 
 
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLOT_ROWS", 25)
+    rows = [(None if k % 3 == 0 else k, f"text {k}") for k in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.shard_documents(table).collect()
+    for s in range(8):
+        mine = [r for r in got if r["shard"] == s]
+        assert sorted(r["slot"] for r in mine) == list(range(len(mine)))
+        slots = sorted(r["slot"] for r in mine if r["doc_id"] is None)
+        assert slots[-1] - slots[0] > 0.8 * len(mine) and np.diff(slots).max() < 0.1 * len(mine)
+    again = S.shard_documents(table.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_columns_of_the_query(spark):
     assert zlib.crc32("é".encode()) == spark.range(1).select(F.crc32(F.lit("é").cast("binary"))).first()[0]
 

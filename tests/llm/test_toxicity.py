@@ -79,6 +79,18 @@ def test_scores_are_plain_sums(spark):
         assert abs(r["score"] - np.mean([1 / (1 + np.exp(-x)) for x in f])) < 1e-9
 
 
+def test_samples_are_bounded_with_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(T, "POSITIVES", 20)
+    monkeypatch.setattr(T, "UNLABELLED", 30)
+    rows = [(None if k % 3 == 0 else 5, f"word {k}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(5, 1), (6, 0)], "_id long, _toxic int")
+    sample = T.draw(docs, marks, 1, F.lit(True), "doc_id", "text").groupBy("model", "positive").count().collect()
+    assert len(sample) == 2 * T.MODELS
+    for r in sample:
+        assert r["count"] == 20 * T.SPARE if r["positive"] else 10 <= r["count"] <= 30 * T.SPARE
+
+
 def test_nothing_known_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
