@@ -27,7 +27,7 @@ from cohortspark.ml.stages import best_columns, feature_stages, kept_names, sele
 from cohortspark.ml.zoo import Entry, Setting
 from cohortspark.operators import curves, evaluate, splits
 from cohortspark.operators.prep import DEFAULT_RATIOS, Ratio, class_weights
-from cohortspark.session import fresh_path, remove
+from cohortspark.session import cut_lineage, fresh_path, remove
 
 # Fixed value: features kept when the count is not searched.
 SELECT_K = 10
@@ -443,15 +443,26 @@ def out_of_fold(
     params: dict | None = None,
     folds: int = splits.FOLDS,
 ) -> DataFrame:
-    """Score of every row by a model that has not seen it."""
+    """Score of every row by a model that has not seen it. Scores are written once, while the folds are still cached."""
+
     def one(part):
         inside, outside = part
         with prepared(recipe, inside) as fold:
             model = whole_model(fold, fit_on(recipe, entry, fold, params))
-        return score(model, outside, _keep(recipe, outside))
+        return model, outside
 
     with _fold_tables(recipe, train, folds, 1) as parts:
-        return reduce(DataFrame.unionByName, _each(parts, one))
+        return _scores(recipe, _each(parts, one))
+
+
+def _scores(recipe: Recipe, models: Sequence[tuple[PipelineModel, DataFrame]]) -> DataFrame:
+    """Scores of each model on its rows, written once; the donor rows that the models hold are deleted."""
+    scored = reduce(DataFrame.unionByName, [score(m, rows, _keep(recipe, rows)) for m, rows in models])
+    try:
+        return cut_lineage(scored)
+    finally:
+        for path in {getattr(s, "donor_path", None) for m, _ in models for s in m.stages} - {None}:
+            remove(scored.sparkSession, path)
 
 
 def leave_one_study_out(
@@ -468,14 +479,12 @@ def leave_one_study_out(
     def one(study):
         with prepared(recipe, df.where(F.col("study") != study)) as fold:
             model = whole_model(fold, fit_on(recipe, entry, fold, params))
-        held = df.where(F.col("study") == study)
-        return score(model, held, _keep(recipe, held))
+        return model, df.where(F.col("study") == study)
 
     parts = _each(studies, one)
     if not parts:
         return df.sparkSession.createDataFrame([], "study string, n_test bigint, auc double, balanced_accuracy double")
-    scored = reduce(DataFrame.unionByName, parts)
-    return study_report(scored, recipe.classes, recipe.label_col)
+    return study_report(_scores(recipe, parts), recipe.classes, recipe.label_col)
 
 
 def study_report(scored: DataFrame, classes: Sequence[str], label_col: str = "label") -> DataFrame:

@@ -1451,3 +1451,19 @@ def arriving_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("event_type").alias("study"))
         .agg(F.count("*").alias("n"), F.count("value").alias("n_value"), (F.round(F.sum("value"), 2) + 0.0).alias("total"))
     )
+
+
+@register(
+    "arriving_missing_ids",
+    """SELECT event_type AS study, count(DISTINCT CASE WHEN event_id % 3 <> 1 THEN event_id END) + count(CASE WHEN event_id % 3 = 1 THEN 1 END) AS n,
+count(CASE WHEN event_id % 3 = 1 THEN 1 END) AS n_without_id FROM events GROUP BY event_type""",
+)
+def arriving_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows has no identifier; none of these is taken for a copy of another."""
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType())])
+    source, target, marks = (fresh_path(spark, x) for x in ("arriving", "ingested", "progress"))
+    known = F.when(F.pmod("event_id", F.lit(3)) != 1, F.col("event_id"))
+    table(spark, sf_dir, "events").select(known.alias("event_id"), "event_type").write.option("header", True).csv(source)
+    ingest_studies(spark, source, target, marks, schema, key="event_id", study="event_type", glob="*.csv")
+    rows = read_ingested(spark, target, schema).groupBy(F.col("event_type").alias("study"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("event_id").isNull()).alias("n_without_id"))

@@ -2,7 +2,7 @@
 
 A file source remembers the files it has read, so a rerun picks up the new ones only. Every micro-batch
 is written to its own partition with dynamic overwrite: a batch that is repeated after a failure
-replaces what it wrote before.
+replaces what it wrote before. A row without a key is no copy of another one: all of them are kept.
 
 CSV files are matched by column name. The stream only tells which files arrived; they are read again by layout, that is
 together with the other files of the batch that have the same header.
@@ -34,9 +34,10 @@ def _by_name(lines: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def _first_copy(df: DataFrame, key: str) -> DataFrame:
-    """One row per key, chosen by content; copies of one key are combined before the shuffle."""
+    """One row per key, chosen by content, and all rows without a key; copies of one key are combined before the shuffle."""
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*df.columns)
+    known = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("_r"))
+    return known.select(key, "_r.*").select(*df.columns).unionByName(df.where(F.col(key).isNull()))
 
 
 def ingest_studies(
@@ -63,10 +64,10 @@ def ingest_studies(
     def append(batch: DataFrame, batch_id: int) -> None:
         if by_name:
             batch = _by_name(batch, schema)
-        fresh = _first_copy(batch.where(F.col(key).isNotNull()), key)
+        fresh = _first_copy(batch, key)
         if _has_files(spark, table):
             # A repeated batch must not see its own earlier output.
-            known = spark.read.schema(stored).parquet(table).where(F.col("batch_id") != batch_id)
+            known = spark.read.schema(stored).parquet(table).where((F.col("batch_id") != batch_id) & F.col(key).isNotNull())
             fresh = fresh.join(known.select(key), key, "left_anti")
         (
             fresh.withColumn("batch_id", F.lit(batch_id).cast("long"))

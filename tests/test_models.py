@@ -159,6 +159,7 @@ def test_grid_covers_the_feature_counts():
 def test_out_of_fold_scores_every_row_once(spark, samples, recipe):
     oof = selection.out_of_fold(recipe, samples, zoo.binary_models()["GaussianNB"], folds=3)
     assert oof.count() == 120 and oof.select("sample_id").distinct().count() == 120
+    assert "InMemoryRelation" not in oof._jdf.queryExecution().toString()  # reads what was written, no fold again
 
 
 def test_fourier_features_approximate_the_kernel(spark):

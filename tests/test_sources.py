@@ -72,6 +72,23 @@ def test_arriving_files_are_matched_by_name(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("per_batch", [1, 10])
+def test_arriving_rows_without_an_id_are_all_kept(spark, tmp_path, per_batch):
+    source = tmp_path / "in"
+    source.mkdir()
+    head = "sample_id,study,diagnosis,sample_type,country,x,y\n"
+    args = (spark, str(source), str(tmp_path / "table"), str(tmp_path / "marks"), SCHEMA)
+    write(source / "a.csv", head + "a,s1,Case,stool,US,1,2\n,s1,Case,stool,US,3,4\n,s1,Case,stool,US,3,4\n")
+    write(source / "b.csv", head + ",s2,Case,stool,US,5,6\na,s1,Case,stool,US,1,2\n")
+    ingest_studies(*args, files_per_batch=per_batch)
+    write(source / "c.csv", head + ",s1,Case,stool,US,3,4\nd,,Case,stool,US,7,8\n")
+    ingest_studies(*args, files_per_batch=per_batch)
+    ingest_studies(*args, files_per_batch=per_batch)
+    out = read_ingested(spark, str(tmp_path / "table"), SCHEMA).select("sample_id", "study", "x").collect()
+    want = [("a", "s1", 1.0), ("d", None, 7.0), (None, "s2", 5.0)] + [(None, "s1", 3.0)] * 3
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
 def test_files_of_another_layout_in_one_path_are_an_error(spark, tmp_path):
     folder = tmp_path / "mixed"
     folder.mkdir()
