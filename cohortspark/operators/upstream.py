@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.operators.ranks import hash_position, percentiles
+from cohortspark.operators.draws import draw_from_counts
+from cohortspark.operators.ranks import percentiles
 from cohortspark.session import join_salted, sized
 
 
@@ -108,11 +109,6 @@ def shannon(
     return present.groupBy(sample).agg((h / F.ln(F.lit(float(base)))).alias("shannon"))
 
 
-# A sample is split over 16, 256, ... tasks' worth of reads once it is deeper than this.
-READS_PER_SLOT = 100_000
-PART_READS = 10_000
-
-
 def rarefy(
     counts: DataFrame,
     depth: int,
@@ -123,38 +119,9 @@ def rarefy(
 ) -> DataFrame:
     """Draw ``depth`` reads of every sample without replacement; shallower samples are left out.
 
-    Every read gets a seeded hash key and the first ``depth`` reads in key order are kept. The reads of
-    a deep sample are cut at the leading hash digits, so that it is spread over tasks.
+    Counts are split, never expanded: a taxon costs one row however many reads it has.
     """
-    totals = counts.groupBy(sample).agg(F.sum(reads).alias("_total")).where(F.col("_total") >= depth)
-    spread = F.ceil(F.log(16.0, F.col("_total") / F.lit(float(READS_PER_SLOT))))
-    digits = F.greatest(F.lit(0), spread.cast("int"))
-    deep = join_salted(counts, totals.select(sample, digits.alias("_digits")), [sample], taxon)
-    single = (
-        deep.where(F.col(reads) > 0)
-        .select(
-            sample,
-            taxon,
-            "_digits",
-            F.col(reads).cast("bigint").alias("_reads"),
-            # A cell is expanded a part at a time: no row holds an array as long as its reads.
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(reads) - 1) / PART_READS).cast("bigint"))).alias("_part"),
-        )
-        .select(
-            sample,
-            taxon,
-            "_digits",
-            F.explode(
-                F.sequence(F.col("_part") * PART_READS + 1, F.least((F.col("_part") + 1) * PART_READS, F.col("_reads")))
-            ).alias("_read"),
-        )
-    )
-    placed = hash_position(single, [sample], [sample, taxon, "_read"], seed, digits=F.col("_digits"))
-    return (
-        placed.where(F.col("position") <= depth)
-        .groupBy(sample, taxon)
-        .agg(F.count(F.lit(1)).alias(reads))
-    )
+    return draw_from_counts(counts, depth, seed, sample, taxon, reads)
 
 
 def rarefied_shannon(

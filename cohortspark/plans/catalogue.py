@@ -1283,21 +1283,35 @@ def shannon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DEPTH = 100
+# Each node of the tree over the leading key bits: its reads and taxa, then its draws from the root downwards.
 _RAREFY_SQL = f"""{COUNTS_SQL},
-single AS (SELECT sample_id, taxon, unnest(range(1, reads + 1)) AS i FROM counts),
-placed AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5(concat_ws('|', '42', sample_id, taxon, i)), taxon, i) AS p,
-  count(*) OVER (PARTITION BY sample_id) AS depth FROM single),
-rare AS (SELECT sample_id, taxon, count(*) AS reads FROM placed WHERE p <= {_DEPTH} AND depth >= {_DEPTH} GROUP BY 1, 2)"""
-
-
-@register("rarefy", f"WITH {_RAREFY_SQL} SELECT sample_id, taxon, reads FROM rare")
+keyed AS (SELECT sample_id, taxon, reads, list_aggregate(list_transform(string_split(md5(concat_ws('|', '42', sample_id, taxon))[:10], ''),
+  lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][
+    strpos('0123456789abcdef', c)]), 'string_agg', '') AS bits FROM counts),
+tree AS (SELECT sample_id, bits[:level] AS path, CAST(sum(reads) AS BIGINT) AS reads, count(*) AS taxa
+  FROM keyed, range(0, 41) AS l(level) GROUP BY 1, 2),
+pairs AS (SELECT t.sample_id, t.path, t.reads AS total, coalesce(a.reads, 0) AS part,
+  CAST('0x' || md5(concat_ws('|', '42', t.sample_id, t.path))[:12] AS BIGINT) / 281474976710656e0 AS u
+  FROM tree t LEFT JOIN tree a ON a.sample_id = t.sample_id AND a.path = t.path || '0' WHERE t.taxa > 1 AND length(t.path) < 40),
+walk AS (SELECT sample_id, '' AS path, CAST({_DEPTH} AS BIGINT) AS n FROM tree WHERE path = '' AND reads >= {_DEPTH}
+  UNION ALL SELECT sample_id, path || half, CASE WHEN half = '0' THEN x ELSE n - x END
+  FROM (SELECT sample_id, path, n, low + len(list_filter(range(1, len(p) + 1), lambda i: list_sum(p[:i]) <= u * list_sum(p))) AS x
+    FROM (SELECT sample_id, path, n, u, greatest(0, n - (total - part)) AS low,
+      list_transform(range(greatest(0, n - (total - part)), least(part, n) + 1), lambda k: exp(lgamma(part + 1) - lgamma(k + 1) - lgamma(part - k + 1)
+        + lgamma(total - part + 1) - lgamma(n - k + 1) - lgamma(total - part - n + k + 1) - lgamma(total + 1) + lgamma(n + 1) + lgamma(total - n + 1))) AS p
+      FROM walk JOIN pairs USING (sample_id, path) WHERE n > 0)), (VALUES ('0'), ('1')) AS h(half)),
+rare AS (SELECT sample_id, taxon, n AS reads FROM walk JOIN tree USING (sample_id, path) JOIN keyed USING (sample_id)
+  WHERE taxa = 1 AND n > 0 AND starts_with(bits, path))"""
+
+
+@register("rarefy", f"WITH RECURSIVE {_RAREFY_SQL} SELECT sample_id, taxon, reads FROM rare")
 def rarefy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upstream.rarefy(token_counts(spark, sf_dir), _DEPTH)
 
 
 @register(
     "rarefied_shannon",
-    f"""WITH {_RAREFY_SQL}, h AS (SELECT sample_id, -sum(p * log2(p)) AS shannon FROM (
+    f"""WITH RECURSIVE {_RAREFY_SQL}, h AS (SELECT sample_id, -sum(p * log2(p)) AS shannon FROM (
   SELECT sample_id, reads / sum(reads) OVER (PARTITION BY sample_id) AS p FROM rare) GROUP BY sample_id)
 SELECT s.sample_id, {rnd('shannon', 'shannon')} FROM (SELECT DISTINCT sample_id FROM counts) s LEFT JOIN h ON h.sample_id = s.sample_id""",
 )

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.operators import evaluate, expect, prep, upstream
+from cohortspark.operators import draws, evaluate, expect, prep, upstream
 from tests.conftest import rows
 
 WIDE = "sample_id string, study string, diagnosis string, x double, y double"
@@ -89,7 +89,8 @@ def test_rarefy_keeps_depth_and_drops_shallow_samples(spark):
 def test_deep_sample_is_split_without_changing_the_draw(spark, monkeypatch):
     counts = spark.createDataFrame([("a", "t1", 300), ("a", "t2", 200), ("b", "t1", 40)], "sample_id string, taxon string, reads bigint")
     plain = rows(upstream.rarefy(counts, 30))
-    monkeypatch.setattr(upstream, "READS_PER_SLOT", 20)
+    for name, value in (("CELLS_PER_TASK", 1), ("HOP_DIGITS", 1)):
+        monkeypatch.setattr(draws, name, value)
     assert rows(upstream.rarefy(counts, 30)) == plain
 
 
