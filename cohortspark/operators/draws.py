@@ -21,7 +21,6 @@ from cohortspark.session import join_salted
 CELLS_PER_TASK = 4096
 # Key digits of one such cut: at most 16 ** HOP_DIGITS parts, whose sums are split in one task.
 HOP_DIGITS = 3
-HOPS = 2
 KEY_BITS = 128
 # Terms below this share of the largest one cannot move a double-precision sum.
 NEGLIGIBLE = 1e-30
@@ -122,29 +121,26 @@ def draw_from_counts(counts: DataFrame, draws: int, seed: int, group: str, cell:
     spare = F.log(16.0**HOP_DIGITS, F.count(F.lit(1)) / F.lit(float(CELLS_PER_TASK)))
     totals = (
         cells.groupBy(group)
-        .agg(F.sum("_count").alias("_total"), F.least(F.lit(HOPS), F.greatest(F.lit(0), F.ceil(spare).cast("int"))).alias("_hops"))
+        .agg(F.sum("_count").alias("_total"), F.greatest(F.lit(0), F.ceil(spare).cast("int")).alias("_hops"))
         .where(F.col("_total") >= draws)
         .select(group, "_hops")
     )
+    # One number; hops are planned only where a group needs them.
+    most = totals.agg(F.max("_hops")).first()[0] or 0
     placed = join_salted(cells, totals, [group], cell)
     name = F.concat_ws("|", F.lit(seed), text(group))
     placed = placed.withColumn("_name", name).withColumn("_key", F.md5(F.concat_ws("|", "_name", text(cell))))
     cut: Column = F.col("_hops") * HOP_DIGITS
     placed = placed.withColumn("_prefix", F.substring("_key", F.lit(1), cut))
-    whole = placed.where("_hops = 0").withColumn("_n", F.lit(draws).cast("bigint"))
-
-    found = []
-    for hop in range(1, HOPS + 1):
-        parts = placed.where(F.col("_hops") >= hop).groupBy(group, "_name", "_hops", F.substring("_key", 1, hop * HOP_DIGITS).alias("_key"))
-        nodes = parts.agg(F.sum("_count").alias("_count")).withColumn("_prefix", F.substring("_key", 1, (hop - 1) * HOP_DIGITS))
-        if hop == 1:
-            nodes = nodes.withColumn("_n", F.lit(draws).cast("bigint"))
-        else:
-            nodes = _joined(nodes, found[-1], group)
-        found.append(_split_groups(nodes, [group, "_prefix"], [group, "_key", "_hops"]))
-    ends = [f.where(F.col("_hops") == hop) for hop, f in enumerate(found, 1)]
-    for f in ends[1:]:
-        ends[0] = ends[0].unionByName(f)
-    deep = _joined(placed.where("_hops > 0"), ends[0], group)
-    drawn = _split_groups(whole.unionByName(deep), [group, "_prefix"], [group, cell])
+    parts = placed.where("_hops = 0") if most else placed
+    parts = parts.withColumn("_n", F.lit(draws).cast("bigint"))
+    found = None
+    for hop in range(1, most + 1):
+        sums = placed.where(F.col("_hops") >= hop).groupBy(group, "_name", "_hops", F.substring("_key", 1, hop * HOP_DIGITS).alias("_key"))
+        nodes = sums.agg(F.sum("_count").alias("_count")).withColumn("_prefix", F.substring("_key", 1, (hop - 1) * HOP_DIGITS))
+        nodes = nodes.withColumn("_n", F.lit(draws).cast("bigint")) if hop == 1 else _joined(nodes, found, group)
+        found = _split_groups(nodes, [group, "_prefix"], [group, "_key", "_hops"])
+        ends = placed.where(F.col("_hops") == hop)
+        parts = parts.unionByName(_joined(ends, found.where(F.col("_hops") == hop).drop("_hops"), group))
+    drawn = _split_groups(parts, [group, "_prefix"], [group, cell])
     return drawn.withColumnRenamed("_drawn", count)
