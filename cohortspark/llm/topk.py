@@ -1,6 +1,6 @@
 """Exact top-k search: tiled matrix products, selection inside each tile, tree merging of the lists.
 
-Queries are dealt into blocks and candidates into shards of bounded size by a hash of their ids. Each (block, shard)
+Queries are dealt into blocks and candidates into shards of bounded size by a hash of id and vector. Each (block, shard)
 pair is one tile: a task multiplies the two integer matrices a few hundred queries at a time and keeps the k best
 candidates of every query. Only those short lists are shuffled, and they are merged in groups of ``FAN`` until one list
 per query is left. No vector is ever paired with another outside a matrix product, and every pair is scored.
@@ -9,8 +9,9 @@ Products are formed in float64 where they are exact (sums below 2^53) and in Pyt
 64 bits counts as the largest or smallest 64-bit number.
 
 Defined results: vectors that are null, empty, or hold null or (times the factor) non-finite components take no part. Vectors of different
-lengths are not comparable; each is ranked among those of its own length. Rows that repeat an id count once, with the
-smallest vector. A null id takes no part. Ties go to the smaller id. Other columns are never read.
+lengths are not comparable; each is ranked among those of its own length. Every row is a candidate of every query but of
+itself, so rows that repeat an id are candidates of each other and each has a list of its own; rows equal in id and vector are
+kept once with their number. A null id takes no part. Ties go to the smaller id. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ QUERY_BLOCK = 4096  # rows of a tile
 SHARD = 8192  # columns of a tile
 FAN = 16  # lists merged at once
 STRIP = 256  # queries multiplied at once
+COPIES = 1000  # lists of equal queries made at once
 
-PARTIAL = "query_id long, tile int, hits array<struct<score:long,vec_id:long>>"
+PARTIAL = "query_id long, query_key string, copies long, tile int, hits array<struct<score:long,vec_id:long>>"
 
 
 def quantised(column: pa.ChunkedArray, factor: float) -> np.ndarray:
@@ -36,16 +38,10 @@ def quantised(column: pa.ChunkedArray, factor: float) -> np.ndarray:
     return np.floor(factor * flat).reshape(len(column), -1)
 
 
-def _first_of_ids(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((*rows.T[::-1], ids))
-    ids, rows = ids[order], rows[order]
-    keep = np.ones(len(ids), dtype=bool)
-    keep[1:] = ids[1:] != ids[:-1]
-    return ids[keep], rows[keep]
-
-
-def best_of_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, list]]:
-    """For each query its k best candidates. ``ids`` ascending, so an earlier place wins a tie."""
+def best_of_tile(
+    query_ids: np.ndarray, query_keys: np.ndarray, queries: np.ndarray, ids: np.ndarray, keys: np.ndarray, rows: np.ndarray, k: int
+) -> Iterator[list]:
+    """For each query its k best candidates, one row with its id and key left out. ``ids`` ascending, so an earlier place wins a tie."""
     n = len(ids)
     bound = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(rows.shape[1], 1)
     exact = bound < 2**53
@@ -57,10 +53,11 @@ def best_of_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
         else:
             scores = np.array([[int(x) for x in r] for r in left], dtype=object) @ right
             scores = np.minimum(np.maximum(scores, -(2**63)), 2**63 - 1).astype(np.int64)
-        for row, q in enumerate(query_ids[a : a + STRIP]):
+        for row, (q, key) in enumerate(zip(query_ids[a : a + STRIP], query_keys[a : a + STRIP], strict=True)):
             mine = scores[row]
-            own = np.searchsorted(ids, q)
-            live = np.arange(n) if own == n or ids[own] != q else np.delete(np.arange(n), own)
+            same = slice(np.searchsorted(ids, q), np.searchsorted(ids, q, side="right"))
+            own = same.start + np.flatnonzero(keys[same] == key)[:1]
+            live = np.delete(np.arange(n), own)
             mine = mine[live]
             if len(mine) > k:
                 # Everything above the k-th score, then the first places that equal it.
@@ -71,17 +68,17 @@ def best_of_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
             else:
                 pick = np.arange(len(mine))
             pick = pick[np.lexsort((pick, -mine[pick]))]
-            yield int(q), [{"score": int(mine[p]), "vec_id": int(ids[live[p]])} for p in pick]
+            yield [{"score": int(mine[p]), "vec_id": int(ids[live[p]])} for p in pick]
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str, factor: float) -> DataFrame:
-    """id, vector, dim of the vectors that take part."""
+    """id, vector, dim, copies and key (a digest of the vector) of the different rows that take part."""
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * F.lit(factor)) < F.lit(float("inf"))))
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("vector"), F.size(v).alias("dim"))
-    return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.col("dim") > 0) & fine.alias("fine")).select(
-        "id", "vector", "dim"
-    )
+    rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.col("dim") > 0) & fine.alias("fine"))
+    rows = rows.groupBy("id", "vector", "dim").agg(F.count("*").alias("copies"))
+    return rows.withColumn("key", F.md5(F.concat_ws(",", F.col("vector").cast("array<string>"))))
 
 
 def merged(lists: DataFrame, k: int, tile: Column) -> DataFrame:
@@ -93,8 +90,8 @@ def merged(lists: DataFrame, k: int, tile: Column) -> DataFrame:
         .when(x["vec_id"] > y["vec_id"], 1)
         .otherwise(0)
     )
-    best = F.slice(F.array_sort(F.array_distinct(every), order), 1, k)
-    return lists.groupBy("query_id", tile.alias("tile")).agg(best.alias("hits"))
+    best = F.slice(F.array_sort(every, order), 1, k)
+    return lists.groupBy("query_id", "query_key", "copies", tile.alias("tile")).agg(best.alias("hits"))
 
 
 def top_k(
@@ -113,28 +110,36 @@ def top_k(
     count = rows.agg(F.count("*").alias("n"), F.sum(is_query.cast("int")).alias("q")).first()
     n_shards = -(-count["n"] // SHARD) or 1
     n_blocks = -(-(count["q"] or 0) // QUERY_BLOCK) or 1
-    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
+    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id", "key"), F.lit(n)).cast("int")
     # A query block meets every shard and a shard every block: each side is copied once for each block of the other.
     queries = rows.where(is_query).withColumn("block", deal("query", n_blocks))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     candidates = rows.select(
-        F.col("id").alias("c_id"), F.col("vector").alias("c_vector"), F.col("dim").alias("c_dim"), deal("shard", n_shards).alias("c_shard")
+        *[F.col(c).alias(f"c_{c}") for c in ("id", "key", "vector", "dim", "copies")], deal("shard", n_shards).alias("c_shard")
     )
     candidates = candidates.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def tile(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "tile": [], "hits": []}
+        out: list[list] = []
         if len(q) and len(c):
-            query_ids, left = _first_of_ids(q["id"].to_numpy(), quantised(q["vector"], factor))
-            ids, right = _first_of_ids(c["c_id"].to_numpy(), quantised(c["c_vector"], factor))
-            shard = c["c_shard"][0].as_py()
-            for query, hits in best_of_tile(query_ids, left, ids, right, k):
-                out["query_id"].append(query)
-                out["tile"].append(shard)
-                out["hits"].append(hits)
+            # More than k copies of a candidate, and one for the query itself, cannot change a list.
+            c = c.sort_by([("c_id", "ascending"), ("c_key", "ascending")])
+            copies = np.minimum(c["c_copies"].to_numpy(), k + 1)
+            ids, keys = (np.repeat(c[f"c_{x}"].to_numpy(zero_copy_only=False), copies) for x in ("id", "key"))
+            right = np.repeat(quantised(c["c_vector"], factor), copies, axis=0)
+            left = quantised(q["vector"], factor)
+            out = list(best_of_tile(q["id"].to_numpy(), q["key"].to_numpy(zero_copy_only=False), left, ids, keys, right, k))
+        rows_out = q if out else q.slice(0, 0)
+        shard = c["c_shard"][0].as_py() if len(c) else 0
         hit = pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())]))
         return pa.table(
-            {"query_id": pa.array(out["query_id"], pa.int64()), "tile": pa.array(out["tile"], pa.int32()), "hits": pa.array(out["hits"], hit)}
+            {
+                "query_id": rows_out["id"],
+                "query_key": rows_out["key"],
+                "copies": rows_out["copies"],
+                "tile": pa.array([shard] * len(out), pa.int32()),
+                "hits": pa.array(out, hit),
+            }
         )
 
     pairs = queries.groupBy("dim", "block", "shard").cogroup(candidates.groupBy("c_dim", "c_block", "c_shard"))
@@ -143,6 +148,11 @@ def top_k(
     while left > 1:
         lists = merged(lists, k, F.floor(F.col("tile") / FAN).cast("int"))
         left = -(-left // FAN)
+    # A list for every copy of the query, made a part at a time.
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+    lists = lists.select("query_id", "hits", "copies", part.alias("part"))
+    inside = F.sequence(F.col("part") * COPIES, F.least((F.col("part") + 1) * COPIES, "copies") - 1)
+    lists = lists.select("query_id", "hits", F.explode(inside).alias("copy"))
     return lists.select("query_id", F.posexplode("hits").alias("place", "hit")).select(
         "query_id",
         (F.col("place") + 1).cast("int").alias("rank"),
