@@ -27,9 +27,6 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# How many words of a template rare_words() gives, and how many of them the SQL of op6 wants to agree.
-RARE = 3
-SUPPORT = 2
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -132,12 +129,6 @@ def frequencies(docs: DataFrame, text: str, templates: tuple[Template, ...]) ->
     return {r["w"]: r["n"] for r in present.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-def rare_words(docs: DataFrame, text: str, templates: tuple[Template, ...], rare: int) -> list[list[str]]:
-    """For each template its words with the highest IDF over all documents; ties in the order of the words."""
-    frequency = frequencies(docs, text, templates)
-    return [sorted(set(t.words()), key=lambda w: (frequency.get(w, 0), w))[:rare] for t in templates]
-
-
 def scan(
     docs: DataFrame,
     doc_id: str = "doc_id",

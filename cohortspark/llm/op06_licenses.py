@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm.licenses import BASE, RARE, SUPPORT, TEMPLATES, scan, words_of
+from cohortspark.llm.licenses import BASE, TEMPLATES, scan, words_of
 from cohortspark.llm.registry import register, table, words_sql
 
 _TEMPLATE_ROWS = ", ".join(f"({t}, '{x.label}', {i}, '{w}')" for t, x in enumerate(TEMPLATES) for i, w in enumerate(x.words()))
@@ -21,13 +21,8 @@ _BASE_ROWS = ", ".join(f"({words_of(p)!r}, '{label}')" for p, label in BASE.item
 bp(p, label) AS (VALUES {_BASE_ROWS}),
 d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents),
 x AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, w[i] AS w FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
-df AS (SELECT w, count(DISTINCT doc_id) AS n FROM x WHERE w IN (SELECT w FROM tw) GROUP BY w),
-rare AS (SELECT t, w FROM (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), w) AS k
-  FROM (SELECT DISTINCT t, w FROM tw) AS v LEFT JOIN df USING (w)) WHERE k <= {RARE}),
-post AS (SELECT t, o, w FROM tw JOIN rare USING (t, w)),
-need AS (SELECT t, least({SUPPORT}, count(*)) AS need FROM post GROUP BY t),
-prop AS (SELECT doc_id, t, i - o AS s, count(*) AS n FROM x JOIN post USING (w) GROUP BY doc_id, t, s),
-agreed AS (SELECT doc_id, t, s FROM prop JOIN need USING (t) WHERE n >= need),
+post AS (SELECT t, o, w FROM kw QUALIFY row_number() OVER (PARTITION BY t ORDER BY o) = 1),
+agreed AS (SELECT doc_id, t, i - o AS s FROM x JOIN post USING (w)),
 keyed AS (SELECT a.doc_id, a.t, a.s FROM agreed AS a JOIN kw ON kw.t = a.t
   LEFT JOIN x ON x.doc_id = a.doc_id AND x.i = a.s + kw.o AND x.w = kw.w
   GROUP BY a.doc_id, a.t, a.s HAVING count(*) = count(x.i)),
