@@ -20,9 +20,9 @@ _ESCAPED = r"(<|\[)(\\*)(\|start\|>|\|text\|>|\|end\|>|\|im_start\|>|\|im_end\|>
   UNION ALL SELECT -7, 0, 'user', '{HOSTILE}' UNION ALL SELECT -7, 1, 'assistant', '{HOSTILE}'),
 e AS (SELECT *, length(regexp_replace(role, '{_ESCAPED}', '\1\\\2\3', 'g')) + length(regexp_replace(text, '{_ESCAPED}', '\1\\\2\3', 'g')) AS chars
   FROM c)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(chars + {MARKS}) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
 )
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

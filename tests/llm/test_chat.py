@@ -1,10 +1,12 @@
 import hashlib
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from __spark_entry__ import oracle_sql
 from cohortspark.llm import chat as C
-from cohortspark.llm.op01_chat import HOSTILE
+from cohortspark.llm.op01_chat import HOSTILE, op1_chat
 
 PARTS = st.lists(st.sampled_from([*C.CONTROL, "\\", "<", "[", "|end|>", "a", "\n", "é", "probe"]), max_size=8).map("".join)
 
@@ -91,3 +93,16 @@ def test_digests_of_awkward_rows(spark):
         assert (row["loss_chars"], row["loss_sha256"]) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
         assert row["formatted_chars"] == len(C.marked_turns([{"role": r, "text": t} for r, t in mine]))
     assert C.digests(C.format_turns(table.limit(0))).count() == 0
+
+
+def test_turns_without_a_number_come_first_in_sql_too(spark, tmp_path):
+    rows = [(1, 2, "assistant", "c"), (1, None, "user", "a"), (1, 1, "assistant", "b"), (2, None, "assistant", None), (2, 0, None, "<|end|>")]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    table.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = op1_chat(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn INTEGER, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    answer = con.execute(oracle_sql()["op1_chat"])
+    names = [d[0] for d in answer.description]
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(answer.fetchall())
