@@ -6,7 +6,7 @@
 3. In each bucket every member is compared with the smallest one only. The pairs are confirmed on the full sets and
    grouped; that joins what belongs together without all pairs of a bucket.
 4. Buckets whose members still lie in different groups are compared in full, tile against tile of signatures, except
-   within a group. Buckets beyond a bounded number of tiles are divided by a second band first, for all other bands.
+   within a group. In buckets of many tiles a large group fills tiles of its own, which are not compared with each other.
    Members with a partner whose signature agrees at least as an estimate of 0.75 less five deviations get their full
    sets, and a task confirms such pairs of its block itself. It returns links that join groups, never all pairs.
 5. Union-find in every task shortens the links, then labels spread along what is left until nothing changes.
@@ -34,7 +34,7 @@ from cohortspark.session import cut_lineage, fresh_path
 SHINGLE = 5
 SHARE = (75, 100)  # intersection over union
 TILE = 2048  # members of a bucket compared at once
-MAX_TILES = 4  # larger buckets are divided by a second band
+MAX_TILES = 4  # buckets of more tiles are dealt to them by group
 DEVIATIONS = 5
 LINKS_PER_TASK = 100_000
 
@@ -225,7 +225,7 @@ class Block:
         mine = self.right[self.right > p]
         mine = mine[self.label[mine] != self.label[p]]
         mine = mine[(self.prints[mine] == self.prints[p]).sum(axis=1) >= self.least]
-        if self.band >= 0 and len(mine):
+        if len(mine):
             used = S.BANDS * S.ROWS
             equal = (self.prints[mine, :used] == self.prints[p, :used]).reshape(len(mine), S.BANDS, S.ROWS).all(axis=2)
             mine = mine[equal.argmax(axis=1) == self.band]
@@ -235,15 +235,11 @@ class Block:
 def candidates(members: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The members that have a candidate in their block, by block.
 
-    ``members``: band, bucket, n (members of the bucket), key, label, prints. Signatures are compared as matrices of two
-    tiles. A pair belongs to the first band that both share, so it is looked at once.
+    ``members``: band, bucket, key, label, prints and a pair of tiles (i, j) with the one of the member. Signatures are
+    compared as matrices of two tiles. A pair belongs to the first band that both share, so it is looked at once.
     """
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    rows = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
     names = ["block", "band", "tile", "i", "j", "key", "label", "prints"]
-    rows = dealt(rows.withColumn("block", F.xxhash64("bucket", "i", "j")).select(*names))
+    rows = dealt(members.withColumn("block", F.xxhash64("bucket", "i", "j")).select(*names))
 
     def run(data: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(data):
@@ -302,18 +298,31 @@ def confirm_blocks(rows: DataFrame, sets: DataFrame, share: tuple[int, int]) ->
 
 
 def divided(members: DataFrame, prints: DataFrame) -> DataFrame:
-    """Members with their signatures; those of very large buckets are dealt to one bucket per further band.
+    """Members with their signatures, once for each pair of tiles (i, j) that a tile of theirs is compared in.
 
-    A pair with the wanted similarity that shares one band shares another of the 31 with a chance of 1 - 8e-6.
+    Every pair of members of different groups meets in one pair of tiles, whatever the size of its bucket. In a bucket of
+    many tiles a group of more than a tile has tiles of its own; pairs of tiles of one and the same group are left out.
     """
-    limit = TILE * MAX_TILES
-    members = members.join(prints, "key").select("band", "bucket", "n", "key", "label", "prints")
-    large = members.where(F.col("n") > limit)
-    parts = F.posexplode(F.array(*band_keys(F.col("bucket")))).alias("second", "bucket")
-    finer = large.select("band", "key", "label", "prints", parts).where("second != band").drop("second")
-    sizes = finer.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    finer = finer.join(sizes.where("n > 1 AND lo != hi").select("bucket", "n"), "bucket").withColumn("band", F.lit(-1))
-    return members.where(F.col("n") <= limit).unionByName(finer.select(*members.columns))
+    few = members.where(F.col("n") <= TILE * MAX_TILES).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    few = few.withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")))
+    few = few.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("tiles") - 1).cast("long"))))
+    few = few.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+    many = members.where(F.col("n") > TILE * MAX_TILES)
+    sizes = many.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    # Groups of at most a tile share tiles; each of them lies in one.
+    shared = sizes.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("m") <= TILE, F.col("m"))) / TILE).alias("rest"))
+    sizes = sizes.join(shared, "bucket")
+    own = F.xxhash64("label", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / TILE)))
+    tile = F.when(F.col("m") > TILE, own).otherwise(F.pmod(F.xxhash64("label"), F.col("rest")))
+    many = cut_lineage(many.join(sizes, ["bucket", "label"]).withColumn("tile", tile))
+    ends = many.groupBy("bucket", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    left = ends.select("bucket", F.col("tile").alias("i"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    right = ends.select("bucket", F.col("tile").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = left.join(right, "bucket").where("i <= j AND least(lo1, lo2) != greatest(hi1, hi2)").select("bucket", "i", "j")
+    pairs = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("i", "j"))))
+    names = ["band", "bucket", "key", "label", "tile", "i", "j"]
+    rows = few.select(*names).unionByName(many.join(pairs, ["bucket", "tile"]).select(*names))
+    return rows.join(prints, "key")
 
 
 def grouped(docs: DataFrame, doc_id: str, text: str, size: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:

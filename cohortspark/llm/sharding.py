@@ -7,8 +7,8 @@ than a quarter of a shard in some measure is cut by document into pieces of a 64
 does not tip the balance; every other group stays together. Items are bounded by the number of shards, never by the rows;
 only their sums reach the driver.
 
-Slots number the rows of a shard without gaps: rows are counted in hash buckets of bounded size, numbered inside them,
-and shifted by the buckets before.
+Slots number the rows of a shard without gaps, in a hash order of id and text: it is cut into buckets of bounded size,
+rows are numbered inside them and shifted by the buckets before, so slots do not depend on the number of buckets.
 
 Defined results: a null text has the size of an empty one (1) and is grouped with it; repeated rows are rows of their
 own and share a group; columns besides the named ones pass through; no rows give no shards.
@@ -113,11 +113,12 @@ def shard_documents(
     cells = CELLS * shards
     kept = [F.col(f"`{c}`") for c in docs.columns] if carry is None else carry
     buckets = int(n // (shards * SLOT_ROWS)) + 1
+    order = _spread(doc_id, "order", _group(text))
     keys = [
         F.col(doc_id).alias("_id"),
         _group(text).alias("_group"),
-        F.pmod(_spread(doc_id, "slot", _group(text)), F.lit(buckets)).cast("int").alias("_bucket"),
-        _spread(doc_id, "order", _group(text)).alias("_order"),
+        F.least(F.floor((order / F.lit(2.0**64) + 0.5) * buckets), F.lit(buckets - 1)).cast("int").alias("_bucket"),
+        order.alias("_order"),
     ]
 
     def placed(columns: list[Column]) -> DataFrame:

@@ -64,6 +64,35 @@ def test_components_are_those_of_all_pairs(spark, seed, tile, most, monkeypatch)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in got.values()})
 
 
+def test_pairs_that_share_one_band_are_found_in_buckets_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(N, "TILE", 4)
+    monkeypatch.setattr(N, "MAX_TILES", 2)
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 2**16, (2, S.SLOTS), dtype=np.uint16)
+    used = S.BANDS * S.ROWS
+    b[:] = a
+    b[S.ROWS : used : S.ROWS] ^= 1  # every band but the first differs in one slot
+    rest = rng.integers(0, 2**16, (40, S.SLOTS), dtype=np.uint16)
+    table = [(0, 1, 42, bytes([k]), bytes([min(k, 12)]), p.tobytes()) for k, p in enumerate([a, *rest, b])]
+    table[-1] = (*table[-1][:4], b"z", table[-1][5])  # 29 members are one group, the others are groups of one
+    rows = spark.createDataFrame(table, "band int, bucket long, n long, key binary, label binary, prints binary")
+    divided = N.divided(rows.drop("prints"), rows.select("key", "prints"))
+    got = N.candidates(divided, N.SHARE).collect()
+    assert {bytes(r["key"]) for r in got} == {bytes([0]), bytes([41])}
+    # Every pair of different groups meets once; pairs of tiles of one group are left out.
+    met = {}
+    for r in divided.collect():
+        met.setdefault((r["i"], r["j"]), []).append((r["tile"], bytes(r["key"]), bytes(r["label"])))
+    for (i, j), members in met.items():
+        assert len({m[2] for m in members}) > 1 and {m[0] for m in members} == {i, j}
+    pairs = [
+        frozenset((p[1], q[1])) for (i, j), ms in met.items() for p in ms for q in ms
+        if p[1] < q[1] and p[2] != q[2] and {p[0], q[0]} == {i, j}
+    ]
+    label = {t[3]: t[4] for t in table}
+    assert sorted(map(sorted, pairs)) == sorted([x, y] for x in label for y in label if x < y and label[x] != label[y])
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     text = "a b c d e f g h"
     rows = [(1, text), (1, text), (None, text), (2, None), (2, None), (None, None)]

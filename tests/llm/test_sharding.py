@@ -52,6 +52,13 @@ def test_shards_balance_and_slots_have_no_gaps(spark, slot_rows, monkeypatch):
     assert sorted(map(str, S.shard_documents(table).collect())) == sorted(map(str, got))
 
 
+def test_slots_do_not_depend_on_the_number_of_buckets(spark, monkeypatch):
+    table = spark.createDataFrame([(k, f"text {k}") for k in range(400)], "doc_id long, text string")
+    want = sorted(map(tuple, S.shard_documents(table).collect()))
+    monkeypatch.setattr(S, "SLOT_ROWS", 5)
+    assert sorted(map(tuple, S.shard_documents(table).collect())) == want
+
+
 def test_rows_without_an_id_are_spread(spark, monkeypatch):
     monkeypatch.setattr(S, "SLOT_ROWS", 25)
     rows = [(None if k % 3 == 0 else k, f"text {k}") for k in range(3000)]
