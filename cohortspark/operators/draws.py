@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.session import join_salted
+from cohortspark.session import join_salted, sized
 
-# A task splits the draws of about this many cells; groups with more are first cut at leading key digits.
-CELLS_PER_TASK = 4096
+# A task splits the draws of about this many cells at once; groups with more are first cut at leading key digits, as few as do.
+CELLS_PER_TASK = 1 << 16
 # Key digits of one such cut: at most 16 ** HOP_DIGITS parts, whose sums are split in one task.
 HOP_DIGITS = 3
 KEY_BITS = 128
@@ -87,16 +87,21 @@ def split(name: str, keys: list[str], counts: list[int], draws: int, known: int)
     return out
 
 
-def _split_groups(nodes: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
-    """Split ``_n`` of each group among its rows (``_key``, ``_count``); rows that get none are left out."""
+def _split_groups(nodes: DataFrame, by: list[str], keep: list[str], draws: int | None = None) -> DataFrame:
+    """Split ``_n`` of each group among its rows (``_key``, ``_count``); rows that get none are left out.
+
+    With ``draws`` the groups are whole ones: each splits that number, those with fewer items are left out.
+    """
     types = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", _drawn bigint"
 
     def one(group: pa.Table) -> pa.Table:
         group = group.sort_by("_key")
-        keys = group["_key"].to_pylist()
-        known = 4 * len(group["_prefix"][0].as_py())
-        drawn = split(group["_name"][0].as_py(), keys, group["_count"].to_pylist(), group["_n"][0].as_py(), known)
+        counts = group["_count"].to_pylist()
+        known, n = (0, draws) if draws is not None else (4 * len(group["_prefix"][0].as_py()), group["_n"][0].as_py())
+        drawn = [0] * len(counts)
+        if draws is None or sum(counts) >= draws:
+            drawn = split(group["_name"][0].as_py(), group["_key"].to_pylist(), counts, n, known)
         out = group.select(keep).append_column("_drawn", pa.array(drawn, pa.int64()))
         return out.filter(pa.array([d > 0 for d in drawn], pa.bool_()))
 
@@ -118,29 +123,44 @@ def draw_from_counts(counts: DataFrame, draws: int, seed: int, group: str, cell:
     """
     cells = counts.where(F.col(count) > 0).groupBy(group, cell).agg(F.sum(F.col(count).cast("bigint")).alias("_count"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    spare = F.log(16.0**HOP_DIGITS, F.count(F.lit(1)) / F.lit(float(CELLS_PER_TASK)))
-    totals = (
-        cells.groupBy(group)
-        .agg(F.sum("_count").alias("_total"), F.greatest(F.lit(0), F.ceil(spare).cast("int")).alias("_hops"))
-        .where(F.col("_total") >= draws)
-        .select(group, "_hops")
-    )
-    # One number; hops are planned only where a group needs them.
-    most = totals.agg(F.max("_hops")).first()[0] or 0
-    placed = join_salted(cells, totals, [group], cell)
     name = F.concat_ws("|", F.lit(seed), text(group))
-    placed = placed.withColumn("_name", name).withColumn("_key", F.md5(F.concat_ws("|", "_name", text(cell))))
-    cut: Column = F.col("_hops") * HOP_DIGITS
-    placed = placed.withColumn("_prefix", F.substring("_key", F.lit(1), cut))
-    parts = placed.where("_hops = 0") if most else placed
-    parts = parts.withColumn("_n", F.lit(draws).cast("bigint"))
-    found = None
-    for hop in range(1, most + 1):
-        sums = placed.where(F.col("_hops") >= hop).groupBy(group, "_name", "_hops", F.substring("_key", 1, hop * HOP_DIGITS).alias("_key"))
-        nodes = sums.agg(F.sum("_count").alias("_count")).withColumn("_prefix", F.substring("_key", 1, (hop - 1) * HOP_DIGITS))
-        nodes = nodes.withColumn("_n", F.lit(draws).cast("bigint")) if hop == 1 else _joined(nodes, found, group)
-        found = _split_groups(nodes, [group, "_prefix"], [group, "_key", "_hops"])
-        ends = placed.where(F.col("_hops") == hop)
-        parts = parts.unionByName(_joined(ends, found.where(F.col("_hops") == hop).drop("_hops"), group))
-    drawn = _split_groups(parts, [group, "_prefix"], [group, cell])
+    key = F.md5(F.concat_ws("|", "_name", text(cell)))
+    spare = F.log(16.0, F.count(F.lit(1)) / F.lit(float(CELLS_PER_TASK)))
+    totals = cells.groupBy(group).agg(
+        F.sum("_count").alias("_total"), F.greatest(F.lit(0), F.ceil(spare).cast("int")).alias("_digits")
+    )
+    cut = totals.where("_digits > 0")
+    # One number; cuts are planned only where a group needs them, and only for such groups.
+    most = cut.agg(F.max("_digits")).first()[0] or 0
+    rest = cells
+    if most:
+        large = sized(cut.select(F.col(group).alias("_group2")))
+        same = F.col(group).eqNullSafe(F.col("_group2"))
+        rest = cells.join(large, same, "left_anti")
+    # Cells that are already dealt by group stay where they are.
+    rest = rest.withColumn("_name", name).withColumn("_key", key)
+    drawn = _split_groups(rest, [group], [group, cell], draws)
+    if most:
+        deep = cut.where(F.col("_total") >= draws).select(group, "_digits")
+        placed = join_salted(cells.join(large, same, "left_semi"), deep, [group], cell)
+        placed = placed.withColumn("_name", name).withColumn("_key", key)
+        drawn = drawn.unionByName(_split_deep(placed, most, draws, group, cell))
     return drawn.withColumnRenamed("_drawn", count)
+
+
+def _split_deep(placed: DataFrame, most: int, draws: int, group: str, cell: str) -> DataFrame:
+    """Draws of groups that are cut at their first ``_digits`` key digits, ``HOP_DIGITS`` at a time."""
+    digits: Column = F.col("_digits")
+    placed = placed.withColumn("_prefix", F.substring("_key", F.lit(1), digits))
+    found = parts = None
+    for done in range(0, most, HOP_DIGITS):
+        here = placed.where(digits > done)
+        cut = F.substring("_key", F.lit(1), F.least(F.lit(done + HOP_DIGITS), digits))
+        sums = here.groupBy(group, "_name", "_digits", cut.alias("_key")).agg(F.sum("_count").alias("_count"))
+        nodes = sums.withColumn("_prefix", F.substring("_key", 1, done))
+        nodes = _joined(nodes, found, group) if done else nodes.withColumn("_n", F.lit(draws).cast("bigint"))
+        found = _split_groups(nodes, [group, "_prefix"], [group, "_key", "_digits"])
+        last = digits <= done + HOP_DIGITS
+        ends = _joined(here.where(last), found.where(last).drop("_digits"), group)
+        parts = ends if parts is None else parts.unionByName(ends)
+    return _split_groups(parts, [group, "_prefix"], [group, cell])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark import session
 from cohortspark.operators.draws import draw_from_counts
 from cohortspark.operators.ranks import percentiles
-from cohortspark.session import join_salted, sized
+from cohortspark.session import sized
 
 
 def assert_unique(df: DataFrame, key: str) -> None:
@@ -55,14 +56,18 @@ def relative_abundance(
 ) -> DataFrame:
     """Add ``share``: percent of the reads of the sample.
 
-    Totals are one row per sample and join back; a sample with very many rows stays spread over tasks.
+    The rows of a sample are summed where they lie, without a join. Samples with very many rows are counted first and
+    get their totals by broadcast, so they stay spread over tasks.
     """
-    totals = counts.groupBy(sample).agg(F.sum(reads).alias("_total"))
-    return (
-        join_salted(counts, totals, [sample], taxon)
-        .withColumn("share", F.lit(100.0) * F.col(reads) / F.nullif("_total", F.lit(0)))
-        .drop("_total")
-    )
+    totals = counts.groupBy(sample).agg(F.sum(reads).alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    hot = totals.where(F.col("_rows") > session.HOT_ROWS).select(F.col(sample).alias("_hot"), "_total").persist()
+    n_hot = hot.count()
+    same = F.col(sample).eqNullSafe(F.col("_hot"))
+    rest = counts.join(sized(hot, n_hot), same, "left_anti") if n_hot else counts
+    out = rest.withColumn("_total", F.sum(reads).over(Window.partitionBy(sample)))
+    if n_hot:
+        out = out.unionByName(counts.join(sized(hot, n_hot), same).drop("_hot"))
+    return out.withColumn("share", F.lit(100.0) * F.col(reads) / F.nullif("_total", F.lit(0))).drop("_total")
 
 
 def pivot_taxa(

@@ -3,8 +3,10 @@ import random
 
 import pytest
 
+from cohortspark import session
 from cohortspark.operators import draws, upstream
-from tests.conftest import rows
+from cohortspark.plans import catalogue, views
+from tests.conftest import SMALL, rows
 
 
 @pytest.mark.parametrize("total, part, n", [(12, 5, 4), (60, 1, 30), (40, 39, 7), (200, 90, 150), (9, 9, 3), (9, 0, 3)])
@@ -72,3 +74,44 @@ def test_cuts_into_tasks_do_not_change_the_draw(spark, monkeypatch):
         monkeypatch.setattr(draws, name, value)
     assert rows(upstream.rarefy(counts.repartition(5), 50)) == plain
     assert sum(r[2] for r in plain if r[0] == "deep") == 50
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("name", "most"), [("relative_abundance", 1), ("rarefy", 1), ("shannon", 1), ("rarefied_shannon", 4), ("assemble_samples", 4)])
+def test_count_tables_move_texts_and_no_tokens(spark, name, most):
+    """Texts are dealt by sample, joins aside nothing else is."""
+    plan = plan_of(catalogue.queries()[name](spark, SMALL))
+    assert plan.count("Exchange hashpartitioning") <= most and "taxon#" not in "".join(
+        line for line in plan.splitlines() if "Exchange" in line
+    )
+
+
+def test_a_large_sample_is_cut_into_few_parts(spark, monkeypatch):
+    """One cell more than fit a task: 16 parts, not one for every cell."""
+    calls = []
+    plain = draws._split_groups
+
+    def seen(nodes, by, keep, n=None):
+        calls.append(nodes.groupBy(*by).count().count())
+        return plain(nodes, by, keep, n)
+
+    monkeypatch.setattr(draws, "CELLS_PER_TASK", 400)
+    monkeypatch.setattr(draws, "_split_groups", seen)
+    counts = spark.createDataFrame([("a", f"t{i}", 2) for i in range(401)], "sample_id string, taxon string, reads bigint")
+    out = upstream.rarefy(counts, 50)
+    assert sum(r["reads"] for r in out.collect()) == 50 and max(calls) <= 16
+
+
+def test_hot_samples_get_the_same_counts_and_shares(spark, tmp_path, monkeypatch):
+    texts = [(None, "a b a"), (1, "a  b c c"), (1, "a"), (None, "b"), (2, None), (3, ""), (4, "x " * 40)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = views.token_counts(spark, str(tmp_path))
+    plain, shares = rows(counts), rows(upstream.relative_abundance(counts))
+    assert (None, "a", 2) in plain and (1, "a", 2) in plain and len(plain) == 6
+    monkeypatch.setattr(views, "HOT_TEXT_BYTES", 3)
+    monkeypatch.setattr(session, "HOT_ROWS", 1)
+    counts = views.token_counts(spark, str(tmp_path))
+    assert rows(counts) == plain and rows(upstream.relative_abundance(counts)) == shares
