@@ -31,7 +31,7 @@ ROWS_PER_PIVOT = 2048
 MAX_PATTERNS = 64
 BLOCK_ROWS = 8192
 QUERY_ROWS = 8192
-CHUNK_CELLS = 4_000_000
+CHUNK_CELLS = 1 << 19
 # With this few blocks a first round to bound the distances costs more than it saves.
 FEW_BLOCKS = 4
 
