@@ -302,7 +302,7 @@ def find_matches(
             arrays = [pa.array(out[f.name], type=f.type) for f in MATCH_ARROW]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[batch.schema.names[0], *out])
 
-    return slim.mapInArrow(run, f"`{doc_id}` {id_type}, {MATCH_SCHEMA}")
+    return slim.mapInArrow(W.tidy(run), f"`{doc_id}` {id_type}, {MATCH_SCHEMA}")
 
 
 def remove_affected(
@@ -316,4 +316,4 @@ def remove_affected(
         for batch, out in batches(data, column, blocks):
             yield batch.filter(pa.array([n == 0 for n in out["n_hit"]]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.tidy(run), docs.schema)

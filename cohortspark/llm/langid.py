@@ -201,7 +201,7 @@ def identify(docs: DataFrame, parser: Parser | None, doc_id: str = "doc_id", tex
                 names=[batch.schema.names[0], "lang_pred", "score", "phrases_per_kb"],
             )
 
-    return slim.mapInArrow(run, f"`{doc_id}` {slim.schema[0].dataType.simpleString()}, {RESULT}")
+    return slim.mapInArrow(W.tidy(run), f"`{doc_id}` {slim.schema[0].dataType.simpleString()}, {RESULT}")
 
 
 def keep_identified(docs: DataFrame, parser: Parser | None, text: str = "text") -> DataFrame:
@@ -216,4 +216,4 @@ def keep_identified(docs: DataFrame, parser: Parser | None, text: str = "text")
             langs, _, _ = shared.value.score(batch.column(column))
             yield batch.filter(pa.array([x != UNKNOWN for x in langs], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.tidy(run), docs.schema)

@@ -75,7 +75,7 @@ def profiles(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 )
 
     id_type = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {id_type}, digest binary, n_shingles long, key binary, prints binary")
+    return slim.mapInArrow(W.tidy(run), f"id {id_type}, digest binary, n_shingles long, key binary, prints binary")
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, size: int) -> DataFrame:
@@ -93,7 +93,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, siz
                     names=["key", "elements"],
                 )
 
-    return slim.mapInArrow(run, "key binary, elements binary").groupBy("key").agg(F.first("elements").alias("elements"))
+    return slim.mapInArrow(W.tidy(run), "key binary, elements binary").groupBy("key").agg(F.first("elements").alias("elements"))
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
                 keep.append(share[1] * common >= share[0] * (len(u) + len(v) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(W.tidy(run), "a binary, b binary")
 
 
 def contract(links: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def contract(links: DataFrame) -> DataFrame:
             [pa.array(nodes, type=pa.binary()), pa.array([find(x) for x in nodes], type=pa.binary())], names=["a", "b"]
         )
 
-    return links.select("a", "b").mapInArrow(run, "a binary, b binary")
+    return links.select("a", "b").mapInArrow(W.tidy(run), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def candidates(members: DataFrame, share: tuple[int, int]) -> DataFrame:
             if keep.any():
                 yield from t.filter(pa.array(keep)).to_batches()
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(W.tidy(run), rows.schema)
 
 
 def confirm_blocks(rows: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -294,7 +294,7 @@ def confirm_blocks(rows: DataFrame, sets: DataFrame, share: tuple[int, int]) ->
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(W.tidy(run), "a binary, b binary")
 
 
 def divided(members: DataFrame, prints: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ and the longest single text, not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,20 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, after which a task gives freed memory back: its worker waits for the next one beside the JVM."""
+
+    @functools.wraps(run)
+    def tidied(data: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(data)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of the splitmix64 generator; a bijection of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
