@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -28,6 +29,7 @@ CENTROIDS = 10
 SMALL_TRAINING_SET = 15
 BACKGROUND_ROWS = 50
 EXPAND_ROWS = 20_000
+WORD = 62  # features per whole number of bits
 # Ridge penalties of the published method, for the choice of features and for the fit.
 CHOICE_PENALTY, FIT_PENALTY = 0.01, 1.0
 
@@ -280,64 +282,83 @@ def lime(
     stats: dict[str, dict[int, tuple]] = {f: {} for f in names}
     for r in bin_statistics(train, names, cuts).collect():
         stats[r["feature"]][r["bin"]] = (r["n"], r["mean"], r["std"], r["low"], r["high"])
+    known = {f: sorted(stats[f]) for f in names}
+    moments = {f: np.array([stats[f][b] for b in known[f]], dtype=float).reshape(-1, 5).T for f in names}
     id_type = rows.schema[id_col].dataType.simpleString()
+    # Which features stay in their bin, as bits of whole numbers.
+    words = [f"_same{w}" for w in range(-(-p // WORD))]
     schema = (
-        f"_row {id_type}, `{id_col}` string, {', '.join(f'`{c}` double' for c in names)}, _same array<double>"
+        f"_row {id_type}, _at int, {', '.join(f'`{c}` double' for c in names)}, {', '.join(f'{w} long' for w in words)}"
     )
+    step = max(1, EXPAND_ROWS // samples)
+
+    def draw(key, row: np.ndarray, values: np.ndarray, same: np.ndarray) -> None:
+        rng = np.random.default_rng([seed, int.from_bytes(str(key).encode(), "little") % (2**63)])
+        for j, f in enumerate(names):
+            if not known[f]:
+                # No training row has a value: nothing to draw, nothing the fit could learn from.
+                values[:, j] = np.nan
+                continue
+            here = sum(1 for c in cuts.get(f, []) if row[j] > c)
+            shares, mean, std, low, high = moments[f]
+            edges = (shares / shares.sum()).cumsum()
+            at = (edges / edges[-1]).searchsorted(rng.random(samples), side="right")
+            values[:, j] = np.clip(mean[at] + std[at] * rng.standard_normal(samples), low[at], high[at])
+            bit = (np.array(known[f]) == here)[at]
+            bit[0] = True
+            same[:, j // WORD] += bit * (1 << j % WORD)
+        values[0] = row
 
     def perturb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                rid = row[id_col]
-                rng = np.random.default_rng([seed, int.from_bytes(str(rid).encode(), "little") % (2**63)])
-                values = np.empty((samples, p))
-                same = np.empty((samples, p))
-                for j, f in enumerate(names):
-                    known = sorted(stats[f])
-                    if not known:
-                        # No training row has a value: nothing to draw, nothing the fit could learn from.
-                        values[:, j], same[:, j] = np.nan, 1.0
-                        continue
-                    here = sum(1 for c in cuts.get(f, []) if row[f] > c)
-                    shares = np.array([stats[f][b][0] for b in known], dtype=float)
-                    bins = rng.choice(known, size=samples, p=shares / shares.sum())
-                    mean, std, low, high = (
-                        np.array([stats[f][b][i] for b in known])[np.searchsorted(known, bins)] for i in (1, 2, 3, 4)
-                    )
-                    values[:, j] = np.clip(mean + std * rng.standard_normal(samples), low, high)
-                    same[:, j] = bins == here
-                values[0] = row[names].to_numpy(dtype=float)
-                same[0] = 1.0
-                out = pd.DataFrame(values, columns=names)
-                out.insert(0, "_row", [rid] * samples)
-                out.insert(1, id_col, [f"{rid}|{i}" for i in range(samples)])
-                out["_same"] = list(same)
-                yield out
+            ids, x = pdf[id_col], pdf[names].to_numpy(dtype=float)
+            number = pd.api.types.is_numeric_dtype(ids) and not pd.api.types.is_bool_dtype(ids)
+            keys = (ids.astype(float) if number else ids).to_list()
+            for i in range(0, len(pdf), step):
+                n = min(step, len(pdf) - i)
+                values = np.empty((n, samples, p))
+                same = np.zeros((n, samples, len(words)), dtype=np.int64)
+                for k in range(n):
+                    draw(keys[i + k], x[i + k], values[k], same[k])
+                out = {"_row": ids.iloc[i : i + n].repeat(samples).reset_index(drop=True)}
+                out["_at"] = np.tile(np.arange(samples, dtype=np.int32), n)
+                out |= dict(zip(names, values.reshape(-1, p).T, strict=True))
+                out |= dict(zip(words, same.reshape(-1, len(words)).T, strict=True))
+                yield pd.DataFrame(out)
 
     many = rows.select(id_col, *[F.col(c).cast("double") for c in names]).mapInPandas(perturb, schema)
     many = many.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names})
-    scored = model.transform(many).select("_row", "_same", vector_to_array("probability")[target].alias("_y"))
+    many = many.withColumn(id_col, F.concat_ws("|", "_row", "_at"))
+    scored = model.transform(many).select("_row", *words, vector_to_array("probability")[target].alias("_y"))
+    # The fit needs the sums of equal patterns only; most of them are added up before the shuffle.
+    sums = scored.groupBy("_row", *words).agg(F.count("*").alias("_n"), F.sum("_y").alias("_sum"))
     width = 0.75 * math.sqrt(p)
     top = min(num_features, p)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        # A group holds exactly ``samples`` rows.
-        z = np.vstack(pdf["_same"].to_numpy())
-        y = pdf["_y"].to_numpy(dtype=float)
-        w = np.sqrt(np.exp(-((1 - z).sum(axis=1)) / width**2))
+    # A feature nobody has counts as staying in its bin.
+    blank = np.array([not known[f] for f in names])
+
+    def solve(table: pa.Table) -> pa.Table:
+        # A group holds at most as many rows as perturbed ones.
+        table = table.sort_by([(w, "ascending") for w in words])
+        bits = np.stack([table[w].to_numpy() for w in words], axis=1)
+        z = np.stack([bits[:, j // WORD] >> j % WORD & 1 for j in range(p)], axis=1).astype(float)
+        z[:, blank] = 1.0
+        n = table["_n"].to_numpy()
+        y = table["_sum"].to_numpy() / n
+        w = n * np.sqrt(np.exp(-((1 - z).sum(axis=1)) / width**2))
         chosen = np.argsort(-np.abs(_ridge(z, y, w, CHOICE_PENALTY)[0]), kind="stable")[:top]
         slope, intercept = _ridge(z[:, chosen], y, w)
         order = np.argsort(-np.abs(slope), kind="stable")
-        return pd.DataFrame(
+        return pa.table(
             {
-                id_col: [pdf["_row"].iloc[0]] * len(order),
+                id_col: table["_row"].take(pa.array([0] * len(order))),
                 "feature": [names[chosen[i]] for i in order],
                 "weight": slope[order],
                 "intercept": [intercept] * len(order),
             }
         )
 
-    return scored.groupBy("_row").applyInPandas(
+    return sums.groupBy("_row").applyInArrow(
         solve, f"`{id_col}` {id_type}, feature string, weight double, intercept double"
     )
 

@@ -307,3 +307,13 @@ def test_lime_with_a_feature_nobody_has(spark, whole):
     model = Pipeline(stages=stages).fit(df)
     out = explain.lime(model, df, df.limit(2), ["a", "c", "blank"], samples=200).collect()
     assert {r["weight"] for r in out if r["feature"] == "blank"} == {0.0} and len(out) == 6
+
+
+def test_lime_adds_equal_patterns_up_and_keeps_large_ids(spark, whole):
+    big = 2**53 + 1  # no double holds this number
+    df = whole.withColumn("sample_id", F.lit(big))
+    stages = [VectorAssembler(inputCols=["a", "c"], outputCol="features"), LogisticRegression()]
+    model = Pipeline(stages=stages).fit(df)
+    out = explain.lime(model, df, df.limit(1), ["a", "c"], samples=200)
+    assert {r["sample_id"] for r in out.collect()} == {big}
+    assert "partial_sum" in out._jdf.queryExecution().executedPlan().toString()
