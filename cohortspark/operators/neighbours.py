@@ -32,6 +32,7 @@ MAX_PATTERNS = 64
 BLOCK_ROWS = 8192
 QUERY_ROWS = 8192
 CHUNK_CELLS = 1 << 19
+TILE_CELLS = 1 << 16  # distances compared at a time, few enough for a processor's cache
 # With this few blocks a first round to bound the distances costs more than it saves.
 FEW_BLOCKS = 4
 
@@ -45,11 +46,25 @@ def _matrix(col: pd.Series, width: int) -> np.ndarray:
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Scaled squared distances (rows of q) x (rows of x); infinite without a common coordinate."""
     mq, mx = ~np.isnan(q), ~np.isnan(x)
-    q0, x0 = np.where(mq, q, 0.0), np.where(mx, x, 0.0)
-    total = np.zeros((len(q), len(x)))
+    total, diff = np.zeros((2, len(q), len(x)))
     for j in range(q.shape[1]):
-        diff = q0[:, j, None] - x0[None, :, j]
-        total += diff * diff * (mq[:, j, None] & mx[None, :, j])
+        # Most tables hold few patterns: a column that one side lacks altogether, or both have throughout, needs no mask.
+        if not mq[:, j].any() or not mx[:, j].any():
+            continue
+        whole = mq[:, j].all() and mx[:, j].all()
+        left, right = (q[:, j], x[:, j]) if whole else (np.where(mq[:, j], q[:, j], 0.0), np.where(mx[:, j], x[:, j], 0.0))
+        np.subtract(left[:, None], right[None, :], out=diff)
+        np.multiply(diff, diff, out=diff)
+        if not whole:
+            diff *= mq[:, j, None] & mx[None, :, j]
+        total += diff
+    if len(q) and len(x) and (mq == mq[0]).all() and (mx == mx[0]).all():
+        common = float((mq[0] & mx[0]).sum())
+        if common == 0:
+            total.fill(np.inf)
+        else:
+            total *= q.shape[1] / common
+        return total
     common = mq.astype(float) @ mx.astype(float).T
     with np.errstate(divide="ignore", invalid="ignore"):
         out = total * (q.shape[1] / common)
@@ -57,6 +72,25 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest(d: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k smallest finite distances of every row, of none beyond the row's bound (infinite for none).
+
+    Rows come in order, their columns by distance; the smaller column is first among equal distances.
+    """
+    limit, loose = bound * (1 + MARGIN), ~np.isfinite(bound)
+    if loose.any() and d.shape[1] > k:
+        limit[loose] = np.partition(d[loose], k - 1, axis=1)[:, k - 1]
+    row, column = np.nonzero(d <= limit[:, None])
+    dist = d[row, column]
+    ok = np.isfinite(dist)
+    row, column, dist = row[ok], column[ok], dist[ok]
+    order = np.lexsort((column, dist, row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, row, side="left")
+    kept = np.arange(len(row)) - first < k
+    return row[kept], column[kept]
+
+
 @dataclass
 class Cells:
     """Per cell: bounding box, whether all its rows hold the same coordinates, blocks and rows."""
@@ -270,8 +304,11 @@ class NeighbourIndex:
             ids = left["query_id"].to_numpy()
             donor_ids = right["donor_id"].to_numpy()
             carried = {c: right[c].to_numpy() for c in carry}
+            # The first round knows no bounds; later a donor beyond the bound cannot be among the k nearest.
+            bounds = left["bound"].to_numpy(dtype=float, na_value=np.nan) if "bound" in left else np.full(len(q), np.nan)
+            bounds = np.where(np.isnan(bounds), np.inf, bounds)
             parts: dict[str, list] = {c: [] for c in names}
-            step = max(1, CHUNK_CELLS // len(x))
+            step = max(1, TILE_CELLS // len(x))
             for i in range(0, len(q), step):
                 part = q[i : i + step]
                 d = distances(part, x)
@@ -284,17 +321,15 @@ class NeighbourIndex:
                         asking, usable = np.arange(len(part)), np.arange(len(x))
                     if len(asking) == 0 or len(usable) == 0:
                         continue
-                    sub = d[np.ix_(asking, usable)]
-                    # A stable sort keeps the smaller donor id first among equal distances.
-                    order = np.argsort(sub, axis=1, kind="stable")[:, :k]
-                    dist = np.take_along_axis(sub, order, axis=1).ravel()
-                    ok = np.isfinite(dist)
-                    rows = np.repeat(asking, order.shape[1])[ok]
-                    cols = usable[order.ravel()][ok]
+                    sub = d if len(asking) == len(part) and len(usable) == len(x) else d[np.ix_(asking, usable)]
+                    found, order = nearest(sub, k, bounds[i + asking])
+                    if len(found) == 0:
+                        continue
+                    rows, cols = asking[found], usable[order]
                     parts["query_id"].append(ids[i + rows])
                     parts["target"].append(np.full(len(rows), t, dtype="int32"))
                     parts["donor_id"].append(donor_ids[cols])
-                    parts["dist"].append(dist[ok])
+                    parts["dist"].append(sub[found, order])
                     parts["value"].append(x[cols, t] if target_missing else np.full(len(rows), np.nan))
                     for c in carry:
                         parts[c].append(carried[c][cols])

@@ -105,3 +105,21 @@ def test_tiny_values_keep_their_order(spark):
     donors = spark.createDataFrame([(1, [3e-5]), (2, [1e-5])], "donor_id bigint, vec array<double>")
     queries = spark.createDataFrame([(9, [1e-5])], "query_id bigint, vec array<double>")
     assert neighbours.NeighbourIndex(donors, 1).join(queries, 1, False).first()["donor_id"] == 2
+
+
+def test_nearest_keeps_ties_in_order_and_nothing_beyond_the_bound():
+    d = np.array([[3.0, 1.0, 1.0, np.inf, 2.0], [np.inf, 5.0, 4.0, 5.0, 5.0], [1.0, 2.0, 3.0, 4.0, 5.0]])
+    row, column = neighbours.nearest(d, 3, np.array([np.inf, np.inf, 1.5]))
+    assert list(zip(row.tolist(), column.tolist())) == [(0, 1), (0, 2), (0, 4), (1, 2), (1, 1), (1, 3), (2, 0)]
+
+
+def test_distances_of_columns_that_one_side_lacks():
+    rng = np.random.default_rng(3)
+    q, x = holes(rng, rng.normal(size=(20, 5)), 0.1), holes(rng, rng.normal(size=(90, 5)), 0.1)
+    q[:, 1] = np.nan
+    d = neighbours.distances(q, x)
+    with np.errstate(invalid="ignore"):
+        gaps = (q[:, None, :] - x[None, :, :]) ** 2
+    common = np.isfinite(gaps).sum(axis=2)
+    plain = np.where(common, np.nansum(gaps, axis=2) * 5 / np.maximum(common, 1), np.inf)
+    assert np.allclose(d, plain)
