@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cohortspark.ml.gang import DIRECT_TASKS, batches, uniform
+from cohortspark.ml.gang import DIRECT_TASKS, ROW_SCHEMA, batches, uniform
 
 MEMORY = 10
 SMOOTH = 0.1  # width of the rounded corner of the hinge
@@ -144,34 +144,30 @@ class Margin:
 
     nets: tuple[Net, ...]
     thetas: tuple
-    size: int = 1
 
 
 def part_of(rid: np.ndarray, seed: int) -> np.ndarray:
     return (uniform(seed + 11, rid) * PARTS).astype(int)
 
 
-def _sums(rows: DataFrame, nets: Sequence[Net], thetas: dict[int, np.ndarray], tasks: int, margins: dict | None = None) -> dict[int, tuple[float, np.ndarray]]:
+def _sums(rows: DataFrame, nets: Sequence[Net], thetas: dict[int, np.ndarray], tasks: int) -> dict[int, tuple[float, np.ndarray]]:
     """Loss and gradient of the models in ``thetas`` over their folds' rows."""
     by_fold: dict[int, list[int]] = {}
     for k in thetas:
         by_fold.setdefault(nets[k].fold, []).append(k)
-    shared = rows.sparkSession.sparkContext.broadcast((list(nets), thetas, by_fold, margins))
+    shared = rows.sparkSession.sparkContext.broadcast((list(nets), thetas, by_fold))
 
     def run(data: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, trial, of_fold, seen = shared.value
+        every, trial, of_fold = shared.value
         total: dict[int, tuple[float, np.ndarray]] = {}
         for fold, rid, label, weight, x in batches(data):
             lifted: dict = {}
             for k in of_fold.get(fold, ()):
                 net = every[k]
                 key = (net.columns, net.lift)
-                if seen is not None:
-                    inputs = _held_margin(seen[k], rid, x)
-                else:
-                    if key not in lifted:
-                        lifted[key] = net.inputs(x)
-                    inputs = lifted[key]
+                if key not in lifted:
+                    lifted[key] = net.inputs(x)
+                inputs = lifted[key]
                 w = weight if net.weighted else np.ones(len(x))
                 if net.without >= 0:
                     w = w * (part_of(rid, net.seed) != net.without)
@@ -211,6 +207,25 @@ def _held_margin(source: Margin, rid: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _with_margins(rows: DataFrame, of_fold: dict[int, list[Margin]]) -> DataFrame:
+    """The rows with the margins of their fold's machines in place of their columns; folds with fewer are filled with zeros."""
+    width = max(map(len, of_fold.values()))
+
+    def run(data: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fold, rid, label, weight, x in batches(data):
+            sources = of_fold.get(fold, ())
+            if not sources:
+                continue
+            found = np.zeros((len(x), width))
+            for j, source in enumerate(sources):
+                found[:, j : j + 1] = _held_margin(source, rid, x)
+            columns = [np.full(len(x), fold, dtype=np.int32), rid, label, weight]
+            margins = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * width, pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), margins], names=["fold", "rid", "label", "weight", "x"])
+
+    return rows.mapInArrow(run, ROW_SCHEMA)
+
+
 class _Steps:
     """L-BFGS state of one model."""
 
@@ -264,17 +279,17 @@ class _Steps:
         return False
 
 
-def minimise(rows: DataFrame, nets: Sequence[Net], margins: dict | None = None, tolerance: float = 1e-4) -> list[np.ndarray]:
+def minimise(rows: DataFrame, nets: Sequence[Net], tolerance: float = 1e-4) -> list[np.ndarray]:
     """Weights of every model. Models that are finished take no further part in the passes."""
     tasks = rows.rdd.getNumPartitions()
     at = {k: net.start() for k, net in enumerate(nets)}
-    first = _sums(rows, nets, at, tasks, margins)
+    first = _sums(rows, nets, at, tasks)
     states = {k: _Steps(at[k], *nets[k].penalised(at[k], *first[k])) for k in at if k in first}
     going = {k for k, s in states.items() if np.abs(s.gradient).max() > tolerance}
     turn = 0
     while going:
         trials = {k: states[k].trial() for k in going}
-        for k, (loss, gradient) in _sums(rows, nets, trials, tasks, margins).items():
+        for k, (loss, gradient) in _sums(rows, nets, trials, tasks).items():
             if states[k].take(*nets[k].penalised(trials[k], loss, gradient), tolerance):
                 going.discard(k)
         turn += 1
@@ -301,10 +316,16 @@ def machines(rows: DataFrame, wanted: Sequence[Net]) -> list[Machine]:
 
     nets = [replace(net, without=p) for net in wanted for p in (-1, *range(PARTS))]
     thetas = minimise(rows, nets)
-    curves, margins = [], {}
+    curves, of_fold = [], {}
     for i, net in enumerate(wanted):
         at = i * (PARTS + 1)
-        margins[i] = Margin(tuple(nets[at + 1 : at + 1 + PARTS]), tuple(thetas[at + 1 : at + 1 + PARTS]))
-        curves.append(Net(net.fold, (0,), 2, penalty=1e-6, target=net.target, seed=net.seed, max_iter=60))
-    fitted = minimise(rows, curves, margins)
+        mine = of_fold.setdefault(net.fold, [])
+        curves.append(Net(net.fold, (len(mine),), 2, penalty=1e-6, target=net.target, seed=net.seed, max_iter=60))
+        mine.append(Margin(tuple(nets[at + 1 : at + 1 + PARTS]), tuple(thetas[at + 1 : at + 1 + PARTS])))
+    # Margins are the same in every pass: rows are lifted for them once.
+    margins = _with_margins(rows, of_fold).persist()
+    try:
+        fitted = minimise(margins, curves)
+    finally:
+        margins.unpersist()
     return [Machine(net, thetas[i * (PARTS + 1)], fitted[i]) for i, net in enumerate(wanted)]
