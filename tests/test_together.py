@@ -1,6 +1,7 @@
 """Models fitted in shared passes, against plain versions of one model on one table."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 
@@ -217,6 +218,30 @@ def test_machine_separates_a_ring(spark):
     assert ((chance > 0.5) == y).mean() > 0.93 and abs(chance.mean() - y.mean()) < 0.05
 
 
+def test_curves_pass_over_margins_and_not_over_lifted_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3))
+    net = descent.Net(0, (0, 1, 2), 2, loss="hinge", lift=descent.Fourier(0.5, 9), target=1, max_iter=5)
+    widths, minimise = [], descent.minimise
+    monkeypatch.setattr(descent, "minimise", lambda rows, *rest: (widths.append(len(rows.first()["x"])), minimise(rows, *rest))[1])
+    descent.machines(table(spark, {0: (x, (x[:, 0] > 0).astype(int))}), [net])
+    assert widths == [3, 1]
+
+
+def test_a_task_sends_its_cells_once():
+    x, y = made(40)
+    grown = gang.Gang([gang.Member(0, (0, 1, 2), "extra", 2, 3)], 2, {}, {})
+    front = gang._frontier(grown, 0)
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.float64()]
+    values = [np.zeros(40), np.arange(40), y, np.ones(40)]
+    columns = [pa.array(v).cast(t) for v, t in zip(values, kinds, strict=True)]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array(x.tolist())], names=["fold", "rid", "label", "weight", "x"])
+    sent = list(gang._cells(grown, front, 0, True)([batch, batch]))
+    assert len(sent) == 1
+    found = gang._ranges(pa.Table.from_batches(sent)).to_pydict()
+    assert found["low"] == [*x.min(axis=0)] * 2 and found["high"] == [*x.max(axis=0)] * 2
+
+
 @pytest.mark.parametrize(
     "estimator", [AdaBoost(rounds=3), ExtraTrees(trees=5), Perceptron(hidden=[3], maxIter=20), RBFClassifier(size=16)]
 )
