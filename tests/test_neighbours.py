@@ -123,3 +123,25 @@ def test_distances_of_columns_that_one_side_lacks():
     common = np.isfinite(gaps).sum(axis=2)
     plain = np.where(common, np.nansum(gaps, axis=2) * 5 / np.maximum(common, 1), np.inf)
     assert np.allclose(d, plain)
+
+
+@pytest.mark.parametrize("pivots", [1, 6])
+def test_neighbours_by_fold_equal_brute_force_outside_of_each(spark, pivots):
+    rng = np.random.default_rng(11)
+    x = holes(rng, rng.normal(size=(160, 2)) + rng.choice([0, 8], size=(160, 1)), 0.15)
+    q = holes(rng, rng.normal(size=(25, 2)) * 4, 0.4)
+    own = rng.integers(0, 3, size=(160, 2))
+    rows = [(i, [float(v) for v in a], [int(f) for f in o]) for i, (a, o) in enumerate(zip(x, own, strict=True))]
+    donors = spark.createDataFrame(rows, "donor_id int, vec array<double>, _folds array<int>")
+    index = NeighbourIndex(donors, 2, pivots=pivots, block_rows=20 if pivots > 1 else 200)
+    assert (index.cells.blocks.sum() > neighbours.FEW_BLOCKS) == (pivots > 1)
+    got = collected(index.join(frames(spark, x, q)[1], 3, target_missing=True, folds=(3, 2)))
+    sets = [own[:, r] != f for r in range(2) for f in range(3)] + [np.ones(160, dtype=bool)]
+    want = {}
+    for s, inside in enumerate(sets):
+        places = np.flatnonzero(inside)
+        for t in range(2):
+            for i, near in brute(x[places], q, 3, t).items():
+                if np.isnan(q[i, t]) and near:
+                    want[i, s * 2 + t] = places[near].tolist()
+    assert got == want and len(want) > 50

@@ -277,3 +277,65 @@ def test_search_scores_every_point_by_models_of_its_own_fold(spark):
                 alone = [selection._alone(recipe, folded, entry, params, f) for f in range(3)]
                 assert mean == pytest.approx(np.mean(alone))
     assert len(grid) == 8
+
+
+def test_models_in_tasks_score_as_in_passes(spark, monkeypatch):
+    """Folds that fit a task are fitted there, without a pass over the table, and score alike."""
+    x, y = made(120, 3, classes=3)
+    rows = [(i, int(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "sample_id long, label int, a double, b double, c double")
+    recipe = Recipe(features=["a", "b", "c"], classes=["l", "m", "n"], ratios=None, impute=False, select_k="all")
+    points = {
+        "RandomForest": [{"trees": 7, "depth": 4}, {"trees": 4, "depth": None}],
+        "ExtraTrees": [{"trees": 7, "depth": None}],
+        "GradientBoosting": [{"rounds": 5, "depth": 2}],
+        "AdaBoost": [{"rounds": 6}],
+        "LogisticRegression": [{"C": 1.0}],
+        "SVC_RBF": [{"size": 16}],
+    }
+    models, passes = zoo.multiclass_models(), []
+    level, sums = gang._level, descent._sums
+    monkeypatch.setattr(gang, "_level", lambda *a: (passes.append("level"), level(*a))[1])
+    monkeypatch.setattr(descent, "_sums", lambda *a: (passes.append("sums"), sums(*a))[1])
+    monkeypatch.setattr(together, "HELD_NUMBERS", 2000)  # forests in several parts
+    with selection.shared_folds(), selection._folds_for(recipe, df, 2, 2) as folded:
+        for name, some in points.items():
+            group = {i: (models[name], p) for i, p in enumerate(some)}
+            monkeypatch.setattr(together, "HELD_CELLS", 1 << 22)
+            monkeypatch.setattr(together, "HELD_INPUTS", 1 << 24)
+            passes.clear()
+            in_tasks = selection._together(recipe, folded, group, range(5))
+            assert not passes, name
+            monkeypatch.setattr(together, "HELD_CELLS", 0)
+            monkeypatch.setattr(together, "HELD_INPUTS", 0)
+            assert in_tasks == pytest.approx(selection._together(recipe, folded, group, range(5))), name
+            assert passes and len(in_tasks) == 5 * len(some)
+
+
+@pytest.mark.parametrize("mode", ["knn", "median"])
+def test_folds_are_prepared_together_as_one_by_one(spark, monkeypatch, mode):
+    rng = np.random.default_rng(3)
+    rows = [
+        (f"s{i}", i % 3 == 0, *[None if u < 0.2 else round(float(v), 1) for u, v in zip(rng.random(3), rng.normal(size=3) + i % 2, strict=True)])
+        for i in range(90)
+    ]
+    df = spark.createDataFrame(rows + rows[:9], "sample_id string, case boolean, a double, b double, c double").selectExpr("*", "int(case) AS label")
+    recipe = Recipe(features=["a", "b", "c"], classes=["n", "p"], ratios=None, clip_cols=None, impute_mode=mode, select_k="all")
+    one_by_one = selection.prepared
+    with monkeypatch.context() as m:
+        m.setattr(selection, "prepared", None)
+        folded = selection._folded(recipe, df, 3, 2)
+    assert folded.whole == 6 and folded.width == 3
+    flat = lambda got: sorted((r[0], r[1], None if r[2] is None else round(r[2], 9), *[round(v, 6) for v in r[3]]) for r in got)
+    with selection._fold_tables(recipe, df, 3, 2) as parts:
+        for f, (inside, outside) in enumerate([*parts[:4], (df, None)]):
+            f = f if outside is not None else folded.whole
+            with one_by_one(recipe, inside, outside, temporary=True) as done:
+                for part, held in ((done.train, False), (done.test, True)):
+                    if part is None:
+                        continue
+                    weight = "weight" if not held else "1.0 AS weight"
+                    want = part.selectExpr("sample_id", "label", weight, "scaled").collect()
+                    have = folded.rows.where(f"fold = {f} AND held = {held}").select("id", "label", "weight", "x").collect()
+                    assert flat(have) == flat(want), (f, held)
+    folded.close()
