@@ -339,3 +339,19 @@ def test_folds_are_prepared_together_as_one_by_one(spark, monkeypatch, mode):
                     have = folded.rows.where(f"fold = {f} AND held = {held}").select("id", "label", "weight", "x").collect()
                     assert flat(have) == flat(want), (f, held)
     folded.close()
+
+
+def test_machines_over_held_rows_read_their_inputs_together(monkeypatch):
+    x, y = made(60)
+    lift = descent.Fourier(0.5, 12)
+    nets = [descent.Net(0, (0, 2), 2, loss="hinge", weighted=p == 1, lift=lift, without=p, target=1) for p in (-1, 0, 1)]
+    rid, weight = np.arange(60), 1.0 + np.arange(60) % 3
+    thetas = {k: np.random.default_rng(k).normal(size=13) for k in range(3)}
+    alone = [
+        net.loss_and_gradient(thetas[k], net.inputs(x), y, (weight if net.weighted else 1.0) * (descent.part_of(rid, net.seed) != net.without))
+        for k, net in enumerate(nets)
+    ]
+    monkeypatch.setattr(descent.Net, "loss_and_gradient", None)
+    found = descent._sums(gang.Held([(0, rid, y, weight, x)]), nets, thetas, 1)
+    for k, (loss, gradient) in enumerate(alone):
+        assert found[k][0] == pytest.approx(loss) and np.allclose(found[k][1], gradient)
