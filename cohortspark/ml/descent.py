@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cohortspark.ml.gang import DIRECT_TASKS, ROW_SCHEMA, Held, batches, uniform
+from cohortspark.ml.gang import DIRECT_CELLS, DIRECT_TASKS, ROW_SCHEMA, Held, batches, uniform
 
 MEMORY = 10
 SMOOTH = 0.1  # width of the rounded corner of the hinge
@@ -216,7 +216,7 @@ def _sums(rows: DataFrame | Held, nets: Sequence[Net], thetas: dict[int, np.ndar
         return pa.table({"k": table["k"][:1], "sums": pa.array([total.tobytes()], type=pa.binary())})
 
     found = rows.mapInArrow(run, "k long, sums binary")
-    if tasks > DIRECT_TASKS:
+    if tasks > DIRECT_TASKS and tasks * sum(map(len, thetas.values())) > DIRECT_CELLS:
         found = found.groupBy("k").applyInArrow(add, "k long, sums binary")
     out: dict[int, np.ndarray] = {}
     table = found.toArrow()

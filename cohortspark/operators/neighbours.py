@@ -35,6 +35,8 @@ CHUNK_CELLS = 1 << 19
 TILE_CELLS = 1 << 16  # distances compared at a time, few enough for a processor's cache
 # With this few blocks a first round to bound the distances costs more than it saves.
 FEW_BLOCKS = 4
+# Pairs of a query and a cell that a task looks at when queries find their blocks.
+ROUTE_PAIRS = 1 << 20
 
 
 def _matrix(col: pd.Series, width: int) -> np.ndarray:
@@ -93,10 +95,11 @@ def nearest(d: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.nd
 
 @dataclass
 class Cells:
-    """Per cell: bounding box, whether all its rows hold the same coordinates, blocks and rows."""
+    """Per cell: bounding box, mean row, whether all its rows hold the same coordinates, blocks and rows."""
 
     low: np.ndarray
     high: np.ndarray
+    centre: np.ndarray
     uniform: np.ndarray
     blocks: np.ndarray
     rows: np.ndarray
@@ -130,6 +133,10 @@ class Cells:
         high[(common == 0)] = np.inf
         return low, high
 
+    def holds(self) -> np.ndarray:
+        """Whether some row of a cell has the coordinate."""
+        return ~np.isnan(self.low)
+
 
 class NeighbourIndex:
     """Donor rows (``donor_id``, ``vec`` array with NaN for missing, further columns) ready to be joined."""
@@ -166,6 +173,7 @@ class NeighbourIndex:
                 F.count(F.lit(1)).alias("n"),
                 F.array(*[F.min(v) for v in known]).alias("low"),
                 F.array(*[F.max(v) for v in known]).alias("high"),
+                F.array(*[F.avg(v) for v in known]).alias("centre"),
             )
             .orderBy("cell")
             .collect()
@@ -177,6 +185,7 @@ class NeighbourIndex:
         self.cells = Cells(
             low=np.array([r["low"] for r in boxes], dtype=float),
             high=np.array([r["high"] for r in boxes], dtype=float),
+            centre=np.array([r["centre"] for r in boxes], dtype=float),
             uniform=np.array([not r["cell"].endswith("mixed") for r in boxes]),
             blocks=n_blocks,
             rows=n_rows,
@@ -212,9 +221,19 @@ class NeighbourIndex:
 
     # -- routing ---------------------------------------------------------------------------------
 
-    def _route(self, queries: DataFrame, k: int, first_only: bool) -> DataFrame:
-        """(block, query columns): one near block per query, or every block within its bound."""
+    def _dealt(self, queries: DataFrame) -> DataFrame:
+        """Kept queries in as many partitions as their pairs with cells ask for; by their bytes they would share a task."""
+        tasks = -(-queries.count() * len(self.cells.low) // ROUTE_PAIRS)
+        return queries.repartition(max(1, tasks), "query_id")
+
+    def _route(self, queries: DataFrame, k: int, first_only: bool, fill: bool = False) -> DataFrame:
+        """(block, query columns): one near block per query, or every block within its bound.
+
+        ``fill``: a query asks for the coordinates it lacks, so cells that have none of them are left out, and its near
+        block is one that has all of them, where there is one, of the cell with the nearest mean row.
+        """
         cells, first, width = self.cells, self._first_block, self.width
+        holds = cells.holds()
         total = int(cells.blocks.sum())
         if total <= FEW_BLOCKS:
             return queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
@@ -229,8 +248,18 @@ class NeighbourIndex:
                     part = pdf.iloc[i : i + step]
                     q = _matrix(part["vec"], width)
                     low, high = cells.reach(q)
+                    if fill:
+                        lacks = np.isnan(q) & holds.any(axis=0)
+                        found = lacks.astype(float) @ holds.T.astype(float)
+                        low[found == 0] = np.inf
+                        high[found == 0] = np.inf
                     if first_only:
                         enough = np.where(cells.rows >= k, high, np.inf)
+                        if fill:
+                            able = np.isfinite(enough)
+                            best = able & (found == lacks.sum(axis=1, keepdims=True))
+                            able = np.where(best.any(axis=1, keepdims=True), best, able)
+                            enough = np.where(able, np.nan_to_num(distances(q, cells.centre), nan=np.inf), np.inf)
                         home = np.where(np.isinf(enough).all(axis=1), low.argmin(axis=1), enough.argmin(axis=1))
                         out = part.copy()
                         out.insert(0, "block", first[home].astype("int32"))
@@ -358,17 +387,25 @@ class NeighbourIndex:
                 return pd.DataFrame(columns=names, dtype=object)
             return pd.DataFrame({c: np.concatenate(v) for c, v in parts.items()})
 
+        many = self.cells.blocks.sum() > FEW_BLOCKS
+        if many:
+            queries = cut_lineage(queries)
+            dealt = self._dealt(queries)
+        else:
+            dealt = queries
         if approximate:
-            found = self._compare(self._route(queries, k, True), k, compare, schema, read)
+            found = self._compare(self._route(dealt, k, True), k, compare, schema, read)
             best = Window.partitionBy("query_id", "target").orderBy("dist", "donor_id")
             return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         bounded = queries
-        if self.cells.blocks.sum() > FEW_BLOCKS:
-            seen = self._compare(self._route(queries, k, True), k, compare, schema, read)
+        if many:
+            seen = self._compare(self._route(dealt, k, True, target_missing), k, compare, schema, read)
             per_target = seen.groupBy("query_id", "target").agg(
                 F.count(F.lit(1)).alias("n"), F.max("dist").alias("d")
             )
-            missing = F.size(F.filter("vec", lambda v: F.isnan(v) | v.isNull()))
+            # A coordinate that no donor has is found nowhere.
+            lacks = [F.isnan(F.col("vec")[j]) | F.col("vec")[j].isNull() for j in np.flatnonzero(self.cells.holds().any(axis=0)).tolist()]
+            missing = sum((c.cast("int") for c in lacks), F.lit(0))
             bound = per_target.groupBy("query_id").agg(
                 F.count_if(F.col("n") >= k).alias("full"), F.max("d").alias("d")
             )
@@ -377,10 +414,10 @@ class NeighbourIndex:
             bounded = queries.join(bound, "query_id", "left").select(
                 "query_id", "vec", F.when(F.col("full") == wanted, F.col("d")).alias("bound")
             )
-            bounded = cut_lineage(bounded)
+            bounded = self._dealt(cut_lineage(bounded))
         else:
             bounded = queries.withColumn("bound", F.lit(None).cast("double"))
-        found = self._compare(self._route(bounded, k, False), k, compare, schema, read)
+        found = self._compare(self._route(bounded, k, False, target_missing), k, compare, schema, read)
         best = Window.partitionBy("query_id", "target").orderBy("dist", "donor_id")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -145,3 +145,63 @@ def test_neighbours_by_fold_equal_brute_force_outside_of_each(spark, pivots):
                 if np.isnan(q[i, t]) and near:
                     want[i, s * 2 + t] = places[near].tolist()
     assert got == want and len(want) > 50
+
+
+def test_queries_meet_few_blocks_and_only_those_that_can_fill_them(spark, monkeypatch):
+    """Rows like the query lack what it lacks: its near block must be another's, or nothing bounds the distances."""
+    rng = np.random.default_rng(11)
+    x = rng.uniform(0, 100, size=(600, 3))
+    x[::2, 2] = np.nan
+    q = rng.uniform(0, 100, size=(80, 3))
+    q[:, 2] = np.nan
+    donors, queries = frames(spark, x, q)
+    index = NeighbourIndex(donors, 3, pivots=30, block_rows=40)
+    asked, compare = [], NeighbourIndex._compare
+
+    def counted(self, routed, *args):
+        asked.append(routed.count())
+        return compare(self, routed, *args)
+
+    monkeypatch.setattr(NeighbourIndex, "_compare", counted)
+    got = collected(index.join(queries, 5, target_missing=True))
+    want = brute(x, q, 5, 2)
+    assert got == {(i, 2): v for i, v in want.items()}
+    assert asked[0] == len(q)
+    assert asked[1] < len(q) * index.cells.blocks.sum() / 5
+
+
+def test_a_coordinate_that_no_donor_has_does_not_open_every_block(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.uniform(0, 100, size=(300, 4))
+    x[:, 3] = np.nan
+    q = rng.uniform(0, 100, size=(40, 4))
+    q[:, 2:] = np.nan
+    donors, queries = frames(spark, x, q)
+    index = NeighbourIndex(donors, 4, pivots=30, block_rows=40)
+    asked, compare = [], NeighbourIndex._compare
+
+    def counted(self, routed, *args):
+        asked.append(routed.count())
+        return compare(self, routed, *args)
+
+    monkeypatch.setattr(NeighbourIndex, "_compare", counted)
+    got = collected(index.join(queries, 5, target_missing=True))
+    assert got == {(i, 2): v for i, v in brute(x, q, 5, 2).items()}
+    assert asked[1] < len(q) * index.cells.blocks.sum() / 2
+
+
+def test_routing_is_dealt_by_its_work(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    donors, queries = frames(spark, rng.normal(size=(300, 2)), rng.normal(size=(90, 2)))
+    index = NeighbourIndex(donors, 2, pivots=10, block_rows=40)
+    monkeypatch.setattr(neighbours, "ROUTE_PAIRS", 100, raising=False)
+    parts, compare = [], NeighbourIndex._compare
+
+    def counted(self, routed, *args):
+        parts.append(routed.rdd.getNumPartitions())
+        return compare(self, routed, *args)
+
+    monkeypatch.setattr(NeighbourIndex, "_compare", counted)
+    got = collected(index.join(queries.repartition(1), 3, target_missing=False))
+    assert len(got) == 90
+    assert parts == [9, 9]

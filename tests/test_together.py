@@ -189,6 +189,29 @@ def test_smooth_models_end_where_the_gradient_vanishes(spark):
         assert np.abs(gradient).max() < 1e-2
 
 
+def test_few_numbers_of_many_tasks_are_added_without_a_shuffle(spark, monkeypatch):
+    x, y = made(120)
+    net = descent.Net(0, (0, 1, 2), 2, (4,))
+    theta = net.start()
+    rows = table(spark, {0: (x, y)}, 6)
+    monkeypatch.setattr(descent, "DIRECT_TASKS", 2)
+    shuffled, by = [], type(rows).groupBy
+
+    def counted(self, *cols):
+        shuffled.append(cols)
+        return by(self, *cols)
+
+    monkeypatch.setattr(type(rows), "groupBy", counted)
+    (few,) = descent._sums(rows, [net], {0: theta}, 6).values()
+    assert not shuffled
+    monkeypatch.setattr(descent, "DIRECT_CELLS", 6 * len(theta) - 1)
+    (many,) = descent._sums(rows, [net], {0: theta}, 6).values()
+    assert shuffled
+    want = net.loss_and_gradient(theta, net.inputs(x), y, np.ones(len(y)))
+    for found in (few, many):
+        assert np.isclose(found[0], want[0]) and np.allclose(found[1], want[1])
+
+
 def test_perceptron_settles(monkeypatch):
     """The end may lie on a kink of a rectified unit, where the gradient is no zero but no step along it gains much."""
     x, y = made(120)
