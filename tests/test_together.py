@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 
-from cohortspark.ml import descent, gang, selection, together, zoo
+from cohortspark.ml import descent, gang, grove, selection, together, zoo
 from cohortspark.ml.classifiers import AdaBoost, ExtraTrees, Perceptron, RBFClassifier
 from cohortspark.ml.selection import Recipe
 
@@ -378,3 +378,73 @@ def test_machines_over_held_rows_read_their_inputs_together(monkeypatch):
     found = descent._sums(gang.Held([(0, rid, y, weight, x)]), nets, thetas, 1)
     for k, (loss, gradient) in enumerate(alone):
         assert found[k][0] == pytest.approx(loss) and np.allclose(found[k][1], gradient)
+
+
+@pytest.mark.parametrize("classes", [2, 4])
+def test_trees_of_held_rows_split_as_those_of_the_passes(classes, monkeypatch):
+    """Rows in hand are counted where nodes are few and sorted where they are many; both split as the passes do."""
+    x, y = made(1500, 4, 3)
+    y = y + (np.arange(1500) % 7 == 0) if classes == 4 else np.minimum(y, 1)
+    rid, weight = np.arange(1500) * 7919, np.linspace(0.5, 2, classes)[y]
+    held = gang.Held([(3, rid, y, weight, x)])
+    edges = [(u[1:] + u[:-1]) / 2 for u in (np.unique(np.quantile(c, np.linspace(0, 1, 60), method="nearest")) for c in x.T)]
+    calls = []
+    for name in ("_counted", "_sorted"):
+        own = getattr(grove._Level, name)
+        monkeypatch.setattr(grove._Level, name, lambda *a, own=own, name=name: (calls.append(name), own(*a))[1])
+    kinds = {
+        "forest": {"trees": 7, "depth": 30, "per_node": 2, "bootstrap": True, "weighted": True},
+        "extra": {"trees": 7, "depth": 9, "leaf": 3, "per_node": 2, "weighted": True},
+        "boost": {"trees": 6, "depth": 3, "leaf": 3, "rate": 0.3, "subsample": 0.7},
+    }
+    for kind, own in kinds.items():
+        member = gang.Member(3, (0, 2, 3), kind, **own)
+        now, was = grove.grow(held, member, classes, None if kind == "extra" else edges), gang.grow(held, [member], classes, {3: edges})
+        for trees, depth in ((None, None), (4, 3)) if kind != "boost" else ((None, None), (4, None)):
+            have, want = (gang.probabilities(g, 0, x, trees, depth) for g in (now, was))
+            assert np.allclose(have, want), (kind, trees)
+    assert set(calls) == {"_counted", "_sorted"}
+
+
+def test_rows_that_weigh_differently_within_a_class_take_the_passes():
+    x, y = made(90, 2)
+    held = gang.Held([(0, np.arange(90), y, 1.0 + np.arange(90) % 3, x)])
+    member = gang.Member(0, (0, 1), "extra", 3, 4, weighted=True)
+    have, want = (gang.probabilities(g, 0, x) for g in (grove.grow(held, member, 2, None), gang.grow(held, [member], 2)))
+    assert grove.Rows.of(held.parts, 2, None) is None and np.allclose(have, want)
+
+
+def test_neighbours_in_tasks_vote_as_those_of_jobs(spark, monkeypatch):
+    """Ties and copies included; a fold too large for a task is searched by its own jobs."""
+    x, y = made(80, 2, classes=3)
+    x = np.round(x)  # many rows are equally far
+    rows = [(f"s{i % 70}", int(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "sample_id string, label int, a double, b double")
+    recipe = Recipe(features=["a", "b"], classes=["l", "m", "n"], ratios=None, impute=False, select_k="all")
+    points = {"KNN": (zoo.multiclass_models()["KNN"], {})}
+    alone, fits = [], selection._alone
+    monkeypatch.setattr(selection, "_alone", lambda *a: (alone.append(a[4]), fits(*a))[1])
+    with selection.shared_folds(), selection._folds_for(recipe, df, 3, 1) as folded:
+        in_tasks = selection._cv_scores(recipe, folded, points, True)
+        assert not alone
+        monkeypatch.setattr(together, "HELD_COMPARED", 0)
+        by_jobs = selection._cv_scores(recipe, folded, points, True)
+    assert sorted(alone) == [0, 1, 2, 3] and not in_tasks[2]
+    assert in_tasks[0]["KNN"] == pytest.approx(by_jobs[0]["KNN"]) and in_tasks[1]["KNN"] == pytest.approx(by_jobs[1]["KNN"])
+
+
+def test_machines_of_several_penalties_lift_their_rows_once(monkeypatch):
+    x, y = made(60)
+    spec = [together.Smooth(penalty=p, weighted=True, kernel=True, gamma=0.5, size=12) for p in (1.0, 0.1)]
+    held = lambda: gang.Held([(0, np.arange(60), y, np.ones(60), x)])
+    jobs = lambda points: together.net_jobs(points, lambda f, n: (0, 1), [0], 2, 42, lambda f, c: 1.0)
+    alone = {}
+    for i, one in enumerate(spec):
+        [job] = jobs({i: one})
+        alone |= dict(job.guesses(held(), x, 2))
+    [both] = jobs(dict(enumerate(spec)))
+    lifted, call = [], descent.Fourier.__call__
+    monkeypatch.setattr(descent.Fourier, "__call__", lambda self, rows: (lifted.append(len(rows)), call(self, rows))[1])
+    found = dict(both.guesses(held(), x, 2))
+    assert len(both.nets) == 2 and all(np.array_equal(found[i], alone[i]) for i in alone)
+    assert lifted[0] == 60 and len(lifted) < 1 + 2 * (2 + descent.PARTS)
